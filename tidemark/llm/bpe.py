@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.shared import with_field
+
 CACHE = 400_000
 LONG_PIECE = 4096
 LONG_TEXT = 1 << 20
@@ -173,8 +175,8 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
             ids = pa.array([c.encode(x or "") for x in table[text].to_pylist()], pa.list_(pa.int32()))
             yield from table.append_column(out, ids).to_batches()
 
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(out, "array<int>")
-    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    base = df.select(*[f"`{c}`" for c in kept])
+    return base.mapInArrow(run, with_field(base, out, "array<int>"))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -189,7 +191,8 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
             raw = pa.array([None if x is None else c.decode(x) for x in table[ids].to_pylist()], pa.binary())
             yield from table.append_column(out, raw).to_batches()
 
-    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, df.select(*[f"`{c}`" for c in kept]).schema.add(out, "binary"))
+    base = df.select(*[f"`{c}`" for c in kept])
+    return base.mapInArrow(run, with_field(base, out, "binary"))
 
 
 def digest(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

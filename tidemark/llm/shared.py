@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -29,6 +30,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of df and one more column."""
+    more = df.sparkSession.createDataFrame([], f"x {kind}").schema[0].dataType
+    return T.StructType([*df.schema.fields, T.StructField(name, more)])
+
+
 def parted(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
