@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, mixing, secrets, tokenfile, toxicity
+from tidemark.llm import bpe, chat, mixing, neardup, nearest, secrets, tokenfile, toxicity
 from tidemark.llm.shared import tune
 
 
@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_neardup": op1_embedding_neardup,
+    "op5_nearest": op5_nearest,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_token_file": op6_token_file,
     "op7_chat_format": op7_chat_format,
@@ -48,7 +58,18 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_source_mix": op10_source_mix,
 }
+_UNIT = """
+        d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM d)"""
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_neardup": f"""
+        WITH RECURSIVE {_UNIT},
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+        comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM comp LEFT JOIN n USING (vec_id)""",
     "op7_chat_format": r"""
         WITH src AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
