@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,7 @@ from tidemark.llm.words import chunks
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 400_000
 BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
+_MARKS = ".,;:!?"
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -60,27 +62,47 @@ class Words:
 
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, split: list[list[str]]) -> None:
         if len(self.ids) >= CACHE:
             self.ids, self.older = {}, self.ids
+        if len(self.cores) >= CACHE:
+            self.cores = {}
         new = set()
         for x in split:
             new.update(x)
         new = new.difference(self.ids)
-        for x in [x for x in new if x in self.older]:
-            self.ids[x] = self.older[x]
-            new.discard(x)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        ids, older, cores = self.ids, self.older, self.cores
+        wanted, parts = set(), []
+        for w in new:
+            if w in older:
+                ids[w] = older[w]
+                continue
+            # marks after a letter or digit are tokens of their own; up to U+012F lower-casing is the vocabulary's own, too
+            core = w.rstrip(_MARKS)
+            tail = w[len(core) :]
+            if tail and not (core and core[-1].isalnum()):
+                core, tail = w, ""
+            if core and max(core) < "\u0130":
+                core = core.lower()
+            parts.append((w, core, tail))
+            if core not in cores:
+                wanted.add(core)
+            if tail not in cores:
+                wanted.add(tail)
+        wanted = list(wanted)
+        for i in range(0, len(wanted), 20_000):
+            some = wanted[i : i + 20_000]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[x] = np.array(e.ids, dtype="<u4").tobytes()
+                cores[x] = array("I", e.ids).tobytes()
+        for w, core, tail in parts:
+            ids[w] = cores[core] + cores[tail] if tail else cores[core]
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """Of about a MB of texts, or of one longer text."""
