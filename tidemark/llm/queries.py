@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, jaccard, mixing, neardup, nearest, secrets, tokenfile, toxicity
+from tidemark.llm import bpe, chat, jaccard, mixing, neardup, nearest, repeats, secrets, tokenfile, toxicity
 from tidemark.llm.shared import tune
 
 
@@ -21,6 +21,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
 
@@ -55,6 +59,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest": op5_nearest,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_token_file": op6_token_file,
@@ -84,6 +89,14 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
         SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
         FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
+    "op4_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, md5(array_to_string(w[unnest(range(1, len(w) - 48)):unnest(range(1, len(w) - 48)) + 49], ' ')) AS h FROM w WHERE len(w) >= 50),
+        m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM g JOIN m USING (h) WHERE doc_id > least),
+        k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM w),
+        o AS (SELECT k.doc_id, count(*) FILTER (r.i IS NULL) AS kept, string_agg(word, ' ' ORDER BY k.i) FILTER (r.i IS NULL) AS t FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.i = k.i GROUP BY k.doc_id)
+        SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)""",
     "op7_chat_format": r"""
         WITH src AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
