@@ -123,3 +123,36 @@ def mixed(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tup
     out = p.alias("p").join(taken.alias("t"), F.expr("p.none = t.none and p.name = t.name and p.start = t.start and p.doc_id <=> t.doc_id and p.size > 0"), "left")
     out = out.select("p.doc_id", "p.source", "p.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     return out.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.doc_id", "o.size", "s.source_size", "s.target", "o.taken", "o.source")
+
+
+def mix(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tuple = WEIGHTS, factor: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix as documents (doc_id, source, text and any other columns): for each round the words taken in it.
+
+    A document whose words are all taken keeps its text as it is; of others the words of the blocks taken stay, joined by one
+    space. A document taken in two rounds gives two rows. n_chars, if there is such a column, is that of the text given.
+    """
+    _, sources = _plan(documents, block, seed, weights, factor, most)
+    times = slots(sources, seed=seed).groupBy("source", "block_no").agg(F.count(F.lit(1)).alias("times"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    d = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), row.alias("row")).where("size > 0")
+    d = d.select("*", (_hash(seed, "source", "doc_id") % BUCKETS).cast("int").alias("bucket"), _hash(seed + 1, "doc_id", "size").alias("key"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = documents.groupBy("source", (_hash(seed, "source", "doc_id") % BUCKETS).cast("int").alias("bucket")).agg(F.sum(size_of(F.col("text"))).alias("m"))
+    first = Window.partitionBy("source").orderBy("bucket")
+    buckets = buckets.select("source", "bucket", (F.sum("m").over(first) - F.col("m")).alias("before"))
+    d = d.select("*", (F.sum("size").over(inside) - F.col("size")).alias("within"))
+    d = d.alias("p").join(buckets.alias("b"), F.expr("p.source <=> b.source and p.bucket = b.bucket")).select("p.source", "p.size", "p.row", (F.col("p.within") + F.col("b.before")).alias("start"))
+    d = written(d.select("*", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")), "placed")
+    parts = d.select("none", "name", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block_no"))
+    t = times.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "block_no", "times")
+    # blocks of a document: as many as its words need; those taken in every round leave its text whole
+    hit = parts.join(t, ["none", "name", "block_no"], "left").select("none", "name", "start", "block_no", F.coalesce("times", F.lit(0)).cast("int").alias("times"))
+    hit = hit.groupBy("none", "name", "start").agg(F.min("times").alias("least"), F.max("times").alias("top"), F.map_from_entries(F.collect_list(F.struct("block_no", "times"))).alias("by"))
+    hit = hit.where("top > 0")
+    j = d.join(hit, ["none", "name", "start"]).select("row", "start", "least", "by", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("round"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(f"({_WORDS})"), 1)
+    chosen = F.filter(words, lambda w, i: F.element_at(F.col("by"), F.floor((F.col("start") + i) / block)) >= F.col("round"))
+    text = F.when(F.col("round") <= F.col("least"), F.col("row.text")).otherwise(F.array_join(chosen, " "))
+    j = j.select("row", text.alias("new"))
+    given = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
+    return j.select(*[given.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
