@@ -1,6 +1,522 @@
-"""Registered queries over the synthetic recording, and their DuckDB SQL."""
+"""Registered queries over the synthetic recording, and their DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import arrays as A
+from tidemark.functions.kernels import KERNELS
+from tidemark.operators import inference, interpolate, motion, rasters, tables, windows
+from tidemark.plans.oracle import GEO, LAT, REC, WAY
+from tidemark.sources import recording as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r4(c) -> F.Column:
+    return F.round(c, 4)
+
+
+def _mp(spikes: DataFrame) -> DataFrame:
+    """Spikes with the centroid of their neighbours by peak-to-peak (mx, my), mz, and geometry; the 64 channels are broadcast."""
+    g = R.geometry(spikes.sparkSession)
+    j = spikes.join(F.broadcast(g), "channel").withColumn("ptp", A.peak_to_peak(F.col("w"), 8, 8))
+    return j.withColumns({"mx": F.col("x") + A.dot(F.col("ptp"), F.col("dx")) / A.total(F.col("ptp")), "my": F.col("y") + A.dot(F.col("ptp"), F.col("dy")) / A.total(F.col("ptp")), "mz": 5 + F.col("amp") / 10})
+
+
+MP = """mp AS (SELECT z.*, geo.* EXCLUDE channel, x + list_sum(list_transform(range(1, 9), lambda i: ptp[i] * dx[i])) / list_sum(ptp) AS mx,
+        y + list_sum(list_transform(range(1, 9), lambda i: ptp[i] * dy[i])) / list_sum(ptp) AS my, 5 + amp / 10 AS mz FROM z JOIN geo USING (channel))"""
+
+
+# scans, geometry, kernels
+
+
+@query(f"WITH {REC} SELECT channel, count(*) AS n, round(sum(list_sum(list_transform(zw, lambda v: v * v))), 4) AS energy, round(max(list_max(ptp)), 4) AS ptp FROM z GROUP BY channel")
+def scan_dc_energy(spark, sf_dir):
+    s = R.spikes(spark, sf_dir)
+    z = A.without_dc(F.col("w"), 8, 8)
+    ptp = F.array_max(A.peak_to_peak(F.col("w"), 8, 8))
+    return s.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), r4(F.sum(A.energy(z))).alias("energy"), r4(F.max(ptp)).alias("ptp"))
+
+
+@query(f"WITH {REC}, {GEO} SELECT nb.channel, slot, nbr, dx, dy, count(spike_id) AS n FROM nb LEFT JOIN train t ON t.channel = nb.nbr GROUP BY ALL")
+def channel_neighbors(spark, sf_dir):
+    used = R.train(spark, sf_dir).groupBy("channel").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("channel", "nbr")
+    return R.neighbors(spark).join(used, "nbr", "left").na.fill(0, ["n"]).select("channel", F.col("slot").cast("long").alias("slot"), "nbr", "dx", "dy", "n")
+
+
+@query(f"WITH {REC}, {GEO} SELECT cfg, count(DISTINCT geo.channel) AS channels, count(*) AS n, round(sum(amp), 4) AS amp FROM train JOIN geo USING (channel) GROUP BY cfg")
+def channel_configs(spark, sf_dir):
+    g = R.geometry(spark).select("channel", "cfg")
+    s = R.train(spark, sf_dir).join(F.broadcast(g), "channel")
+    return s.groupBy(F.col("cfg").cast("long").alias("cfg")).agg(F.countDistinct("channel").alias("channels"), F.count(F.lit(1)).alias("n"), r4(F.sum("amp")).alias("amp"))
+
+
+_KERNEL_SQL = {
+    "monopole": "a / sqrt(r2 + z2 + a * a)",
+    "gauss": "exp(-(r2 + z2) / (2 * a * a))",
+    "exp": "exp(-sqrt(r2 + z2) / a)",
+    "lorentz": "a * a / (r2 + z2 + a * a)",
+    "power": "pow(a / sqrt(r2 + z2 + a * a), b)",
+    "student": "pow(1 + (r2 + z2) / (a * a), -b)",
+    "yukawa": "a / sqrt(r2 + z2 + a * a) * exp(-sqrt(r2 + z2 + 1e-6) / b)",
+    "gauss_aniso": "exp(-(r2 / (2 * a * a) + z2 / (2 * b * b)))",
+    "mono_aniso": "a / sqrt(r2 + z2 * pow(a / b, 2) + a * a)",
+    "dog": "exp(-(r2 + z2) / (2 * a * a)) - exp(-(r2 + z2) / (2 * pow(a * b, 2))) / (b * b)",
+}
+
+
+def _kernel_query(name: str) -> None:
+    def run(spark, sf_dir):
+        s = _mp(R.spikes(spark, sf_dir))
+        k = KERNELS[name]
+        g = F.zip_with("dx", "dy", lambda dx, dy: k(F.pow(F.col("x") + dx - F.col("mx"), 2) + F.pow(F.col("y") + dy - F.col("my"), 2), F.col("mz") * F.col("mz"), 15.0, 2.0))
+        return s.select("channel", g.alias("g")).groupBy("channel").agg(r4(F.sum(A.total(F.col("g")))).alias("field"), r4(F.sum(A.energy(F.col("g")))).alias("norm2"))
+
+    run.__name__ = f"kernel_{name}"
+    query(f"""WITH {REC}, {GEO}, {MP},
+        d AS (SELECT channel, unnest(list_transform(range(1, 9), lambda i: pow(x + dx[i] - mx, 2) + pow(y + dy[i] - my, 2))) AS r2, mz * mz AS z2, 15.0::DOUBLE AS a, 2.0::DOUBLE AS b FROM mp),
+        k AS (SELECT channel, {_KERNEL_SQL[name]} AS g FROM d) SELECT channel, round(sum(g), 4) AS field, round(sum(g * g), 4) AS norm2 FROM k GROUP BY channel""")(run)
+
+
+for _name in KERNELS:
+    _kernel_query(_name)
+
+
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT cfg, n, round(sum(g[1] * amp), 4) AS g0, count(*) AS spikes FROM train JOIN fp ON train.channel = fp.channel GROUP BY cfg, n")
+def footprints_unit(spark, sf_dir):
+    f = inference.footprints(spark).select("channel", F.col("cfg").cast("long").alias("cfg"), F.explode("cand").alias("c"))
+    used = R.train(spark, sf_dir).groupBy("channel").agg(F.sum("amp").alias("amp"), F.count(F.lit(1)).alias("m"))
+    return f.join(used, "channel").groupBy("cfg", F.col("c.n").cast("long").alias("n")).agg(r4(F.sum(F.element_at("c.g", 1) * F.col("amp"))).alias("g0"), F.sum("m").alias("spikes"))
+
+
+@query(f"""WITH {REC}, s AS (SELECT kind, unnest(range(-2, 3)) AS lag, w[1:8] AS v FROM sp),
+    b AS (SELECT kind, lag, list_transform(range(1, 9), lambda i: CASE WHEN i - lag BETWEEN 1 AND 8 THEN v[i - lag] ELSE 0 END) AS v FROM s)
+    SELECT kind, lag, round(sum(sqrt(list_sum(list_transform(v, lambda x: x * x)))), 4) AS norm, round(sum(v[1]), 4) AS head FROM b GROUP BY ALL""")
+def shift_bank(spark, sf_dir):
+    """Every spike's first row at five lags, zero-padded."""
+    s = R.spikes(spark, sf_dir).select("kind", F.slice("w", 1, 8).alias("v"))
+    lags = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), A.shifted(F.col("v"), k, 8).alias("v")) for k in range(-2, 3)])
+    b = s.select("kind", F.inline(lags))
+    return b.groupBy("kind", "lag").agg(r4(F.sum(F.sqrt(A.energy(F.col("v"))))).alias("norm"), r4(F.sum(F.element_at("v", 1))).alias("head"))
+
+
+# inference
+
+
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT spike_id, n, round(score, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY score DESC, n) <= 3")
+def topk_single(spark, sf_dir):
+    a = inference.assigned(R.spikes(spark, sf_dir), k=3)
+    return a.select("spike_id", F.inline("top")).select("spike_id", (-F.col("neg")).cast("long").alias("n"), r4(F.col("score")).alias("score"))
+
+
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT n, pz, count(*) AS spikes, round(sum(score), 4) AS captured, round(1 - sum(score) / sum(energy), 4) AS nmse FROM loc GROUP BY n, pz")
+def assign_one_source(spark, sf_dir):
+    a = inference.assigned(R.spikes(spark, sf_dir)).withColumn("b", F.element_at("top", 1))
+    return a.groupBy((-F.col("b.neg")).cast("long").alias("n"), F.col("b.pz").alias("pz")).agg(F.count(F.lit(1)).alias("spikes"), r4(F.sum("b.score")).alias("captured"), r4(1 - F.sum("b.score") / F.sum("energy")).alias("nmse"))
+
+
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT channel, round(sum(energy - score), 4) AS sse, round(sum(energy), 4) AS energy, round(sum(score) / sum(energy), 4) AS ve FROM loc GROUP BY channel")
+def residual_nmse_ve(spark, sf_dir):
+    p = inference.located(R.spikes(spark, sf_dir))
+    return p.groupBy("channel").agg(r4(F.sum(F.col("energy") - F.col("score"))).alias("sse"), r4(F.sum("energy")).alias("energy"), r4(F.sum("score") / F.sum("energy")).alias("ve"))
+
+
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT CAST(floor(t / 20) AS INT) AS tbin, CAST(floor(py / 20) AS INT) AS ybin, round(sum(sqrt(score)), 4) AS amp, count(*) AS n FROM loc WHERE py BETWEEN 0 AND 320 GROUP BY ALL")
+def localize_raster(spark, sf_dir):
+    """Flagship: place every spike, then its amplitude by time and depth."""
+    p = inference.located(R.spikes(spark, sf_dir)).where("py between 0 and 320")
+    r = rasters.raster(p, {"tbin": F.floor(F.col("t") / 20).cast("int"), "ybin": F.floor(F.col("py") / 20).cast("int")}, amp=F.sqrt("score"))
+    return r.withColumn("amp", r4(F.col("amp")))
+
+
+@query()
+def matching_pursuit(spark, sf_dir):
+    s = inference.sources(R.spikes(spark, sf_dir))
+    return s.select("spike_id", "rank", "n", "q", "lag", r4(F.col("amp")).alias("amp"), r4(F.col("captured")).alias("captured"), r4(F.col("energy")).alias("energy"))
+
+
+@query()
+def source_usage(spark, sf_dir):
+    """Contribution of each place and shape over all sources of the pursuit."""
+    s = inference.sources(R.spikes(spark, sf_dir))
+    return s.groupBy("n", "q").agg(F.count(F.lit(1)).alias("sources"), r4(F.sum("amp")).alias("amp"))
+
+
+# readouts, rasters, aggregations
+
+
+@query(f"WITH {REC}, {GEO}, {MP} SELECT spike_id, slot - 1 AS slot, nbr, round(ptp[slot] / list_sum(ptp), 4) AS weight FROM mp, range(1, 9) r(slot) JOIN nb ON nb.slot = r.slot - 1 WHERE nb.channel = mp.channel AND ptp[r.slot] > 0".replace("slot - 1 AS slot", "r.slot - 1 AS slot").replace("ptp[slot] /", "ptp[r.slot] /"))
+def flatten_sources(spark, sf_dir):
+    """One row for each active slot of each spike."""
+    s = R.spikes(spark, sf_dir).select("spike_id", "channel", A.peak_to_peak(F.col("w"), 8, 8).alias("ptp"))
+    e = s.select("spike_id", "channel", A.total(F.col("ptp")).alias("all"), F.posexplode("ptp").alias("slot", "p")).where("p > 0")
+    return e.join(F.broadcast(R.neighbors(spark).select("channel", "slot", "nbr")), ["channel", "slot"]).select("spike_id", F.col("slot").cast("long").alias("slot"), "nbr", r4(F.col("p") / F.col("all")).alias("weight"))
+
+
+@query(f"WITH {REC}, {GEO}, {MP} SELECT spike_id, round(mx, 4) AS mx, round(my, 4) AS my, nbr AS dominant FROM mp JOIN nb ON nb.channel = mp.channel AND nb.slot = list_position(ptp, list_max(ptp)) - 1")
+def readout_barycenter(spark, sf_dir):
+    """Amplitude-weighted centre and dominant neighbour (ties to the smaller slot)."""
+    s = _mp(R.spikes(spark, sf_dir)).select("spike_id", "channel", "mx", "my", (F.array_position("ptp", F.array_max("ptp")) - 1).cast("int").alias("slot"))
+    return s.join(F.broadcast(R.neighbors(spark).select("channel", "slot", "nbr")), ["channel", "slot"]).select("spike_id", r4(F.col("mx")).alias("mx"), r4(F.col("my")).alias("my"), F.col("nbr").alias("dominant"))
+
+
+@query(f"WITH {REC}, {GEO} SELECT count(*) AS n, min(spike_id) AS first, max(spike_id) AS last, round(sum(amp), 4) AS amp, y FROM train JOIN ch USING (channel) WHERE y BETWEEN 40 AND 200 AND t >= 300 AND t < 900 GROUP BY y")
+def depth_window_filter(spark, sf_dir):
+    s = R.train(spark, sf_dir).where("t >= 300 and t < 900").join(F.broadcast(R.channels(spark)), "channel").where("y between 40 and 200")
+    return s.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("spike_id").alias("first"), F.max("spike_id").alias("last"), r4(F.sum("amp")).alias("amp"))
+
+
+@query(f"WITH {REC}, {GEO}, {MP} SELECT CAST(least(floor(t / 2), 978) AS INT) AS tbin, CAST(least(floor(my / 4), 79) AS INT) AS ybin, round(sum(amp), 4) AS amp, count(*) AS n FROM mp WHERE t BETWEEN 0 AND 1958 AND my BETWEEN 0 AND 320 GROUP BY ALL")
+def density_raster(spark, sf_dir):
+    s = _mp(R.spikes(spark, sf_dir))
+    r = rasters.raster(s, {"tbin": rasters.closed_bin(F.col("t"), 0.0, 1958.0, 979), "ybin": rasters.closed_bin(F.col("my"), 0.0, 320.0, 80)}, amp=F.col("amp"))
+    return r.withColumn("amp", r4(F.col("amp")))
+
+
+@query(f"WITH {REC}, {GEO}, {MP} SELECT kind, CAST(floor(t / 10) AS INT) AS tbin, CAST(floor(my / 8) AS INT) AS ybin, count(*) AS n, round(sum(amp), 4) AS amp FROM mp WHERE t < 1958 AND my >= 0 AND my < 320 GROUP BY ALL")
+def basis_raster(spark, sf_dir):
+    s = _mp(R.spikes(spark, sf_dir))
+    r = rasters.raster(s, {"kind": F.col("kind"), "tbin": rasters.open_bin(F.col("t"), 0.0, 10.0, 196), "ybin": rasters.open_bin(F.col("my"), 0.0, 8.0, 40)}, amp=F.col("amp"))
+    return r.where("tbin * 10 < 1958").withColumn("amp", r4(F.col("amp")))
+
+
+@query(f"""WITH {REC}, {GEO}, {LAT} SELECT CAST(floor(t / 50) AS INT) AS tbin, CAST(floor(py / 40) AS INT) AS ybin, count(*) AS n,
+    CASE WHEN count(*) >= 4 THEN round(sum((1 - score / energy) * amp) / sum(amp), 4) END AS err FROM loc WHERE py >= 0 AND py < 320 GROUP BY ALL""")
+def error_raster(spark, sf_dir):
+    """Amplitude-weighted mean relative error by cell; null below four spikes."""
+    p = inference.located(R.spikes(spark, sf_dir)).where("py >= 0 and py < 320")
+    err = 1 - F.col("score") / F.col("energy")
+    g = p.groupBy(F.floor(F.col("t") / 50).cast("int").alias("tbin"), F.floor(F.col("py") / 40).cast("int").alias("ybin"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 4, r4(F.sum(err * F.col("amp")) / F.sum("amp"))).alias("err"))
+
+
+@query(f"""WITH {REC}, {GEO}, {MP}, u AS (SELECT amp, mx / 10 AS u, my / (10 * sqrt(3)) AS v FROM mp),
+    d AS (SELECT *, pow(u - floor(u + 0.5), 2) + 3 * pow(v - floor(v + 0.5), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS f FROM u)
+    SELECT CASE WHEN f THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN f THEN floor(u + 0.5) ELSE floor(u) END AS BIGINT) AS i, CAST(CASE WHEN f THEN floor(v + 0.5) ELSE floor(v) END AS BIGINT) AS j,
+    count(*) AS n, round(avg(amp), 4) AS amp FROM d GROUP BY ALL""")
+def hexbin_mean(spark, sf_dir):
+    s = _mp(R.spikes(spark, sf_dir))
+    k, i, j = rasters.hexagon(F.col("mx"), F.col("my"), 10.0)
+    return s.groupBy(k.alias("lattice"), i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("amp")).alias("amp"))
+
+
+@query(f"WITH {REC}, {GEO}, {MP} SELECT CAST(floor(t / 100) AS INT) AS bin, CAST(floor(mx / 10) AS INT) AS ix, CAST(floor(my / 20) AS INT) AS iy, CAST(floor(mz / 10) AS INT) AS iz, round(sum(amp), 4) AS amp, count(*) AS n FROM mp WHERE mx >= 0 AND mx < 80 AND my >= 0 AND my < 320 AND mz >= 0 AND mz < 50 GROUP BY ALL")
+def voxel_scatter_3d(spark, sf_dir):
+    s = _mp(R.spikes(spark, sf_dir))
+    bins = {"bin": F.floor(F.col("t") / 100).cast("int"), "ix": rasters.open_bin(F.col("mx"), 0.0, 10.0, 8), "iy": rasters.open_bin(F.col("my"), 0.0, 20.0, 16), "iz": rasters.open_bin(F.col("mz"), 0.0, 10.0, 5)}
+    return rasters.raster(s, bins, amp=F.col("amp")).withColumn("amp", r4(F.col("amp")))
+
+
+@query(f"WITH {REC}, {GEO}, {MP} SELECT CAST(floor(t / 100) AS INT) AS bin, count(*) FILTER (NOT (my >= 20 AND my < 300 AND mz < 12)) AS dropped, count(*) AS n FROM mp GROUP BY bin")
+def volume_drop_count(spark, sf_dir):
+    s = _mp(R.spikes(spark, sf_dir))
+    ok = (F.col("my") >= 20) & (F.col("my") < 300) & (F.col("mz") < 12)
+    return s.groupBy(F.floor(F.col("t") / 100).cast("int").alias("bin")).agg(F.count_if(~ok).alias("dropped"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {REC} SELECT channel, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM train), 4) AS share, round(100 * sum(amp) / (SELECT sum(amp) FROM train), 4) AS amp_share FROM train GROUP BY channel")
+def atom_usage(spark, sf_dir):
+    g = R.train(spark, sf_dir).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum("amp").alias("a"))
+    w = Window.partitionBy()
+    return g.select("channel", "n", r4(100.0 * F.col("n") / F.sum("n").over(w)).alias("share"), r4(100 * F.col("a") / F.sum("a").over(w)).alias("amp_share"))
+
+
+@query(f"WITH {REC}, g AS (SELECT user_id, count(*) AS n FROM train GROUP BY user_id) SELECT user_id, n, row_number() OVER w AS rank, round(sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / (SELECT sum(n) FROM g), 4) AS share FROM g WINDOW w AS (ORDER BY n DESC, user_id)")
+def concentration_curve(spark, sf_dir):
+    g = R.train(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return windows.concentration(g, "user_id", "n").withColumn("share", r4(F.col("share"))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {REC}, g AS (SELECT user_id, count(*) AS n FROM train GROUP BY user_id), c AS (SELECT row_number() OVER w AS rank, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / (SELECT sum(n) FROM g) AS share FROM g WINDOW w AS (ORDER BY n DESC, user_id)) SELECT min(rank) AS half_rank FROM c WHERE share >= 0.5")
+def half_mass_rank(spark, sf_dir):
+    g = R.train(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return windows.concentration(g, "user_id", "n").where("share >= 0.5").agg(F.min("rank").cast("long").alias("half_rank"))
+
+
+@query(f"WITH {REC} SELECT kind, round(100 * quantile_cont(amp, 0.25) / (SELECT median(amp) FROM train), 4) AS q25, round(100 * median(amp) / (SELECT median(amp) FROM train), 4) AS med, round(max(amp) * 100 / (SELECT median(amp) FROM train), 4) AS top FROM train GROUP BY kind")
+def amp_rescale_median(spark, sf_dir):
+    """Amplitudes scaled so that the overall median is 100."""
+    s = R.train(spark, sf_dir)
+    m = s.agg(F.percentile("amp", F.lit(0.5)).alias("m"))
+    g = s.groupBy("kind").agg(F.percentile("amp", F.lit(0.25)).alias("a"), F.percentile("amp", F.lit(0.5)).alias("b"), F.max("amp").alias("c"))
+    j = g.join(F.broadcast(m))
+    return j.select("kind", *[r4(100 * F.col(x) / F.col("m")).alias(y) for x, y in (("a", "q25"), ("b", "med"), ("c", "top"))])
+
+
+@query(f"WITH {REC}, s AS (SELECT CAST(floor(t) AS BIGINT) AS sec, count(*) AS n FROM train GROUP BY 1) SELECT n, min(sec) AS sec FROM s GROUP BY n ORDER BY n DESC LIMIT 1")
+def densest_second(spark, sf_dir):
+    s = R.train(spark, sf_dir).groupBy(F.floor("t").alias("sec")).agg(F.count(F.lit(1)).alias("n"))
+    b = F.max(F.struct("n", (-F.col("sec")).alias("neg"))).alias("b")
+    return s.agg(b).select(F.col("b.n").alias("n"), (-F.col("b.neg")).alias("sec"))
+
+
+@query(f"WITH {REC} SELECT CAST(c.channel AS INT) AS channel, k.kind, count(t.spike_id) AS n, round(coalesce(sum(t.amp), 0), 4) AS amp FROM range(64) c(channel) CROSS JOIN (SELECT DISTINCT kind FROM train) k LEFT JOIN train t ON t.channel = c.channel AND t.kind = k.kind GROUP BY ALL")
+def zero_filled_counts(spark, sf_dir):
+    """Counts with a row for every channel and kind, also the empty ones."""
+    s = R.train(spark, sf_dir)
+    g = s.groupBy("channel", "kind").agg(F.count(F.lit(1)).alias("n"), r4(F.sum("amp")).alias("amp"))
+    domain = s.select("kind").distinct().select("kind", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("channel"))
+    return rasters.filled(g, domain, ["channel", "kind"]).select("channel", "kind", "n", "amp")
+
+
+@query(f"WITH {REC}, {GEO}, {LAT}, r AS (SELECT * FROM loc JOIN (SELECT channel AS c, y FROM ch) q ON q.c = loc.channel) SELECT round(corr(py, y), 4) AS r, round(regr_slope(py, y), 4) AS slope, count(*) AS n FROM r")
+def localization_vs_reference(spark, sf_dir):
+    p = inference.located(R.spikes(spark, sf_dir)).join(F.broadcast(R.channels(spark).select("channel", "y")), "channel")
+    return p.agg(r4(F.corr("py", "y")).alias("r"), r4(F.regr_slope("py", "y")).alias("slope"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {REC}, e AS (SELECT kind, i, unnest(zw) AS v, unnest(range(64)) AS c FROM (SELECT kind, 0 AS i, zw FROM z)),
+    s AS (SELECT a.kind, a.zw, r1.j AS i, r2.j FROM z a, range(8) r1(j), range(8) r2(j) WHERE r1.j <= r2.j)
+    SELECT kind, i, j, round(sum(list_sum(list_transform(range(8), lambda c: zw[c * 8 + i + 1] * zw[c * 8 + j + 1]))), 4) AS scatter FROM s GROUP BY ALL""".replace("e AS (SELECT kind, i, unnest(zw) AS v, unnest(range(64)) AS c FROM (SELECT kind, 0 AS i, zw FROM z)),\n    ", ""))
+def pca_scatter(spark, sf_dir):
+    """Sum of outer products over time samples, upper triangle."""
+    z = R.spikes(spark, sf_dir).select("kind", A.rows(A.without_dc(F.col("w"), 8, 8), 8, 8).alias("z"))
+    sums = [F.sum(A.total(F.transform("z", lambda r: F.element_at(r, i + 1) * F.element_at(r, j + 1)))).alias(f"s{i}_{j}") for i in range(8) for j in range(i, 8)]  # noqa: B023
+    g = z.groupBy("kind").agg(*sums)
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), r4(F.col(f"s{i}_{j}")).alias("scatter")) for i in range(8) for j in range(i, 8)])
+    return g.select("kind", F.inline(cells))
+
+
+@query(f"WITH {REC}, g AS (SELECT avg(list_sum(zw) / 64) AS m FROM z) SELECT channel, round(avg(list_sum(w) / 64), 4) AS mean_all, round(avg(list_sum(w[1:8]) / 8), 4) AS mean_slot0, round(stddev_pop(amp), 4) AS sd FROM z GROUP BY channel")
+def references_mean_floors(spark, sf_dir):
+    s = R.spikes(spark, sf_dir)
+    return s.groupBy("channel").agg(r4(F.avg(A.total(F.col("w")) / 64)).alias("mean_all"), r4(F.avg(A.total(F.slice("w", 1, 8)) / 8)).alias("mean_slot0"), r4(F.stddev_pop("amp")).alias("sd"))
+
+
+@query(f"""WITH {REC}, p AS (SELECT kind, w[1:8] AS v FROM z), a AS (SELECT kind, v, list_position(list_transform(v, lambda x: abs(x)), list_max(list_transform(v, lambda x: abs(x)))) AS k FROM p),
+    o AS (SELECT kind, v[k] > 0 AS up, unnest(list_transform(range(8), lambda i: v[((i + k - 1 - 4 + 16) % 8) + 1])) AS x, unnest(range(8)) AS i FROM a)
+    SELECT kind, up, i, round(avg(x), 4) AS x, count(*) AS n FROM o GROUP BY ALL""")
+def peak_align_mean(spark, sf_dir):
+    """Mean of the first rows rolled so that their largest magnitude is at sample 4, by sign."""
+    s = R.spikes(spark, sf_dir).select("kind", F.slice("w", 1, 8).alias("v"))
+    mag = F.transform("v", lambda x: F.abs(x))
+    s = s.withColumn("k", F.array_position(mag, F.array_max(mag)).cast("int"))
+    rolled = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.element_at(F.col("v"), ((i + F.col("k") + 11) % 8 + 1).cast("int")))
+    o = s.select("kind", (F.element_at("v", F.col("k")) > 0).alias("up"), F.posexplode(rolled).alias("i", "x"))
+    return o.groupBy("kind", "up", F.col("i").cast("long").alias("i")).agg(r4(F.avg("x")).alias("x"), F.count(F.lit(1)).alias("n"))
+
+
+# windows, samples, sets
+
+
+@query(f"WITH {REC} SELECT spike_id, channel, kind FROM train QUALIFY row_number() OVER (PARTITION BY channel ORDER BY (spike_id * 7919 + 104729) % 10007, spike_id) <= 5")
+def capped_sample_per_group(spark, sf_dir):
+    return windows.sample_per_group(R.train(spark, sf_dir), "channel", "spike_id", 5).select("spike_id", "channel", "kind")
+
+
+@query(f"WITH {REC} SELECT spike_id, channel, round((row_number() OVER (PARTITION BY channel ORDER BY amp, spike_id) - 1) / greatest(count(*) OVER (PARTITION BY channel) - 1, 1), 4) AS rank01 FROM train")
+def rank_equalize(spark, sf_dir):
+    return windows.rank_equalized(R.train(spark, sf_dir), ["channel"], "amp", "spike_id").select("spike_id", "channel", r4(F.col("rank01")).alias("rank01"))
+
+
+@query(f"""WITH {REC}, {GEO}, {MP}, b AS (SELECT my, amp, unnest(range(CAST(ceil((my - 50) / 50) AS BIGINT), CAST(floor((my + 50) / 50) AS BIGINT) + 1)) AS block FROM mp)
+    SELECT block, count(*) AS n, round(sum(greatest(0, 1 - abs(my - block * 50) / 50) + 0.001), 4) AS weight, round(sum(amp), 4) AS amp FROM b GROUP BY block""")
+def depth_block_expand(spark, sf_dir):
+    s = _mp(R.spikes(spark, sf_dir)).select("my", "amp", windows.overlapping_blocks(F.col("my"), 50.0, 50.0).alias("block"))
+    return s.groupBy("block").agg(F.count(F.lit(1)).alias("n"), r4(F.sum(windows.blend_weight(F.col("my"), F.col("block"), 50.0, 50.0))).alias("weight"), r4(F.sum("amp")).alias("amp"))
+
+
+@query(f"WITH {REC}, b AS (SELECT DISTINCT CAST(floor(t) AS BIGINT) AS bin FROM train) SELECT bin FROM b QUALIFY (row_number() OVER (ORDER BY bin) - 1) % 8 = 0")
+def strided_bins(spark, sf_dir):
+    return windows.every(R.train(spark, sf_dir).select(F.floor("t").alias("bin")).distinct(), "bin", 8)
+
+
+@query(f"WITH {REC}, b AS (SELECT DISTINCT channel, CAST(floor(t) AS BIGINT) AS bin FROM train), g AS (SELECT channel, bin, bin - row_number() OVER (PARTITION BY channel ORDER BY bin) AS g FROM b) SELECT channel, min(bin) AS first, max(bin) AS last, count(*) AS length FROM g GROUP BY channel, g")
+def contiguous_bin_runs(spark, sf_dir):
+    b = R.train(spark, sf_dir).select("channel", F.floor("t").alias("bin")).distinct()
+    return windows.runs(b, "bin", ("channel",))
+
+
+@query(f"WITH {REC} SELECT kind, spike_id, round(amp - lag(amp) OVER (PARTITION BY kind ORDER BY spike_id), 4) AS diff FROM train")
+def first_differences(spark, sf_dir):
+    w = Window.partitionBy("kind").orderBy("spike_id")
+    return R.train(spark, sf_dir).select("kind", "spike_id", r4(F.col("amp") - F.lag("amp").over(w)).alias("diff"))
+
+
+@query(f"WITH {REC}, a AS (SELECT DISTINCT CAST(floor(t) AS BIGINT) AS bin FROM train WHERE kind = 'click'), b AS (SELECT DISTINCT CAST(floor(t) AS BIGINT) AS bin FROM train WHERE kind = 'view') SELECT 'both' AS what, count(*) AS n FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'only', count(*) FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'any', count(*) FROM (FROM a UNION FROM b)")
+def eligible_bins(spark, sf_dir):
+    """Intersection, difference and union of the seconds in which two kinds are active."""
+    s = R.train(spark, sf_dir)
+    a, b = (s.where(F.col("kind") == k).select(F.floor("t").alias("bin")) for k in ("click", "view"))
+    parts = [("both", a.intersect(b)), ("only", a.subtract(b)), ("any", a.union(b).distinct())]
+    out = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("what"), "n") for k, d in parts]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(f"""WITH {REC}, {GEO}, g AS (SELECT CAST(floor(t / 10) AS BIGINT) AS bin, count(*) AS n FROM train GROUP BY 1)
+    SELECT a.bin, round(sum(b.n * exp(-pow(a.bin - b.bin, 2) / 8.0)), 4) AS smooth FROM g a JOIN g b ON b.bin BETWEEN a.bin - 6 AND a.bin + 6 GROUP BY a.bin""")
+def gaussian_smooth(spark, sf_dir):
+    """Zero-padded Gaussian blur over time bins, by an equality on shifted bins."""
+    g = R.train(spark, sf_dir).groupBy(F.floor(F.col("t") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spread = g.select(F.explode(F.sequence(F.col("bin") - 6, F.col("bin") + 6)).alias("at"), "bin", "n")
+    s = spread.groupBy("at").agg(F.sum(F.col("n") * F.exp(-F.pow(F.col("at") - F.col("bin"), 2) / 8.0)).alias("smooth"))
+    return g.join(s, g.bin == s["at"]).select("bin", r4(F.col("smooth")).alias("smooth"))
+
+
+# motion
+
+
+@query(f"WITH {REC}, {WAY} SELECT spike_id, round(p0 + (least(t, 1958) - t0) / (t1 - t0) * (p1 - p0) + 1e-7, 4) AS gt FROM train JOIN seg ON least(t, 1958) >= t0 AND (least(t, 1958) < t1 OR t1 = 1958)")
+def gt_interp(spark, sf_dir):
+    s = R.train(spark, sf_dir).select("spike_id", "t")
+    return interpolate.interpolated(s, R.waypoints(spark), 100.0, "gt").select("spike_id", r4(F.col("gt") + 1e-7).alias("gt"))
+
+
+@query(f"WITH {REC}, {GEO}, {MP}, {WAY}, c AS (SELECT my - (p0 + (least(t, 1958) - t0) / (t1 - t0) * (p1 - p0)) AS yc FROM mp JOIN seg ON least(t, 1958) >= t0 AND (least(t, 1958) < t1 OR t1 = 1958)) SELECT CAST(floor(yc / 20) AS BIGINT) AS iy, count(*) AS n, round(sum(yc), 3) AS y FROM c GROUP BY 1")
+def correct_rigid(spark, sf_dir):
+    """Depths less the interpolated motion, by depth pixel."""
+    s = _mp(R.spikes(spark, sf_dir)).select("spike_id", "t", "my")
+    c = interpolate.interpolated(s, R.waypoints(spark), 100.0).withColumn("yc", F.col("my") - F.col("p"))
+    return c.groupBy(F.floor(F.col("yc") / 20).alias("iy")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("yc"), 3).alias("y"))
+
+
+@query(f"""WITH {REC}, {GEO}, {MP}, {WAY}, c AS (SELECT my, p0 + (least(t, 1958) - t0) / (t1 - t0) * (p1 - p0) AS p FROM mp JOIN seg ON least(t, 1958) >= t0 AND (least(t, 1958) < t1 OR t1 = 1958)),
+    d AS (SELECT my, p, least(greatest(my, 50), 249.999999) AS h FROM c), e AS (SELECT *, CAST(floor((h - 50) / 100) AS BIGINT) AS win, (h - 50) / 100 - floor((h - 50) / 100) AS f FROM d)
+    SELECT win, count(*) AS n, round(sum(my - ((1 - f) * p * (1 + 0.1 * win) + f * p * (1 + 0.1 * (win + 1)))), 3) AS y FROM e GROUP BY win""")
+def correct_nonrigid(spark, sf_dir):
+    """Bilinear correction: motion grows by a tenth with each depth window (centres 50, 150, 250 um)."""
+    s = _mp(R.spikes(spark, sf_dir)).select("spike_id", "t", "my")
+    c = interpolate.interpolated(s, R.waypoints(spark), 100.0)
+    h = F.least(F.greatest("my", F.lit(50.0)), F.lit(249.999999))
+    c = c.withColumn("win", F.floor((h - 50) / 100)).withColumn("f", (h - 50) / 100 - F.col("win"))
+    scale = lambda k: F.col("p") * (1 + 0.1 * (F.col("win") + k))
+    yc = F.col("my") - ((1 - F.col("f")) * scale(0) + F.col("f") * scale(1))
+    return c.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(yc), 3).alias("y"))
+
+
+@query(f"WITH {REC}, {GEO}, {MP}, b AS (SELECT least(floor(t / (1958.0 / 60)), 59) AS b, avg(0 + (least(floor(my / (320.0 / 80)), 79) + 0.5) * 4.0) AS com FROM mp WHERE my BETWEEN 0 AND 320 AND t BETWEEN 0 AND 1958 GROUP BY 1) SELECT round(stddev_pop(com), 4) AS flatness, count(*) AS bins FROM b")
+def flatness(spark, sf_dir):
+    f = motion.flatness(_mp(R.spikes(spark, sf_dir)), "my", 60, 0.0, 320.0, 80, 1958.0)
+    return f.select(r4(F.col("flatness")).alias("flatness"), "bins")
+
+
+def _trace(spark, sf_dir) -> DataFrame:
+    """t, p (mean depth of a time bin), gt."""
+    s = _mp(R.spikes(spark, sf_dir)).groupBy(F.floor(F.col("t") / 10).alias("bin")).agg(F.avg("my").alias("p"))
+    return interpolate.interpolated(s.select((F.col("bin") * 10 + 5).cast("double").alias("t"), "p"), R.waypoints(spark), 100.0, "gt")
+
+
+_TRACE = f"""{REC}, {GEO}, {MP}, {WAY}, b AS (SELECT CAST(floor(t / 10) * 10 + 5 AS DOUBLE) AS t, avg(my) AS p FROM mp GROUP BY 1),
+    tc AS (SELECT t, p, p0 + (least(t, 1958) - t0) / (t1 - t0) * (p1 - p0) AS gt FROM b JOIN seg ON least(t, 1958) >= t0 AND (least(t, 1958) < t1 OR t1 = 1958))"""
+
+
+@query(f"WITH {_TRACE} SELECT round(corr(p, gt), 4) AS r, round(covar_pop(p, gt) / var_pop(gt), 4) AS gain, round(sqrt(avg(pow(p - gt, 2)) - pow(avg(p - gt), 2)), 4) AS rmse, round(max(p) - min(p), 4) AS p_range, round(max(gt) - min(gt), 4) AS gt_range FROM tc")
+def score_gt_simple(spark, sf_dir):
+    s = motion.simple_score(_trace(spark, sf_dir))
+    return s.select(*[r4(F.col(c)).alias(c) for c in s.columns])
+
+
+@query(f"WITH {_TRACE}, d AS (SELECT p - lag(p) OVER (ORDER BY t) AS dp, gt - lag(gt) OVER (ORDER BY t) AS dg FROM tc) SELECT round(corr(dp, dg), 4) AS step_r, count(*) AS n FROM d WHERE dp IS NOT NULL")
+def score_gt_steps(spark, sf_dir):
+    s = motion.step_score(_trace(spark, sf_dir))
+    return s.select(r4(F.col("step_r")).alias("step_r"), "n")
+
+
+_PAIRS = f"""{REC}, {GEO}, {MP}, pr AS (SELECT CAST(floor(t / 100) AS BIGINT) AS bin, CAST(floor(my / 10) AS BIGINT) AS iy, sum(amp) AS w FROM mp GROUP BY ALL),
+    pn AS (SELECT bin, iy, w / sqrt(sum(w * w) OVER (PARTITION BY bin)) AS v FROM pr),
+    lg AS (SELECT a.bin AS t, b.bin AS u, l.lag, sum(a.v * b.v) AS r FROM pn a, pn b, range(-4, 5) l(lag) WHERE a.bin - b.bin BETWEEN 1 AND 3 AND a.iy = b.iy + l.lag GROUP BY ALL),
+    hp AS (SELECT t, u, lag * 10.0::DOUBLE AS d, round(r, 9) AS c FROM lg QUALIFY row_number() OVER (PARTITION BY t, u ORDER BY round(r, 9) DESC, lag) = 1)"""
+
+
+def _lagged(spark, sf_dir) -> DataFrame:
+    return motion.lagged_pairs(motion.profiles(_mp(R.spikes(spark, sf_dir)), 100.0, "my", 10.0), 4, 3)
+
+
+@query(f"WITH {_PAIRS} SELECT t, u, d, round(c, 4) AS c FROM hp")
+def zncc_pairs(spark, sf_dir):
+    p = motion.hard_pairs(_lagged(spark, sf_dir), 10.0)
+    return p.select("t", "u", "d", r4(F.col("c")).alias("c"))
+
+
+@query(f"WITH {_PAIRS} SELECT t, u, round(sum(exp((r - 1) / 0.2) * lag) / sum(exp((r - 1) / 0.2)) * 10, 4) AS d, round(sum(exp((r - 1) / 0.2) * r) / sum(exp((r - 1) / 0.2)), 4) AS c FROM lg GROUP BY t, u")
+def soft_zncc_pairs(spark, sf_dir):
+    p = motion.soft_pairs(_lagged(spark, sf_dir), 10.0, 0.2)
+    return p.select("t", "u", r4(F.col("d")).alias("d"), r4(F.col("c")).alias("c"))
+
+
+@query(f"WITH {_PAIRS} SELECT t, u, d, round(pow(greatest(c - 0.3, 0), 2), 4) AS w FROM hp WHERE t - u <= 2")
+def pair_matrix_weights(spark, sf_dir):
+    p = motion.weights(motion.hard_pairs(_lagged(spark, sf_dir), 10.0), 0.3, 2.0, 2)
+    return p.select("t", "u", "d", r4(F.col("w")).alias("w"))
+
+
+@query(f"WITH {_PAIRS}, b AS (SELECT t, u, d, c FROM hp UNION ALL SELECT u, t, 5 - d, c FROM hp) SELECT a.t, a.u, CASE WHEN abs(a.d) <= abs(-b.d) THEN a.d ELSE -b.d END AS d, round((a.c + b.c) / 2, 4) AS c FROM b a JOIN b ON b.t = a.u AND b.u = a.t")
+def reciprocity_contract(spark, sf_dir):
+    """The contract applied to pairs whose two directions disagree."""
+    p = motion.hard_pairs(_lagged(spark, sf_dir), 10.0)
+    both = p.union(p.select(F.col("u").alias("t"), F.col("t").alias("u"), (5 - F.col("d")).alias("d"), "c"))
+    r = motion.reciprocal(both, True)
+    return r.select("t", "u", "d", r4(F.col("c")).alias("c"))
+
+
+@query()
+def rigid_solve(spark, sf_dir):
+    p = motion.weights(motion.soft_pairs(_lagged(spark, sf_dir), 10.0, 0.2), 0.1, 2.0, 3)
+    return motion.solved(p).select("t", F.round("p", 3).alias("p"))
+
+
+# strings, tables, quantisation
+
+
+@query(f"""WITH {REC}, g AS (SELECT 'run_' || kind || '_M' || CAST(channel % 4 AS VARCHAR) || '_R' || CAST(user_id % 3 AS VARCHAR) AS tag, amp FROM train)
+    SELECT regexp_extract(tag, '^run_([a-z]+)_', 1) AS family, CAST(regexp_extract(tag, '_M([0-9]+)', 1) AS INT) AS m, CAST(regexp_extract(tag, '_R([0-9]+)', 1) AS INT) AS r, count(*) AS n, round(avg(amp), 4) AS amp FROM g GROUP BY ALL""")
+def tag_regex_parse(spark, sf_dir):
+    """Builds run tags from fields and reads the fields back from the tags."""
+    tag = F.concat(F.lit("run_"), "kind", F.lit("_M"), (F.col("channel") % 4).cast("string"), F.lit("_R"), (F.col("user_id") % 3).cast("string"))
+    g = R.train(spark, sf_dir).select(tag.alias("tag"), "amp")
+    return g.groupBy(F.regexp_extract("tag", "^run_([a-z]+)_", 1).alias("family"), F.regexp_extract("tag", "_M([0-9]+)", 1).cast("int").alias("m"), F.regexp_extract("tag", "_R([0-9]+)", 1).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("amp")).alias("amp"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k, count(*) AS n, round(avg(value), 4) AS amp FROM events GROUP BY ALL")
+def json_props(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", F.from_json("props", "k int").alias("p"))
+    return e.groupBy("event_type", (F.col("p.k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("value")).alias("amp"))
+
+
+@query(f"WITH {REC}, h AS (SELECT min(amp) AS lo, max(amp) AS hi FROM train) SELECT spike_id, CAST(floor((amp - lo) / (hi - lo) * 65535) AS INT) AS q FROM train, h")
+def quantize_u16(spark, sf_dir):
+    s = R.train(spark, sf_dir)
+    h = s.agg(F.min("amp").alias("lo"), F.max("amp").alias("hi"))
+    j = s.join(F.broadcast(h))
+    return j.select("spike_id", F.floor((F.col("amp") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 65535).cast("int").alias("q"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS v, round(max(o_totalprice), 2) AS price, CAST(NULL AS VARCHAR) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+    b AS (SELECT o_custkey AS k, max(o_orderkey) AS v, CAST(NULL AS DOUBLE) AS price, max(o_orderstatus) AS status FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1),
+    u AS (FROM a UNION ALL FROM b) SELECT k, max(v) AS v, arg_max(price, v) FILTER (price IS NOT NULL) AS price, arg_max(status, v) FILTER (status IS NOT NULL) AS status FROM u GROUP BY k""")
+def metrics_upsert(spark, sf_dir):
+    """Two partial tables merged by key: newest non-null value of each field."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("k"), "o_totalprice", "o_orderstatus")
+    a = o.where("o_orderkey % 2 = 0").groupBy("k").agg(F.max("o_orderkey").alias("v"), F.round(F.max("o_totalprice"), 2).alias("price"))
+    b = o.where("o_orderkey % 2 = 1").groupBy("k").agg(F.max("o_orderkey").alias("v"), F.max("o_orderstatus").alias("status"))
+    return tables.upserted(a, b, ["k"], "v").select("k", "v", "price", "status")
+
+
+@query("""SELECT c_custkey, c_mktsegment, coalesce(n, 0) AS orders, total, CASE WHEN n IS NULL THEN 'control' ELSE 'run' END AS row_kind FROM customer
+    LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON o_custkey = c_custkey""")
+def run_index_join(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    j = c.join(o, "c_custkey", "left")
+    return j.select("c_custkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("orders"), "total", F.when(F.col("n").isNull(), "control").otherwise("run").alias("row_kind"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def metric_cube(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
