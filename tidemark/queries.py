@@ -208,11 +208,11 @@ def error_raster(spark, sf_dir):
 @query(f"""WITH {REC}, {GEO}, {MP}, u AS (SELECT amp, mx / 10 AS u, my / (10 * sqrt(3)) AS v FROM mp),
     d AS (SELECT *, pow(u - floor(u + 0.5), 2) + 3 * pow(v - floor(v + 0.5), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS f FROM u)
     SELECT CASE WHEN f THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN f THEN floor(u + 0.5) ELSE floor(u) END AS BIGINT) AS i, CAST(CASE WHEN f THEN floor(v + 0.5) ELSE floor(v) END AS BIGINT) AS j,
-    count(*) AS n, round(avg(amp), 4) AS amp FROM d GROUP BY ALL""")
+    count(*) AS n, round(avg(amp) + 1e-7, 4) AS amp FROM d GROUP BY ALL""")
 def hexbin_mean(spark, sf_dir):
     s = _mp(R.spikes(spark, sf_dir))
     k, i, j = rasters.hexagon(F.col("mx"), F.col("my"), 10.0)
-    return s.groupBy(k.alias("lattice"), i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("amp")).alias("amp"))
+    return s.groupBy(k.alias("lattice"), i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("amp") + 1e-7).alias("amp"))
 
 
 @query(f"WITH {REC}, {GEO}, {MP} SELECT CAST(floor(t / 100) AS INT) AS bin, CAST(floor(mx / 10) AS INT) AS ix, CAST(floor(my / 20) AS INT) AS iy, CAST(floor(mz / 10) AS INT) AS iz, round(sum(amp), 4) AS amp, count(*) AS n FROM mp WHERE mx >= 0 AND mx < 80 AND my >= 0 AND my < 320 AND mz >= 0 AND mz < 50 GROUP BY ALL")
