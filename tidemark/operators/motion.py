@@ -112,3 +112,17 @@ def step_score(trace: DataFrame) -> DataFrame:
     w = Window.orderBy("t")
     d = trace.select((F.col("p") - F.lag("p").over(w)).alias("dp"), (F.col("gt") - F.lag("gt").over(w)).alias("dg"))
     return d.where("dp is not null").agg(F.corr("dp", "dg").alias("step_r"), F.count(F.lit(1)).alias("n"))
+
+
+def detrended_score(trace: DataFrame) -> tuple[float, float, float]:
+    """(r, gain, residual) of p against gt after a least-squares parabola in t is taken off both; from sums, zeros if flat."""
+    names = ["one", "t", "t2", "p", "gt"]
+    d = trace.select(F.lit(1.0).alias("one"), (F.col("t") / 1000).alias("t"), F.pow(F.col("t") / 1000, 2).alias("t2"), "p", "gt")
+    sums = d.agg(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).first()
+    g = np.array([x or 0.0 for x in sums]).reshape(5, 5)
+    base, own = g[:3, :3], g[3:, 3:]
+    left = own - g[3:, :3] @ np.linalg.pinv(base) @ g[:3, 3:]
+    pp, pg, gg = left[0, 0], left[0, 1], left[1, 1]
+    if pp <= 1e-12 or gg <= 1e-12:
+        return 0.0, 0.0, 0.0
+    return float(pg / np.sqrt(pp * gg)), float(pg / gg), float(np.sqrt(max(pp - pg * pg / gg, 0) / max(g[0, 0], 1)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
 from tidemark.functions.kernels import KERNELS
-from tidemark.operators import inference, interpolate, motion, rasters, tables, windows
+from tidemark.operators import inference, interpolate, learning, motion, rasters, tables, windows
 from tidemark.plans.oracle import GEO, LAT, REC, WAY
 from tidemark.sources import recording as R
 
@@ -470,6 +470,71 @@ def rigid_solve(spark, sf_dir):
     return motion.solved(p).select("t", F.round("p", 3).alias("p"))
 
 
+@query()
+def nonrigid_solve(spark, sf_dir):
+    """Motion of each depth window of 100 um, solved apart."""
+    s = _mp(R.spikes(spark, sf_dir)).withColumn("win", F.floor(F.col("my") / 100).cast("int"))
+    prof = s.select(F.floor(F.col("t") / 200).alias("bin"), "win", F.floor(F.col("my") / 10).alias("iy"), "amp").groupBy("bin", "win", "iy").agg(F.sum("amp").alias("w"))
+    key = prof.select(F.struct("win", "iy").alias("cell"), "bin", "win", "iy", "w")
+    out = None
+    for win in range(3):  # a fixed number of windows
+        p = motion.weights(motion.soft_pairs(motion.lagged_pairs(key.where(F.col("win") == win).select("bin", "iy", "w"), 3, 3), 10.0, 0.2), 0.1, 2.0, 3).withColumn("win", F.lit(win))
+        out = p if out is None else out.union(p)
+    return motion.solved(out, "win").select("win", "t", F.round("p", 3).alias("p"))
+
+
+@query()
+def control_ladder(spark, sf_dir):
+    """Motion and its scores when depths are shrunk towards the channel: 0 is the control without localisation."""
+    s = _mp(R.spikes(spark, sf_dir))
+    rows = []
+    for k in (0.0, 0.25, 0.5, 1.0):
+        y = s.withColumn("yk", F.col("y") + k * (F.col("my") - F.col("y")))
+        p = motion.solved(motion.weights(motion.soft_pairs(motion.lagged_pairs(motion.profiles(y, 100.0, "yk", 10.0), 3, 3), 10.0, 0.2), 0.1, 2.0, 3))
+        trace = interpolate.interpolated(p.select((F.col("t") * 100.0 + 50).alias("t"), "p"), R.waypoints(spark), 100.0, "gt")
+        r, gain, left = motion.detrended_score(trace)
+        rows.append((k, round(r, 3), round(gain, 3), round(left, 3)))
+    return spark.createDataFrame(rows, "shrink double, r double, gain double, residual double")
+
+
+# learning
+
+
+@query()
+def codebook_fit(spark, sf_dir):
+    """Error by iteration of the alternating fit; it never rises."""
+    _, history = learning.fit(R.spikes(spark, sf_dir))
+    return spark.createDataFrame([(h["iteration"], h["alpha"], round(h["nmse"], 6)) for h in history], "iteration int, alpha double, nmse double")
+
+
+@query()
+def block_pca_scores(spark, sf_dir):
+    """Scores of each spike's first row in the principal axes of its channel, equalised by rank."""
+    s = R.spikes(spark, sf_dir).select("spike_id", "channel", F.slice("w", 1, 8).alias("v"))
+    p = learning.block_pca(s, "channel", "v", "spike_id")
+    return windows.rank_equalized(p, ["channel"], "pc0", "spike_id").select("spike_id", "channel", F.round("pc0", 5).alias("pc0"), r4(F.col("rank01")).alias("rank01"))
+
+
+@query()
+def stream_tumbling_bins(spark, sf_dir):
+    """Events by tumbling hour through a streaming query."""
+    import uuid
+
+    from tidemark.streaming.bins import drained, tumbling
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="tidemark-stream-")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
+    e = e.select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    name = f"bins_{uuid.uuid4().hex}"
+    out = drained(tumbling(e, "1 hour", "1 minute"), name, f"{shared}/{name}")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n", r4(F.col("amp")).alias("amp"))
+
+
 # strings, tables, quantisation
 
 
