@@ -125,27 +125,76 @@ def _probe(buckets: int):
     return run
 
 
-def _bucketed(decide):
-    """Feeds decide the rows of one bucket at a time; rows settled before (bucket < 0) pass."""
+_PACKED = "bucket int, docs binary, counts binary, items binary"
+
+
+def _bucketed(decide, buckets: int):
+    """Feeds decide the rows of one bucket at a time; what it finds for each document, and what was settled before (bucket < 0),
+    is packed by a hash of the document: a few large rows, however many documents there are."""
 
     def run(batches):
+        found, held = [], 0
+
+        def packed():
+            docs = np.array([d for d, _ in found], dtype=np.int64)
+            to = (mix(docs.astype(U), 21) % U(buckets)).astype(np.int64)
+            rows = []
+            for t, own in _by_owner(to, np.arange(len(docs))):
+                items = [found[i][1] for i in own]
+                rows.append((t, docs[own].tobytes(), np.array([len(x) for x in items], dtype=np.uint32).tobytes(), b"".join(items)))
+            cols = zip(*rows, strict=True)
+            kinds = (pa.int32(), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "docs", "counts", "items"])
+
         bucket, parts = -1, []
         for batch in batches:
             for b, doc, x, y, docs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if b < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([x], pa.binary())], ["doc", "x"])
-                    continue
-                if b != bucket and parts:
-                    yield from decide(bucket, parts)
-                    parts = []
-                bucket = b
-                parts.append((x, y, docs))
+                    found.append((doc, x))
+                    held += len(x)
+                else:
+                    if b != bucket and parts:
+                        for d, v in decide(bucket, parts):
+                            found.append((d, v))
+                            held += len(v)
+                        parts = []
+                    bucket = b
+                    parts.append((x, y, docs))
+                if held >= 8 * FLUSH:
+                    yield packed()
+                    found, held = [], 0
         if parts:
-            yield from decide(bucket, parts)
+            found += decide(bucket, parts)
+        if found:
+            yield packed()
 
     return run
 
 
+def _by_document(batches):
+    """(doc, items) of all packed rows of one bucket."""
+    bucket, parts = None, []
+
+    def out():
+        docs = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])
+        items = []
+        for _, counts, raw in parts:
+            end = np.cumsum(np.frombuffer(counts, np.uint32).astype(np.int64))
+            items += [raw[e - c : e] for e, c in zip(end.tolist(), np.frombuffer(counts, np.uint32).tolist(), strict=True)]
+        got = [(d, b"".join(items[i] for i in own)) for d, own in _by_owner(docs, np.arange(len(docs)))]
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], ["doc", "x"])
+
+    for batch in batches:
+        for b, *rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if b != bucket and parts:
+                yield out()
+                parts = []
+            bucket = b
+            parts.append(rest)
+    if parts:
+        yield out()
+
+
 def _hits(bucket, parts):
     low = np.concatenate([np.frombuffer(x, np.uint32) for x, _, _ in parts])
     tables = [np.frombuffer(d, np.int64).reshape(-1, 2) for _, _, d in parts]
@@ -160,17 +209,16 @@ def _hits(bucket, parts):
     near = near[np.isin(low[near] >> 1, block)]
     order = near[np.argsort(low[near] >> 1, kind="stable")]
     if not len(order):
-        return
+        return []
     name, own = low[order] >> 1, own[order]
     begin = _groups(name)
     text = table[own, 1]
     many = np.minimum.reduceat(text, begin) != np.maximum.reduceat(text, begin)
     inside = np.repeat(many, np.diff(np.append(begin, len(name))))
     if not inside.any():
-        return
+        return []
     tags = np.int64(bucket) << 32 | name[inside].astype(np.int64) << 1
-    got = list(_by_owner(own[inside], tags))
-    yield pa.RecordBatch.from_arrays([pa.array([int(table[o, 0]) for o, _ in got], pa.int64()), pa.array([np.unique(v).tobytes() for _, v in got], pa.binary())], ["doc", "x"])
+    return [(int(table[o, 0]), np.unique(v).tobytes()) for o, v in _by_owner(own[inside], tags)]
 
 
 def _extend(buckets: int):
@@ -239,9 +287,7 @@ def _later(bucket, parts):
     h, doc, place = full["h"][order], doc[order], full["place"][order]
     begin = _groups(h)
     later = doc > np.repeat(doc[begin], np.diff(np.append(begin, len(h))))
-    if later.any():
-        got = list(_by_owner(doc[later], place[later]))
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc", "x"])
+    return [(d, v.tobytes()) for d, v in _by_owner(doc[later], place[later])] if later.any() else []
 
 
 def marked(text: DataFrame) -> DataFrame:
@@ -253,14 +299,17 @@ def marked(text: DataFrame) -> DataFrame:
     whole = written(whole, "sequences")
     least = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"))
     whole = written(whole.join(least, ["n", "h1", "h2"]).select("doc_id", "least"), "equal")
-    kind = "doc long, x binary"
     deal_out = lambda rows: rows.repartitionById(buckets, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")).sortWithinPartitions("bucket")
-    hits = written(deal_out(usable.mapInArrow(_probe(buckets), _ROWS)).mapInArrow(_bucketed(_hits), kind), "hits")
+
+    def gathered(rows: DataFrame, decide, name: str) -> DataFrame:
+        packed = deal_out(rows).mapInArrow(_bucketed(decide, buckets), _PACKED)
+        return written(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_by_document, "doc long, x binary"), name)
+
+    hits = gathered(usable.mapInArrow(_probe(buckets), _ROWS), _hits, "hits")
     # the smallest of equal documents stands for them
     hits = hits.join(whole, hits.doc == whole.doc_id).groupBy("least").agg(F.collect_set("x").alias("hits"))
     found = usable.join(hits, usable.doc_id == hits.least).select("doc_id", "text", "hits")
-    later = written(deal_out(found.mapInArrow(_extend(buckets), _ROWS)).mapInArrow(_bucketed(_later), kind), "windows")
-    places = later.groupBy("doc").agg(F.collect_list("x").alias("places")).withColumnRenamed("doc", "doc_id")
+    places = gathered(found.mapInArrow(_extend(buckets), _ROWS), _later, "windows").select(F.col("doc").alias("doc_id"), F.array("x").alias("places"))
     copies = whole.where("doc_id > least").select("doc_id", F.lit(True).alias("copy"))
     return places.join(copies, "doc_id", "full").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "places")
 
