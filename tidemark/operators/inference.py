@@ -64,6 +64,25 @@ def located(spikes: DataFrame, kernel: str = "monopole") -> DataFrame:
     return a.select("spike_id", "t", "channel", "amp", "kind", (F.col("x") + F.col("best.px")).alias("px"), (F.col("y") + F.col("best.py")).alias("py"), F.col("best.pz").alias("pz"), F.col("best.score").alias("score"), "energy")
 
 
+def pair_terms(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataFrame:
+    """Joint refit of each spike's two best places with free shapes: the 2 x 2 system in closed form.
+
+    captured = (|u1|^2 + |u2|^2 - 2 c u1.u2) / (1 - c^2) with u_i the coefficients under place i and c the footprints' overlap;
+    leaving one place out loses captured - |u of the other|^2.
+    """
+    omega = dct(m)
+    f = footprints(spikes.sparkSession, kernel)
+    j = spikes.select("spike_id", "channel", projected(F.col("w"), omega).alias("p")).join(F.broadcast(f.select("channel", "cand")), "channel")
+    u = lambda c: F.array(*[F.aggregate(F.zip_with(c["g"], F.col("p"), lambda g, p: g * F.element_at(p, i + 1)), F.lit(0.0), lambda s, x: s + x) for i in range(m)])  # noqa: B023,E731
+    found = F.transform(F.transform("cand", lambda c: F.struct(c["n"].alias("n"), c["g"].alias("g"), u(c).alias("u"))), lambda c: F.struct(energy(c["u"]).alias("score"), (-c["n"]).alias("neg"), c["g"].alias("g"), c["u"].alias("u")))
+    best = j.select("spike_id", F.slice(F.reverse(F.array_sort(found)), 1, 2).alias("b"))
+    a, b = F.col("b")[0], F.col("b")[1]
+    c = dot(a["g"], b["g"])
+    best = best.select("spike_id", (-a["neg"]).alias("n1"), (-b["neg"]).alias("n2"), a["score"].alias("s1"), b["score"].alias("s2"), c.alias("c"), dot(a["u"], b["u"]).alias("x"))
+    got = (F.col("s1") + F.col("s2") - 2 * F.col("c") * F.col("x")) / F.greatest(1 - F.col("c") * F.col("c"), F.lit(1e-12))
+    return best.select("spike_id", "n1", "n2", "s1", "s2", "c", got.alias("captured"), ((1 + F.abs("c")) / F.greatest(1 - F.abs("c"), F.lit(1e-12))).alias("condition"))
+
+
 def shift_bank(omega: np.ndarray, most: int) -> np.ndarray:
     """Rows q * (2 * most + 1) + lag + most: each codebook row shifted without wrapping, unit norm."""
     out = []

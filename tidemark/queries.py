@@ -157,9 +157,55 @@ def source_usage(spark, sf_dir):
     return s.groupBy("n", "q").agg(F.count(F.lit(1)).alias("sources"), r4(F.sum("amp")).alias("amp"))
 
 
+@query(f"""WITH {REC}, {GEO}, {LAT}, t2 AS (SELECT spike_id, n, score, row_number() OVER (PARTITION BY spike_id ORDER BY score DESC, n) AS rn FROM sc QUALIFY rn <= 2),
+    uu AS (SELECT t2.spike_id, rn, t2.n, score, m, any_value(g) AS g, any_value(list_sum(list_transform(range(1, 9), lambda c: g[c] * p[c]))) AS u FROM t2 JOIN pj USING (spike_id) JOIN fp ON fp.channel = pj.channel AND fp.n = t2.n GROUP BY ALL),
+    pr AS (SELECT a.spike_id, any_value(a.n) AS n1, any_value(b.n) AS n2, any_value(a.score) AS s1, any_value(b.score) AS s2, any_value(list_sum(list_transform(range(1, 9), lambda i: a.g[i] * b.g[i]))) AS c, sum(a.u * b.u) AS x FROM uu a JOIN uu b ON a.spike_id = b.spike_id AND a.m = b.m AND a.rn = 1 AND b.rn = 2 GROUP BY a.spike_id),
+    r AS (SELECT *, (s1 + s2 - 2 * c * x) / greatest(1 - c * c, 1e-12) AS captured FROM pr)
+    SELECT n1, n2, count(*) AS n, round(avg(captured - s2), 3) AS loss1, round(avg(captured - s1), 3) AS loss2, round(avg((1 + abs(c)) / greatest(1 - abs(c), 1e-12)), 3) AS condition FROM r GROUP BY n1, n2""")
+def pair_multishape_2x2(spark, sf_dir):
+    """Two-source refit by pair of places: what leaving either out loses, and the condition of the pair."""
+    p = inference.pair_terms(R.spikes(spark, sf_dir))
+    g = p.groupBy(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("captured") - F.col("s2")), 3).alias("loss1"), F.round(F.avg(F.col("captured") - F.col("s1")), 3).alias("loss2"), F.round(F.avg("condition"), 3).alias("condition"))
+
+
 # readouts, rasters, aggregations
 
 
+@query(f"WITH {REC}, s AS (SELECT spike_id, list_reverse_sort(ptp)[2] / list_sum(ptp) AS second, list_sum(list_transform(ptp, lambda x: CASE WHEN x > 0 THEN -(x / list_sum(ptp)) * ln(x / list_sum(ptp)) ELSE 0 END)) AS entropy FROM z) SELECT CAST(least(floor(second * 20), 9) AS INT) AS bin, count(*) AS n, round(avg(entropy), 4) AS entropy FROM s GROUP BY 1")
+def second_contribution(spark, sf_dir):
+    """Histogram of the second-largest slot share, with the mean entropy of the shares."""
+    s = R.spikes(spark, sf_dir).select(A.peak_to_peak(F.col("w"), 8, 8).alias("ptp")).withColumn("all", A.total(F.col("ptp")))
+    share = F.transform("ptp", lambda x: x / F.col("all"))
+    entropy = F.aggregate(share, F.lit(0.0), lambda t, x: t - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
+    s = s.select(F.element_at(F.sort_array(share, False), 2).alias("second"), entropy.alias("entropy"))
+    return s.groupBy(F.least(F.floor(F.col("second") * 20), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("entropy")).alias("entropy"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def missing_tags(spark, sf_dir):
+    """Keys of one table that another lacks."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(o, "c_custkey", "left_anti")
+
+
+@query(f"WITH {REC} SELECT 'run' AS row_kind, kind AS name, count(*) AS n, round(sum(amp), 3) AS amp, 0 AS users FROM train GROUP BY kind UNION ALL SELECT 'control', 'ch' || CAST(channel AS VARCHAR), count(*), NULL, count(DISTINCT user_id) FROM train GROUP BY channel")
+def union_index_rows(spark, sf_dir):
+    """Rows of two kinds with different fields in one table."""
+    s = R.train(spark, sf_dir)
+    a = s.groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amp"), 3).alias("amp")).withColumn("row_kind", F.lit("run"))
+    b = s.groupBy(F.concat(F.lit("ch"), F.col("channel").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users")).withColumn("row_kind", F.lit("control"))
+    return a.unionByName(b, allowMissingColumns=True).na.fill(0, ["users"]).select("row_kind", "name", "n", "amp", "users")
+
+
+@query(f"WITH {REC} SELECT spike_id, channel, kind FROM train ORDER BY (spike_id * 7919 + 104729) % 1000003, spike_id LIMIT 500")
+def seeded_sample(spark, sf_dir):
+    """500 spikes in the order of a portable hash: the sampling operator."""
+    h = (F.col("spike_id") * 7919 + 104729) % 1000003
+    return R.train(spark, sf_dir).select("spike_id", "channel", "kind").orderBy(h, "spike_id").limit(500)
+
+
 @query(f"WITH {REC}, {GEO}, {MP} SELECT spike_id, slot - 1 AS slot, nbr, round(ptp[slot] / list_sum(ptp), 4) AS weight FROM mp, range(1, 9) r(slot) JOIN nb ON nb.slot = r.slot - 1 WHERE nb.channel = mp.channel AND ptp[r.slot] > 0".replace("slot - 1 AS slot", "r.slot - 1 AS slot").replace("ptp[slot] /", "ptp[r.slot] /"))
 def flatten_sources(spark, sf_dir):
     """One row for each active slot of each spike."""
@@ -464,6 +510,13 @@ def reciprocity_contract(spark, sf_dir):
     return r.select("t", "u", "d", r4(F.col("c")).alias("c"))
 
 
+@query(f"WITH {_PAIRS} SELECT count(*) AS pairs, count(DISTINCT d) AS displacements, round(avg(CASE WHEN d <> 0 THEN 1.0 ELSE 0.0 END), 4) AS nonzero, round(avg(c), 4) AS mean_c FROM hp")
+def pair_summary(spark, sf_dir):
+    """How many pairs, how many distinct displacements, how often they differ from zero, and the mean correlation."""
+    p = motion.hard_pairs(_lagged(spark, sf_dir), 10.0)
+    return p.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("d").alias("displacements"), r4(F.avg((F.col("d") != 0).cast("double"))).alias("nonzero"), r4(F.avg("c")).alias("mean_c"))
+
+
 @query()
 def rigid_solve(spark, sf_dir):
     p = motion.weights(motion.soft_pairs(_lagged(spark, sf_dir), 10.0, 0.2), 0.1, 2.0, 3)
