@@ -32,8 +32,8 @@ def size_of(text: Column) -> Column:
 
 
 def _hash(*what) -> Column:
-    """Non-negative 62-bit hash."""
-    return F.shiftrightunsigned(F.xxhash64(*[F.lit(x) if isinstance(x, (int, str)) else x for x in what]), 2)
+    """Non-negative 62-bit hash of columns (or their names) and numbers."""
+    return F.shiftrightunsigned(F.xxhash64(*[F.lit(x) if isinstance(x, int) else x for x in what]), 2)
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, factor: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -117,10 +117,10 @@ def mixed(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tup
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)
     # a null source joins as an empty string behind a flag, so the join stays an equality on (flag, source, block)
     key = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
-    hit = parts.select("doc_id", "start", *key, "block_no", overlap.alias("words")).join(times.select(*key, "block_no", "times"), ["none", "name", "block_no"])
+    hit = parts.select("doc_id", "start", *key, "block_no", overlap.alias("words")).join(times.select(*key, "block_no", "times").hint("merge"), ["none", "name", "block_no"])
     taken = hit.groupBy("none", "name", "doc_id", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     p = placed.select("doc_id", "source", "size", "start", *key)
-    out = p.alias("p").join(taken.alias("t"), F.expr("p.none = t.none and p.name = t.name and p.start = t.start and p.doc_id <=> t.doc_id and p.size > 0"), "left")
+    out = p.alias("p").join(taken.alias("t").hint("merge"), F.expr("p.none = t.none and p.name = t.name and p.start = t.start and p.doc_id <=> t.doc_id and p.size > 0"), "left")
     out = out.select("p.doc_id", "p.source", "p.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     return out.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.doc_id", "o.size", "s.source_size", "s.target", "o.taken", "o.source")
 
