@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 U = np.uint64
 
 

@@ -7,9 +7,10 @@ emits the hash of each non-empty segment in its own band and, as a larger partne
 
 Costs are allocated by frequency. Segments shared by at most ``COMMON`` distinct sets are compared: a pair is a candidate if it
 agrees in as many of them as m - H leaves after the empty and the common segments that both sets have. Common segments cost
-most and are skipped wherever a set has enough others (SLACK provides the spare ones); only sets whose empty and common segments
-may be all that they share (m - H or more of them) are compared through their common segments as well. One-deletion
-neighbourhoods would be a further way to make up for skipped segments; they are not used, see README.
+most and are skipped. A set whose empty and common segments may be all that it shares (m - H or more of them) makes up for them
+by one token of difference in as many other segments as are lacking, those of fewest tokens first: its segments and their
+one-deletion neighbourhoods probe the neighbourhoods and segments of all such sets. Sets with too few segments for that (they
+consist of common passages) are compared through their common segments.
 
 Candidates are then verified exactly: connected candidates are brought together in groups bounded by their shingles - larger
 ones are cut into blocks of size bands, and each pair of blocks is one group - and counted by inverted lists. Only a spanning
@@ -26,20 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blobs import FLUSH, deal, low_bits
+from tidemark.llm.blobs import FLUSH, bucket_of, deal, low_bits
 from tidemark.llm.shared import components, forest, parted, tune, written
 from tidemark.llm.words import U, mix, shingle_sets
 
 SHINGLE, SLACK, COMMON, GROUP = 5, 1.3, 48, 300_000
 
 
-def band_start(b: int) -> int:
-    lo = 1
-    for _ in range(b):
-        lo = max(lo + 1, -(-4 * lo // 3))
-    return lo
-
-
 _STARTS = [1]
 while _STARTS[-1] < 1 << 40:
     _STARTS.append(max(_STARTS[-1] + 1, -(-4 * _STARTS[-1] // 3)))
@@ -79,25 +73,40 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n", "h1", "h2"])
 
 
-_BLOB = "bucket int, sig binary, owner binary, docs binary"
+_BLOB = "bucket int, sig binary, docs binary"
+#: A document in a bucket: c0 and c1 signatures of either side are there, e0 and e1 segments of either side are empty.
+_DOC = np.dtype([("doc", "<i8"), ("h", "<i8"), ("n", "<u4"), ("e0", "<u4"), ("e1", "<u4"), ("c0", "<u4"), ("c1", "<u4")])
 
 
 def _emit(buckets: int):
-    """One row a bucket for every FLUSH signatures: low hash bits, owner (document * 2 + side), and the documents' table."""
+    """One row a bucket for every FLUSH signatures: low hash bits in the order of its documents, and the documents' table."""
 
     def run(batches):
         seen: set[int] = set()
-        docs, sigs, owners, held = [], [], [], 0
+        docs, sigs, counts, held = [], [], [], 0
 
         def flush():
             h = np.concatenate(sigs)
-            own = np.repeat(np.arange(len(owners), dtype=np.uint32), owners)
+            own = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
             order, at = deal(h, buckets)
             low, own = low_bits(h)[order], own[order]
-            table = np.array(docs, dtype=np.int64).tobytes()
-            rows = [i for i in range(buckets) if at[i + 1] > at[i]]
-            cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), cut(low), cut(own), pa.array([table] * len(rows), pa.binary())], ["bucket", "sig", "owner", "docs"])
+            table = np.array(docs, dtype=np.int64)
+            rows = []
+            for i in range(buckets):
+                mine = own[at[i] : at[i + 1]]
+                if not len(mine):
+                    continue
+                begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                of, place = np.unique(mine[begin] >> 1, return_inverse=True)
+                out = np.zeros(len(of), dtype=_DOC)
+                for k, name in enumerate(("doc", "h", "n", "e0", "e1")):
+                    out[name] = table[of, k]
+                count, side = np.diff(np.append(begin, len(mine))), mine[begin] & 1
+                out["c0"][place[side == 0]] = count[side == 0]
+                out["c1"][place[side == 1]] = count[side == 1]
+                rows.append((i, low[at[i] : at[i + 1]].tobytes(), out.tobytes()))
+            cols = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sig", "docs"])
 
         for batch in batches:
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), SHINGLE), strict=True):
@@ -108,21 +117,17 @@ def _emit(buckets: int):
                     continue
                 seen.add(h1 ^ h2 << 1)
                 own = int(np.searchsorted(STARTS, len(s), "right")) - 1
+                empty = [0, 0]
                 for side in (0, 1):
-                    band = own - side
-                    if band < 0:
-                        docs.append((doc, len(s), h1, h2, 0, 0))
-                        owners.append(0)
-                        continue
-                    sig, _ = signatures(s, band)
-                    m, h = segments(band)
-                    docs.append((doc, len(s), h1, h2, m - h, m - len(sig)))
+                    sig = signatures(s, own - side)[0] if own >= side else np.empty(0, dtype=U)
+                    empty[side] = segments(own - side)[0] - len(sig) if own >= side else 0
                     sigs.append(sig)
-                    owners.append(len(sig))
+                    counts.append(len(sig))
                     held += len(sig)
+                docs.append((doc, h1, len(s), *empty))
                 if held >= FLUSH:
                     yield flush()
-                    docs, sigs, owners, held = [], [], [], 0
+                    docs, sigs, counts, held = [], [], [], 0
         if held:
             yield flush()
 
@@ -132,37 +137,57 @@ def _emit(buckets: int):
 _SHARED = "sig long, node long, side int, n long, need int, empty int, sets int"
 
 
+def needed(n: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Segments in which linked sets agree at least, by size and side."""
+    band = np.searchsorted(STARTS, n, "right") - 1 - side
+    bands, place = np.unique(np.maximum(band, 0), return_inverse=True)
+    least = np.array([m - h for m, h in (segments(int(b)) for b in bands)], dtype=np.int64)
+    return least[place] if len(band) else np.empty(0, np.int64)
+
+
 def _meet(batches):
     """Of one bucket at a time: each (segment, set) whose segment more than one distinct set has."""
     bucket, parts = None, []
 
     def out():
         sig = np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts])
-        tables = [np.frombuffer(p[2], np.int64).reshape(-1, 6) for p in parts]
-        shift = np.cumsum([0, *[len(t) for t in tables]])
-        own = np.concatenate([np.frombuffer(p[1], np.uint32).astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])
-        docs = np.concatenate(tables)
+        docs = np.concatenate([np.frombuffer(p[1], _DOC) for p in parts])
         # equal sets from several tasks: the smallest document stands for them, the same in every bucket
-        order = np.lexsort((docs[:, 0], np.arange(len(docs)) & 1, docs[:, 3], docs[:, 2]))
+        order = np.lexsort((docs["doc"], docs["n"], docs["h"]))
         d = docs[order]
         new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:, 2] != d[:-1, 2]) | (d[1:, 3] != d[:-1, 3]) | ((order[1:] & 1) != (order[:-1] & 1))
+        new[1:] = (d["h"][1:] != d["h"][:-1]) | (d["n"][1:] != d["n"][:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
-        stands = np.empty(len(docs), dtype=np.int64)
+        stands = np.empty(len(docs), dtype=U)
         stands[order] = order[first]
-        pair = np.unique(sig.astype(U) << U(32) | stands[own].astype(U))
-        s, o = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        many = np.repeat(np.diff(np.append(begin, len(s))), np.diff(np.append(begin, len(s))))
-        need, empty = docs[o, 4], docs[o, 5]
-        keep = (many > 1) | (empty >= need)
-        s, o, many = s[keep], o[keep], many[keep]
-        cols = [s | np.int64(bucket) << 32, docs[o, 0], o & 1, docs[o, 1], docs[o, 4], docs[o, 5], many]
+        count = np.stack([docs["c0"], docs["c1"]], 1).ravel()
+        key = sig.astype(U)
+        del sig, d
+        key <<= U(32)
+        key |= np.repeat(np.stack([stands << U(1), stands << U(1) | U(1)], 1).ravel(), count)
+        key.sort()
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        group = np.ones(len(key), dtype=bool)
+        group[1:] = (key[1:] ^ key[:-1]) >> U(32) > 0
+        begin = np.flatnonzero(group)
+        size = np.diff(np.append(begin, len(key)))
+        # sets whose empty segments alone may be all they share go on with all their segments
+        bare = np.stack([docs[e] >= needed(docs["n"].astype(np.int64), np.full(len(docs), k)) for k, e in enumerate(("e0", "e1"))], 1).ravel()
+        keep = np.flatnonzero(np.repeat(size > 1, size) | bare[(key & U(0xFFFFFFFF)).astype(np.uint32)])
+        many = size[np.searchsorted(begin, keep, "right") - 1]
+        key = key[keep]
+        s, o = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
+        doc, side = docs[o >> 1], o & 1
+        empty = np.where(side == 0, doc["e0"], doc["e1"]).astype(np.int64)
+        n = doc["n"].astype(np.int64)
+        cols = [s | np.int64(bucket) << 32, doc["doc"], side, n, needed(n, side), empty, many]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)], ["sig", "node", "side", "n", "need", "empty", "sets"])
 
     for batch in batches:
-        for b, *rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for b, *rest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if b != bucket and parts:
                 yield out()
                 parts = []
@@ -186,7 +211,7 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k = len(sets)
     found_a, found_b = [], []
     # counts of a strip of rows at a time: a dense strip of k columns is the most that is held
-    strip = max(1, (1 << 22) // max(k, 1))
+    strip = max(1, (1 << 20) // max(k, 1))
     # tokens of very many sets are counted by a matrix product, the others by their lists
     dense = np.flatnonzero(df > 64)
     d_begin, d_df = begin[dense], df[dense]
@@ -203,7 +228,7 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             continue
         count = np.zeros((hi - lo) * k, dtype=np.int32)
         lens = df[listed[mine]]
-        step = max(1, int((1 << 22) // max(1, lens.max(initial=1))))
+        step = max(1, int((1 << 20) // max(1, lens.max(initial=1))))
         for c in range(0, len(mine), step):
             rows, n = mine[c : c + step], lens[c : c + step]
             partner = np.repeat(begin[listed[rows]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -233,8 +258,60 @@ def _verify(key, table):
 
 
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that may be linked, or (common segment) stars that join those who may be."""
+_PROBES = "key long, node long, role int"
+
+
+def _neighbourhoods(buckets: int):
+    """Keys of the doubtful sets. Roles: 0 index of segments, 1 index of one-deletion neighbourhoods, 2 probe of the latter by a
+    segment, 3 probe of the former by a neighbourhood, 4 (key 0) no way to make up for what is skipped."""
+
+    def run(batches):
+        for batch in batches:
+            keys, nodes, roles = [], [], []
+
+            def add(node, role, h):
+                keys.append(mix(h, 61 + (role in (1, 2))).view(np.int64))
+                nodes.append(np.full(len(h), node))
+                roles.append(np.full(len(h), role))
+
+            sides = batch.column(2).to_pylist()
+            for node, s, wanted in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), SHINGLE), sides, strict=True):
+                for want in wanted:
+                    band = int(np.searchsorted(STARTS, len(s), "right")) - 1 - want["side"]
+                    m, _ = segments(band)
+                    t = np.sort(mix(s, band + 100))
+                    seg = (t >> U(32)) * U(m) >> U(32)
+                    begin = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+                    size = np.diff(np.append(begin, len(t)))
+                    part = mix(t, 1)
+                    sums = np.add.reduceat(part, begin)
+                    name = lambda x, k: mix(x + k * U(0x9E3779B97F4A7C15), band)  # noqa: B023,E731
+                    exact = name(sums, seg[begin])
+                    short = name(np.repeat(sums, size) - part, seg)
+                    add(node, 0, exact)
+                    add(node, 1, short[np.repeat(size, size) > 1])
+                    tag = bucket_of(exact, buckets) << 32 | low_bits(exact).astype(np.int64)
+                    free = np.flatnonzero((size > 1) & ~np.isin(tag, np.array(want["commons"], dtype=np.int64)))
+                    if len(free) < want["lack"]:
+                        add(node, 4, np.zeros(1, dtype=U))
+                        continue
+                    chosen = free[np.argsort(size[free], kind="stable")[: want["lack"]]]
+                    add(node, 2, exact[chosen])
+                    add(node, 3, short[np.isin(np.repeat(np.arange(len(size)), size), chosen)])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(roles), pa.int32())], ["key", "node", "role"])
+
+    return run
+
+
+def _star(rows: DataFrame, key: str) -> DataFrame:
+    """Each row's node with the smallest node of its key."""
+    least = rows.groupBy(key).agg(F.min("node").alias("b"))
+    return rows.join(least, key).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+
+
+def candidates(shared: DataFrame, text: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (a, b) of sets that may be linked, or stars that join those who may be."""
     hot = F.col("sets") > COMMON
     held = shared.groupBy("node", "side").agg(F.sum(hot.cast("int")).alias("hot"))
     s = shared.join(held, ["node", "side"])
@@ -245,13 +322,19 @@ def candidates(shared: DataFrame) -> DataFrame:
     pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), left.alias("least"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"), F.min("least").alias("least")).where("agree >= least").select("a", "b")
     doubtful = s.where("empty + hot >= need")
-    star = doubtful.where(hot).groupBy("sig").agg(F.min("node").alias("b"))
-    stars = doubtful.where(hot).join(star, "sig").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    # sets that may agree in empty segments only: few by the choice of m, and alike in size
-    bare = doubtful.where("empty >= need").select("node", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band")).distinct()
-    bare = bare.union(bare.select("node", F.col("band") + 1))
-    bare = bare.join(bare.groupBy("band").agg(F.min("node").alias("b")), "band").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    return pairs.union(stars).union(bare)
+    lack = F.max(F.col("empty") + F.col("hot") - F.col("need") + 1).alias("lack")
+    sides = doubtful.groupBy("node", "side").agg(lack, F.collect_list(F.when(hot, F.col("sig"))).alias("commons"))
+    sides = sides.groupBy("node").agg(F.collect_list(F.struct("side", "lack", "commons")).alias("sides"))
+    keys = text.join(sides, F.col("node") == F.col("doc_id")).select("node", "text", "sides").mapInArrow(_neighbourhoods(buckets), _PROBES)
+    keys = written(keys, "neighbourhoods")
+    met = keys.where("role < 4").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("c"), F.max((F.col("role") > 1).cast("int")).alias("probed")).where("probed = 1 and b < c").select("key", "b")
+    close = keys.where("role < 4").join(met, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    stuck = doubtful.join(keys.where("role = 4").select("node").distinct(), "node", "left_semi")
+    stars = _star(stuck.where(hot).select("sig", "node"), "sig")
+    # sets that may agree in empty segments only are few by the choice of m, and alike in size
+    bare = stuck.where("empty >= need").select("node", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).alias("band")).distinct()
+    bare = _star(bare.union(bare.select("node", F.col("band") + 1)), "band")
+    return pairs.union(close).union(stars).union(bare)
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -265,7 +348,7 @@ def classes(documents: DataFrame) -> DataFrame:
     sets = written(sets.groupBy("doc_id").agg(best).select("doc_id", "s.n", "s.h1", "s.h2"), "sets")
     blobs = text.mapInArrow(_emit(buckets), _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     shared = written(blobs.mapInArrow(_meet, _SHARED), "shared")
-    edges = written(candidates(shared), "candidates")
+    edges = written(candidates(shared, text, buckets), "candidates")
     near = written(components(edges), "groups")
     links = verified(near, sets, text, buckets)
     # equal sets: each document with the smallest of its set
