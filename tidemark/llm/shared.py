@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches (texts can be long), and shuffle files that go when the query that wrote them ends."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
