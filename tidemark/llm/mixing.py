@@ -147,11 +147,13 @@ def mix(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tuple
     t = times.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "block_no", "times")
     # blocks of a document: as many as its words need; those taken in every round leave its text whole
     hit = parts.join(t, ["none", "name", "block_no"], "left").select("none", "name", "start", "block_no", F.coalesce("times", F.lit(0)).cast("int").alias("times"))
-    hit = hit.groupBy("none", "name", "start").agg(F.min("times").alias("least"), F.max("times").alias("top"), F.map_from_entries(F.collect_list(F.struct("block_no", "times"))).alias("by"))
+    hit = hit.groupBy("none", "name", "start").agg(F.min("times").alias("least"), F.max("times").alias("top"), F.array_sort(F.collect_list(F.struct("block_no", "times"))).alias("by"))
     hit = hit.where("top > 0")
     j = d.join(hit, ["none", "name", "start"]).select("row", "start", "least", "by", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("round"))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(f"({_WORDS})"), 1)
-    chosen = F.filter(words, lambda w, i: F.element_at(F.col("by"), F.floor((F.col("start") + i) / block)) >= F.col("round"))
+    # a document's blocks follow each other, so a word finds its own by position
+    place = lambda i: (F.floor((F.col("start") + i) / block) - F.floor(F.col("start") / block) + 1).cast("int")
+    chosen = F.filter(words, lambda w, i: F.element_at(F.col("by.times"), place(i)) >= F.col("round"))
     text = F.when(F.col("round") <= F.col("least"), F.col("row.text")).otherwise(F.array_join(chosen, " "))
     j = j.select("row", text.alias("new"))
     given = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
