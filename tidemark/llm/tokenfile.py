@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from tidemark.llm.words import chunks
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 400_000
 BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
-_MARKS = ".,;:!?"
+_MARKS, _BAR, _KEPT = ".,;:!?", "|", "\x1c\x1d\x1e\x1f"
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -64,6 +65,7 @@ class Words:
         self.older: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.bar = self.tokenizer.encode(_BAR, add_special_tokens=False).ids[0]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
@@ -87,7 +89,7 @@ class Words:
             # marks after a letter or digit are tokens of their own; up to U+012F lower-casing is the vocabulary's own, too
             core = w.rstrip(_MARKS)
             tail = w[len(core) :]
-            if tail and not (core and core[-1].isalnum()):
+            if tail and not (core and core[-1].lower()[-1].isalnum()):
                 core, tail = w, ""
             if core and max(core) < "\u0130":
                 core = core.lower()
@@ -96,17 +98,25 @@ class Words:
                 wanted.add(core)
             if tail not in cores:
                 wanted.add(tail)
-        wanted = list(wanted)
-        for i in range(0, len(wanted), 20_000):
-            some = wanted[i : i + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cores[x] = array("I", e.ids).tobytes()
+        # encoded many at a time, parted by a mark that is a token of its own
+        alone = [x for x in wanted if _BAR in x]
+        for x in alone:
+            cores[x] = self.encode(x)
+        wanted = list(wanted.difference(alone))
+        groups = [wanted[i : i + 64] for i in range(0, len(wanted), 64)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_BAR} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids_of = np.array(e.ids, dtype="<u4")
+            cut = np.flatnonzero(ids_of == self.bar).tolist()
+            raw = ids_of.tobytes()
+            for x, a, b in zip(some, [0, *[c + 1 for c in cut]], [*cut, len(ids_of)], strict=True):
+                cores[x] = raw[4 * a : 4 * b]
         for w, core, tail in parts:
             ids[w] = cores[core] + cores[tail] if tail else cores[core]
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """Of about a MB of texts, or of one longer text."""
-        split = [None if any(s in x for s in self.special) else x.translate(_SPACES).split(" ") for x in texts]
+        # str.split() also parts at the four controls that the vocabulary keeps; texts with them are parted at plain spaces
+        split = [None if any(s in x for s in self.special) else x.split() if not any(c in x for c in _KEPT) else x.translate(_SPACES).split(" ") for x in texts]
         self.learn([x for x in split if x is not None])
         get = self.ids.__getitem__
         return [self.encode(x) if w is None else b"".join(map(get, w)) for x, w in zip(texts, split, strict=True)]
@@ -131,15 +141,14 @@ def _blocks(path: str, end_id: int):
 
     def run(batches):
         w, tail = words(path), np.array([end_id], dtype="<u4").tobytes()
-        shard, block, docs, held, size = None, 0, [], [], 0
+        shard, block, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            encoded = (x for a, b, _, _ in chunks(batch.column(2)) for x in w.documents([y or "" for y in batch.column(2)[a:b].to_pylist()]))
-            for s, d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded, strict=True):
+            encoded = (x for a, b, _, _ in chunks(batch.column(1)) for x in w.documents([y or "" for y in batch.column(1)[a:b].to_pylist()]))
+            for d, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += tail
-                if docs and (s != shard or len(docs) >= BLOCK_DOCS or size + len(ids) > 4 * BLOCK_IDS):
+                if docs and (len(docs) >= BLOCK_DOCS or size + len(ids) > 4 * BLOCK_IDS):
                     yield pack(shard, block, docs, held)
-                    block, docs, held, size = block + 1 if s == shard else 0, [], [], 0
-                shard = s
+                    block, docs, held, size = block + 1, [], [], 0
                 docs.append(d)
                 held.append(ids)
                 size += len(ids)
@@ -157,13 +166,8 @@ def encode(documents: DataFrame, end_id: int = 1, path: str | None = None) -> Da
     spark = documents.sparkSession
     tune(spark)
     n = parted(spark)
-    # bounds of equal ranges, one number a shard: approximate percentiles of one narrow column
-    bounds = documents.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    shard = F.lit(0)
-    if bounds:
-        shard = F.coalesce(F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col("doc_id"))), F.lit(0))
-    placed = documents.select(shard.cast("int").alias("shard"), "doc_id", "text").repartitionById(n, F.col("shard"))
-    placed = placed.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    placed = documents.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return placed.mapInArrow(_blocks(path or public_tokenizers.path(VOCABULARY), end_id), _BLOCK)
 
 
