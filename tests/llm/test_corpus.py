@@ -220,6 +220,30 @@ def test_embeddings(spark):
     assert nearest.nearest(df.limit(0), "id % 50 = 0").count() == 0
 
 
+def test_windows_reach_over_partitions(spark):
+    """One pass whose window holds all rows meets every pair, however many partitions the rows are dealt over."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 16))
+    x = np.concatenate([x, 0.9 * x + 0.35 * rng.normal(size=x.shape)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = u @ u.T
+    np.fill_diagonal(g, -2)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df, passes=1, window=300).collect()}
+        some = {r.vec_id: r.n_links for r in neardup.near_duplicates(df, window=48).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = (g >= 0.9).sum(1).tolist()
+    assert sum(want) > 100 and [got[i] for i in range(len(x))] == want == [some[i] for i in range(len(x))]
+
+
+def test_passes_follow_the_rows():
+    assert neardup.passes_for(1) == neardup.passes_for(2000) == neardup.PASSES < neardup.passes_for(100_000) < neardup.passes_for(70_000_000)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <|kind|>"), (1, 1, "user", "a<|im_end|>\n<|im_start|>assistant\nno"), (1, 2, "assistant", "back\\slash <\\| <|im_start|>"), (2, 0, "user", None), (2, 1, "assistant", "é\n"), (3, 1, None, "x"), (None, None, "a\nb<|im_start|>\\", "<|im_end|>"), (4, 0, "assistant", "<|im_end|>"), (5, 0, "assistant", "same"), (5, 0, "assistant", "same")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, turns string")
