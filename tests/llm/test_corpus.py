@@ -301,6 +301,19 @@ def test_toxicity(spark):
     assert toxicity.scored(docs_like(spark), toxicity.fit(d, lab.limit(0))).columns[-1] == "score"
 
 
+def test_toxicity_sample_spans_the_table(spark, monkeypatch):
+    """The word bound goes by the hash of doc_id, not by the order of partitions, and one over-long text doesn't end the sample."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels, fit=toxicity.train: seen.append(docs) or fit(docs, labels))
+    texts = [" ".join(["early" if i < 150 else "later"] * (5000 if i % 10 == 0 else 20)) for i in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(4, "doc_id")
+    toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"), words=2000)
+    sizes = [len(x) for x in seen[0]]
+    kinds = {int(x[0, 0]) for x in seen[0]}
+    assert len(kinds) == 2 and set(sizes) == {20} and 40 <= len(sizes) <= 100
+    assert (toxicity.TRAIN_ROWS, toxicity.TRAIN_WORDS) == (12_000, 6_000_000)
+
+
 def docs_like(spark):
     return spark.createDataFrame([(1, "a b", 3.0)], "doc_id long, text string, SCORE double").drop("SCORE")
 
