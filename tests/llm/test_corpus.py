@@ -279,6 +279,20 @@ def test_secrets(spark, docs, empty):
     assert secrets.redacted(docs).columns == docs.columns and secrets.redacted(docs).where("doc_id = 1").first().text is None
 
 
+def test_secrets_have_no_length_caps():
+    import time
+
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcXYZ0189+/") for _ in range(9000))
+    wide = " " * 40
+    for text in (f'private_key = "{long}"', f"credential: '{long}'", f"db_pwd = {long}", f'{"x" * 200}_pwd = "{long}"', f'db_pwd{wide}={wide}"{long}"', f"db_pwd{wide}:\t{wide}{long}"):
+        assert [text[a:b] for a, b in secrets.named(text)] == [long] and long[-40:] not in secrets.redact(text)
+    start = time.perf_counter()
+    for text in ("a" * 500_000, "a= " + " " * 500_000, "a = \"" * 100_000, "a-" * 250_000 + "=", "a:" * 250_000, "ab \t" * 100_000 + "=", "A" * 500_000 + "a=1", "a='b=\"" * 80_000):
+        secrets._PAIR.findall(text)
+    assert time.perf_counter() - start < 10
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []

@@ -31,7 +31,8 @@ ASSIGN_LEAST = 6
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Weight of the words that a name may hold.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "private": 2, "auth": 2, "bearer": 2, "signing": 1, "access": 1, "key": 1, "api": 1, "session": 1, "salt": 1}
-_PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w$.-]{0,127})["']?[ \t]{0,16}(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]{0,16}(?:"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([^\s"'`,;(){}\[\]<>]{1,4096}))""", re.ASCII)
+# possessive runs without length limits: a name starts only where its run starts, and a quote that fails is the last of its line, so this is linear
+_PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w$.-]*+)["']?+[ \t]*+(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"'`,;(){}\[\]<>]++))""", re.ASCII)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z", re.ASCII)
 
