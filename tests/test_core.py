@@ -151,3 +151,19 @@ def test_stream_writes_open_windows(spark, tmp_path):
     start = F.date_format(F.window("ts", "1 hour").start, "yyyy-MM-dd HH").alias("start")
     want = {r.start: r.n for r in e.groupBy(start).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r.start: r.n for r in got.collect()} == want
+
+
+def test_pair_search_tries_all_pairs(spark):
+    from tidemark.sources import recording
+
+    s = recording.spikes(spark, SF).where("spike_id % 20 = 0")
+    cand = {r.channel: np.array([c.g for c in r.cand]) for r in inference.footprints(spark).collect()}
+    got = {r.spike_id: r for r in inference.pair_search(s).collect()}
+    top = {r.spike_id: r.captured for r in inference.pair_terms(s).collect()}
+    for r in s.select("spike_id", "channel", "w").collect():
+        z = np.reshape(r.w, (8, 8))
+        p = (z - z.mean(1, keepdims=True)) @ inference.dct(4).T
+        g = cand[r.channel]
+        best = max((np.linalg.qr(g[[i, j]].T)[0].T @ p).ravel() @ (np.linalg.qr(g[[i, j]].T)[0].T @ p).ravel() for i in range(27) for j in range(i))
+        assert got[r.spike_id].captured == pytest.approx(best, rel=1e-6)
+    assert any(got[k].captured > c * 1.01 for k, c in top.items())

@@ -83,6 +83,28 @@ def pair_terms(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataF
     return best.select("spike_id", "n1", "n2", "s1", "s2", "c", got.alias("captured"), ((1 + F.abs("c")) / F.greatest(1 - F.abs("c"), F.lit(1e-12))).alias("condition"))
 
 
+def pair_search(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataFrame:
+    """Best joint refit of each spike over all pairs of places with free shapes; columns of pair_terms, n1 the better single.
+
+    All pairs of the lattice are scored in the row, without a shuffle. Footprints that coincide capture what the better one does.
+    """
+    omega = dct(m)
+    f = footprints(spikes.sparkSession, kernel)
+    j = spikes.select("spike_id", "channel", projected(F.col("w"), omega).alias("p")).join(F.broadcast(f.select("channel", "cand")), "channel")
+    u = lambda c: F.array(*[F.aggregate(F.zip_with(c["g"], F.col("p"), lambda g, p: g * F.element_at(p, i + 1)), F.lit(0.0), lambda s, x: s + x) for i in range(m)])  # noqa: B023,E731
+    found = F.transform(F.transform("cand", lambda c: F.struct(c["n"].alias("n"), c["g"].alias("g"), u(c).alias("u"))), lambda c: F.struct(energy(c["u"]).alias("s"), c["n"].alias("n"), c["g"].alias("g"), c["u"].alias("u")))
+    j = j.select("spike_id", found.alias("f"))
+    terms = lambda a, b: F.struct((-a["n"]).alias("i"), (-b["n"]).alias("j"), a["s"].alias("si"), b["s"].alias("sj"), dot(a["g"], b["g"]).alias("c"), dot(a["u"], b["u"]).alias("x"))
+    j = j.select("spike_id", F.flatten(F.transform("f", lambda a: F.transform(F.filter("f", lambda b: b["n"] > a["n"]), lambda b: terms(a, b)))).alias("t"))
+    apart = lambda t: 1 - t["c"] * t["c"]
+    got = lambda t: F.when(apart(t) > 1e-9, (t["si"] + t["sj"] - 2 * t["c"] * t["x"]) / apart(t)).otherwise(F.greatest(t["si"], t["sj"]))
+    b = F.array_max(F.transform("t", lambda t: F.struct(got(t).alias("captured"), t["i"].alias("i"), t["j"].alias("j"), t["si"].alias("si"), t["sj"].alias("sj"), t["c"].alias("c"))))
+    j, first = j.select("spike_id", b.alias("b")), F.col("b.si") >= F.col("b.sj")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    condition = (1 + F.abs("b.c")) / F.greatest(1 - F.abs("b.c"), F.lit(1e-12))
+    return j.select("spike_id", (-pick("b.i", "b.j")).alias("n1"), (-pick("b.j", "b.i")).alias("n2"), pick("b.si", "b.sj").alias("s1"), pick("b.sj", "b.si").alias("s2"), F.col("b.c").alias("c"), F.col("b.captured").alias("captured"), condition.alias("condition"))
+
+
 def shift_bank(omega: np.ndarray, most: int) -> np.ndarray:
     """Rows q * (2 * most + 1) + lag + most: each codebook row shifted without wrapping, unit norm."""
     out = []

@@ -169,6 +169,14 @@ def pair_multishape_2x2(spark, sf_dir):
     return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("captured") - F.col("s2")), 3).alias("loss1"), F.round(F.avg(F.col("captured") - F.col("s1")), 3).alias("loss2"), F.round(F.avg("condition"), 3).alias("condition"))
 
 
+@query()
+def pair_multishape_search(spark, sf_dir):
+    """As pair_multishape_2x2, with the best of all pairs of places for each spike."""
+    p = inference.pair_search(R.spikes(spark, sf_dir))
+    g = p.groupBy(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("captured") - F.col("s2")), 3).alias("loss1"), F.round(F.avg(F.col("captured") - F.col("s1")), 3).alias("loss2"), F.round(F.avg("condition"), 3).alias("condition"))
+
+
 # readouts, rasters, aggregations
 
 
