@@ -5,19 +5,25 @@ partners lie in one band or in neighbours. For each band the universe of tokens
 ``SLACK`` times one more than the largest difference H allowed, so linked sets agree exactly in at least m - H segments. A set
 emits the hash of each non-empty segment in its own band and, as a larger partner, in the band below.
 
-Costs are allocated by frequency. Segments shared by at most ``COMMON`` distinct sets are compared: a pair is a candidate if it
-agrees in as many of them as m - H leaves after the empty and the common segments that both sets have. Common segments cost
-most and are skipped. A set whose empty and common segments may be all that it shares (m - H or more of them) makes up for them
-by one token of difference in as many other segments as are lacking, those of fewest tokens first: its segments and their
-one-deletion neighbourhoods probe the neighbourhoods and segments of all such sets. Sets with too few segments for that (they
-consist of common passages) are compared through their common segments.
-
-Candidates are then verified exactly: connected candidates are brought together in groups bounded by their shingles - larger
-ones are cut into blocks of size bands, and each pair of blocks is one group - and counted by inverted lists. Only a spanning
-forest of the links leaves a group. Equal sets are one set, found by two independent hashes of the set.
+Sets whose shared and empty segments are too few for any partner are done. The others go through two rounds:
+
+1. Each set is verified against the sets that are the most central of many of its segments. That joins groups of copies,
+   however large, by a few pairs a member.
+2. Segments that lie in one such component only say nothing more and go; with them go all sets that are left with too few.
+   Among the rest costs are allocated by frequency. Segments of at most ``COMMON`` sets are cheap: a pair of different
+   components is a candidate if it agrees in as many of them as m - H leaves after the empty and the dear segments of both. A
+   set whose empty and dear segments may be all that it shares makes up for them by one token of difference in as many other
+   segments as are lacking, those of fewest tokens first: its segments and their one-deletion neighbourhoods probe the
+   neighbourhoods and segments of all such sets. If these don't suffice, it also goes by as many of its dear segments as are
+   still lacking, the rarest first. Sets that more than ``COMMON`` meet in one of these ways are compared in blocks of bounded
+   size, together with those that meet the same most frequent set.
+
+Candidate pairs are verified exactly on the shingles of the two texts, grouped by their smaller document and salted where it has
+many. Equal sets are one set, found by two independent hashes of the set. No group of candidates is closed transitively.
 
 Shingles are compared by 64-bit hashes. Null texts are empty; documents without words link with nothing. Rows with a null
-doc_id are left out. Repeated doc_ids are one document, that of the largest set (ties: the smallest set hash).
+doc_id keep their row, link with nothing and have no component. Rows that repeat a doc_id each keep their row and their
+n_shingles; they are one document in the graph of links: what links to any of them links to all.
 """
 
 from __future__ import annotations
@@ -134,19 +140,22 @@ def _emit(buckets: int):
     return run
 
 
-_SHARED = "sig long, node long, side int, n long, need int, empty int, sets int"
+_SHARED = "sig long, node long, side int, n long, m int, need int, empty int, sets int"
+
+
+def parts_of(n: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Segments that the universe is cut into, by size and side of a set."""
+    bands, place = np.unique(np.maximum(np.searchsorted(STARTS, n, "right") - 1 - side, 0), return_inverse=True)
+    return np.array([segments(int(b))[0] for b in bands], dtype=np.int64)[place] if len(n) else np.empty(0, np.int64)
 
 
 def needed(n: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Segments in which linked sets agree at least, by size and side."""
-    band = np.searchsorted(STARTS, n, "right") - 1 - side
-    bands, place = np.unique(np.maximum(band, 0), return_inverse=True)
-    least = np.array([m - h for m, h in (segments(int(b)) for b in bands)], dtype=np.int64)
-    return least[place] if len(band) else np.empty(0, np.int64)
+    """Segments in which a set agrees at least with any partner: one of up to 4/3 its size, or a smaller one on side 1."""
+    return parts_of(n, side) - np.where(side == 0, (n + 4 * n // 3) // 7, np.maximum(2 * n - 1, 0) // 7)
 
 
 def _meet(batches):
-    """Of one bucket at a time: each (segment, set) whose segment more than one distinct set has."""
+    """Of one bucket at a time: each (segment, set) whose segment more than one distinct set has, and how many have it."""
     bucket, parts = None, []
 
     def out():
@@ -175,16 +184,16 @@ def _meet(batches):
         size = np.diff(np.append(begin, len(key)))
         # sets whose empty segments alone may be all they share go on with all their segments
         bare = np.stack([docs[e] >= needed(docs["n"].astype(np.int64), np.full(len(docs), k)) for k, e in enumerate(("e0", "e1"))], 1).ravel()
-        keep = np.flatnonzero(np.repeat(size > 1, size) | bare[(key & U(0xFFFFFFFF)).astype(np.uint32)])
-        many = size[np.searchsorted(begin, keep, "right") - 1]
-        key = key[keep]
-        s, o = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
+        owner = (key & U(0xFFFFFFFF)).astype(np.uint32)
+        many = np.repeat(size, size)
+        keep = np.flatnonzero((many > 1) | bare[owner])
+        key, o, many = key[keep], owner[keep].astype(np.int64), many[keep]
         doc, side = docs[o >> 1], o & 1
         empty = np.where(side == 0, doc["e0"], doc["e1"]).astype(np.int64)
         n = doc["n"].astype(np.int64)
-        cols = [s | np.int64(bucket) << 32, doc["doc"], side, n, needed(n, side), empty, many]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)], ["sig", "node", "side", "n", "need", "empty", "sets"])
+        cols = [(key >> U(32)).astype(np.int64) | np.int64(bucket) << 32, doc["doc"], side, n, parts_of(n, side), needed(n, side), empty, many]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)], ["sig", "node", "side", "n", "m", "need", "empty", "sets"])
 
     for batch in batches:
         for b, *rest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -247,7 +256,8 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_a) if found_a else np.empty(0, np.int64), np.concatenate(found_b) if found_b else np.empty(0, np.int64)
 
 
-def _verify(key, table):
+def _block_links(key, table):
+    """Links among all sets of a block, or of a pair of blocks, as a forest."""
     ids = table["node"].to_numpy()
     a, b = linked(list(shingle_sets(table["text"], SHINGLE)))
     a, b = (ids[a], ids[b]) if len(a) else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -256,6 +266,31 @@ def _verify(key, table):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _pair_links(key, table):
+    """Of rows (a, cut, node, text): the nodes whose sets link with that of a."""
+    lead, cut, node = (table[c].to_numpy() for c in ("a", "cut", "node"))
+    sets = list(shingle_sets(table["text"], SHINGLE))
+    order = np.lexsort((node != lead, cut, lead))
+    new = np.flatnonzero(np.concatenate([[True], (lead[order][1:] != lead[order][:-1]) | (cut[order][1:] != cut[order][:-1])]))
+    found_a, found_b = [], []
+    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
+        own = order[lo:hi]
+        leads = own[node[own] == lead[own[0]]]
+        members = own[len(leads) :]
+        if not len(members):
+            continue
+        size = np.array([len(sets[i]) for i in members])
+        tokens = np.concatenate([sets[i] for i in members])
+        for s in (sets[i] for i in leads):
+            if not len(s):
+                continue
+            at = np.minimum(np.searchsorted(s, tokens), len(s) - 1)
+            both = np.bincount(np.repeat(np.arange(len(members)), size), s[at] == tokens, len(members)).astype(np.int64)
+            hit = members[100 * both >= 75 * (size + len(s) - both)]
+            found_a.append(lead[hit])
+            found_b.append(node[hit])
+    none = np.empty(0, np.int64)
+    return pa.table({"a": pa.array(np.concatenate(found_a) if found_a else none, pa.int64()), "b": pa.array(np.concatenate(found_b) if found_b else none, pa.int64())})
 
 
 _PROBES = "key long, node long, role int"
@@ -263,21 +298,24 @@ _PROBES = "key long, node long, role int"
 
 def _neighbourhoods(buckets: int):
     """Keys of the doubtful sets. Roles: 0 index of segments, 1 index of one-deletion neighbourhoods, 2 probe of the latter by a
-    segment, 3 probe of the former by a neighbourhood, 4 (key 0) no way to make up for what is skipped."""
+    segment, 3 probe of the former by a neighbourhood; of those whom these don't suffice: 4 index of dear segments, 5 probe of them,
+    6 the band, where even that is too little."""
 
     def run(batches):
         for batch in batches:
             keys, nodes, roles = [], [], []
 
             def add(node, role, h):
-                keys.append(mix(h, 61 + (role in (1, 2))).view(np.int64))
+                keys.append(h.view(np.int64) if role > 3 else mix(h, 61 + (role in (1, 2))).view(np.int64))
                 nodes.append(np.full(len(h), node))
                 roles.append(np.full(len(h), role))
 
             sides = batch.column(2).to_pylist()
             for node, s, wanted in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), SHINGLE), sides, strict=True):
-                for want in wanted:
+                for want in wanted if len(s) else ():
                     band = int(np.searchsorted(STARTS, len(s), "right")) - 1 - want["side"]
+                    if band < 0:
+                        continue
                     m, _ = segments(band)
                     t = np.sort(mix(s, band + 100))
                     seg = (t >> U(32)) * U(m) >> U(32)
@@ -291,50 +329,77 @@ def _neighbourhoods(buckets: int):
                     add(node, 0, exact)
                     add(node, 1, short[np.repeat(size, size) > 1])
                     tag = bucket_of(exact, buckets) << 32 | low_bits(exact).astype(np.int64)
-                    free = np.flatnonzero((size > 1) & ~np.isin(tag, np.array(want["commons"], dtype=np.int64)))
-                    if len(free) < want["lack"]:
-                        add(node, 4, np.zeros(1, dtype=U))
-                        continue
+                    dear = np.array([x["sig"] for x in sorted(want["dear"], key=lambda x: (x["sets"], x["sig"]))], dtype=np.int64)
+                    free = np.flatnonzero((size > 1) & ~np.isin(tag, dear))
                     chosen = free[np.argsort(size[free], kind="stable")[: want["lack"]]]
                     add(node, 2, exact[chosen])
                     add(node, 3, short[np.isin(np.repeat(np.arange(len(size)), size), chosen)])
+                    lack = want["lack"] - len(chosen)
+                    if lack > 0:
+                        add(node, 4, dear)
+                        add(node, 5, dear[:lack])
+                    if lack > len(dear):
+                        add(node, 6, np.array([band], dtype=np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(roles), pa.int32())], ["key", "node", "role"])
 
     return run
 
 
-def _star(rows: DataFrame, key: str) -> DataFrame:
-    """Each row's node with the smallest node of its key."""
-    least = rows.groupBy(key).agg(F.min("node").alias("b"))
-    return rows.join(least, key).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+def enough(rows: DataFrame) -> DataFrame:
+    """rows (segments of sets) of those sets and sides that hold enough of them, with the empty ones, for a partner; central
+    tells how many sets share theirs, over all segments."""
+    by = ["node", "side", "n"]
+    some = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("have"), F.sum("sets").alias("central"), F.max("empty").alias("most"), F.max("need").alias("least_need"))
+    return rows.join(some.where("have + most >= least_need").select(*by, "central"), by)
 
 
-def candidates(shared: DataFrame, text: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (a, b) of sets that may be linked, or stars that join those who may be."""
-    hot = F.col("sets") > COMMON
-    held = shared.groupBy("node", "side").agg(F.sum(hot.cast("int")).alias("hot"))
-    s = shared.join(held, ["node", "side"])
-    few = s.where(~hot).select("sig", "node", "side", "n", "need", "empty", "hot")
+def stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, n): each set with those that are the most central of its segments, if they share enough of them. Of edited
+    copies the text that they were made from is the most central."""
+    lead = rows.groupBy("sig").agg(F.max(F.struct("central", "n", "node")).alias("lead"))
+    j = rows.join(lead.select("sig", F.col("lead.node").alias("a"), F.col("lead.n").alias("an")), "sig").where("a <> node and 4 * n >= 3 * an and 4 * an >= 3 * n")
+    j = j.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("agree"), F.max(F.expr("m - (an + n) div 7 - empty")).alias("want"), F.max("n").alias("n"))
+    return j.where("agree >= want").select("a", "b", "n")
+
+
+def between(rows: DataFrame) -> DataFrame:
+    """rows of the segments that more than one component has."""
+    spread = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("sets"))
+    # sets whose empty segments may be all that they share stay whatever their segments are
+    return rows.join(spread, "sig").where("lo < hi or empty >= need").drop("lo", "hi")
+
+
+def candidates(s: DataFrame, text: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, n) of sets of different components that may be linked, and groups (key, node) to be compared in blocks."""
+    dear = F.col("sets") > COMMON
+    held = s.groupBy("node", "side", "n").agg(F.sum(dear.cast("int")).alias("hot"))
+    s = s.join(held, ["node", "side", "n"])
+    few = s.where(~dear).select("sig", "node", "side", "n", "m", "empty", "hot", "comp")
     a, b = few.alias("a"), few.alias("b")
-    near = F.expr("a.sig = b.sig and a.node < b.node and a.side + b.side < 2 and 4 * a.n >= 3 * b.n and 4 * b.n >= 3 * a.n")
-    left = F.expr("a.need - least(a.empty, b.empty) - least(a.hot, b.hot)")
-    pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), left.alias("least"))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"), F.min("least").alias("least")).where("agree >= least").select("a", "b")
-    doubtful = s.where("empty + hot >= need")
+    near = F.expr("a.sig = b.sig and a.node < b.node and a.comp <> b.comp and a.side + b.side < 2 and 4 * a.n >= 3 * b.n and 4 * b.n >= 3 * a.n")
+    left = F.expr("a.m - (a.n + b.n) div 7 - least(a.empty, b.empty) - least(a.hot, b.hot)")
+    pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("b.n").alias("n"), left.alias("least"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"), F.min("least").alias("least"), F.max("n").alias("n")).where("agree >= least").select("a", "b", "n")
     lack = F.max(F.col("empty") + F.col("hot") - F.col("need") + 1).alias("lack")
-    sides = doubtful.groupBy("node", "side").agg(lack, F.collect_list(F.when(hot, F.col("sig"))).alias("commons"))
-    sides = sides.groupBy("node").agg(F.collect_list(F.struct("side", "lack", "commons")).alias("sides"))
+    sides = s.where("empty + hot >= need").groupBy("node", "side", "n", "comp").agg(lack, F.collect_list(F.when(dear, F.struct("sig", "sets"))).alias("dear"))
+    sides = written(sides.groupBy("node", "comp").agg(F.collect_list(F.struct("side", "lack", "dear")).alias("sides"), F.max("n").alias("n")), "doubtful")
     keys = text.join(sides, F.col("node") == F.col("doc_id")).select("node", "text", "sides").mapInArrow(_neighbourhoods(buckets), _PROBES)
-    keys = written(keys, "neighbourhoods")
-    met = keys.where("role < 4").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("c"), F.max((F.col("role") > 1).cast("int")).alias("probed")).where("probed = 1 and b < c").select("key", "b")
-    close = keys.where("role < 4").join(met, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    stuck = doubtful.join(keys.where("role = 4").select("node").distinct(), "node", "left_semi")
-    stars = _star(stuck.where(hot).select("sig", "node"), "sig")
-    # sets that may agree in empty segments only are few by the choice of m, and alike in size
-    bare = stuck.where("empty >= need").select("node", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).alias("band")).distinct()
-    bare = _star(bare.union(bare.select("node", F.col("band") + 1)), "band")
-    return pairs.union(close).union(stars).union(bare)
+    kind = F.when(F.col("role") < 4, 0).when(F.col("role") < 6, 4).otherwise(6).alias("kind")
+    keys = keys.groupBy("key", "node", kind).agg(F.max(F.col("role").isin(2, 3, 5, 6).cast("int")).alias("probe"))
+    keys = written(keys.join(sides.select("node", "comp", "n"), "node"), "neighbourhoods")
+    met = keys.groupBy("key", "kind").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("sets"), F.max("probe").alias("probed"))
+    keys = keys.join(met.where("lo < hi and probed = 1").select("key", "kind", "sets"), ["key", "kind"])
+    c, d = keys.where(~dear).alias("c"), keys.where(~dear).alias("d")
+    close = F.expr("c.key = d.key and c.kind = d.kind and c.node < d.node and c.comp <> d.comp and c.probe + d.probe > 0 and 4 * c.n >= 3 * d.n and 4 * d.n >= 3 * c.n")
+    close = c.join(d, close).select(F.col("c.node").alias("a"), F.col("d.node").alias("b"), F.col("d.n").alias("n"))
+    # dear keys are many, but those of one group of texts share their most frequent member: one group for each of these
+    hot = keys.where(dear)
+    weight = hot.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
+    hot = hot.join(weight, "node")
+    lead = hot.groupBy("key", "kind").agg(F.max(F.struct("keys", "node")).alias("lead"))
+    groups = hot.join(lead, ["key", "kind"]).select(F.col("lead.node").alias("component"), "node").distinct()
+    return pairs.union(close).groupBy("a", "b").agg(F.max("n").alias("n")), groups
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -342,27 +407,44 @@ def classes(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     tune(spark)
     buckets = parted(spark)
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = text.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long")
-    best = F.max(F.struct("n", (-F.col("h1").cast("decimal(20,0)")).alias("o"), "h1", "h2")).alias("s")
-    sets = written(sets.groupBy("doc_id").agg(best).select("doc_id", "s.n", "s.h1", "s.h2"), "sets")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = written(every.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long"), "sets")
+    text = every.where("doc_id is not null")
     blobs = text.mapInArrow(_emit(buckets), _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     shared = written(blobs.mapInArrow(_meet, _SHARED), "shared")
-    edges = written(candidates(shared, text, buckets), "candidates")
-    near = written(components(edges), "groups")
-    links = verified(near, sets, text, buckets)
+    alive = written(enough(shared), "alive")
+    # round one: each set with the most central ones
+    first = written(components(pair_links(written(stars(alive), "stars"), text, buckets)), "first")
+    # round two: what may link different components
+    comp = F.coalesce("component", F.col("node")).alias("comp")
+    rest = alive.join(first, "node", "left").select("sig", "node", "side", "n", "m", "need", "empty", comp)
+    rest = written(between(enough(between(rest)).drop("sets", "central")), "rest")
+    pairs, groups = candidates(rest, text, buckets)
+    links = pair_links(written(pairs, "candidates"), text, buckets).union(block_links(written(groups, "groups"), sets, text, buckets))
     # equal sets: each document with the smallest of its set
-    same = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"))
-    same = sets.join(same, ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
-    comp = components(links.union(same))
+    some = sets.where("n > 0 and doc_id is not null")
+    same = some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"))
+    same = some.join(same, ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
+    comp = components(links.union(first.select("node", "component")).union(same))
     out = sets.join(comp, sets.doc_id == comp.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def verified(near: DataFrame, sets: DataFrame, text: DataFrame, buckets: int) -> DataFrame:
-    """Links among the nodes of each group of candidates (node, component), as forests."""
+def pair_links(pairs: DataFrame, text: DataFrame, buckets: int) -> DataFrame:
+    """The pairs (a, b; n: size of b's set) that are linked. Both texts of a pair meet once, many pairs in one group."""
+    weight = F.sum("n").alias("n")
+    packs = max(buckets, int((pairs.agg(weight).first()[0] or 0) * 2 // GROUP))
+    hot = pairs.groupBy("a").agg(F.ceil(F.sum("n") / GROUP).alias("cuts")).where("cuts > 1")
+    p = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("cuts", F.lit(1))).alias("cut"), "b")
+    want = p.select("a", "cut", F.col("b").alias("node")).union(p.select("a", "cut", F.col("a").alias("node")).distinct())
+    rows = want.join(text, want.node == text.doc_id).select(F.pmod(F.xxhash64("a", "cut"), F.lit(packs)).alias("g"), "a", "cut", "node", "text")
+    return rows.groupBy("g").applyInArrow(_pair_links, "a long, b long")
+
+
+def block_links(near: DataFrame, sets: DataFrame, text: DataFrame, buckets: int) -> DataFrame:
+    """Links among the nodes of each group (node, component), as forests; large groups are cut into blocks of size bands."""
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("long")
-    g = near.join(sets.select(F.col("doc_id").alias("node"), "n"), "node").select("node", "component", "n", band.alias("band"))
+    g = near.join(sets.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node").select("node", "component", "n", band.alias("band"))
     whole = g.groupBy("component").agg(F.sum("n").alias("weight"))
     g = g.join(whole, "component")
     small = g.where(F.col("weight") <= GROUP)
@@ -381,4 +463,4 @@ def verified(near: DataFrame, sets: DataFrame, text: DataFrame, buckets: int) ->
     big = big.select("node", "component", "own", F.explode(F.concat(span(0, "blocks"), span(1, "above"), span(-1, "below"))).alias("other"))
     big = big.select("node", F.col("component").alias("g"), (F.least("own", "other") + 1).alias("i"), (F.greatest("own", "other") + 1).alias("j"))
     rows = small.union(big).join(text, F.col("node") == text.doc_id).select("g", "i", "j", "node", "text")
-    return rows.groupBy("g", "i", "j").applyInArrow(_verify, "a long, b long")
+    return rows.groupBy("g", "i", "j").applyInArrow(_block_links, "a long, b long")
