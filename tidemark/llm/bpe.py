@@ -2,20 +2,23 @@
 
 Every match of the split pattern is encoded alone: a piece that is itself in the vocabulary is one id; otherwise its bytes
 form a linked list, and each adjacent pair whose joined bytes have a rank waits in that rank's bucket. A two-level bitmap
-over ranks marks the buckets in use; find-first-set gives the lowest rank, its leftmost position is merged, and entries whose
-pair has changed meanwhile are skipped. The cost is near-linear in the piece, so pieces of millions of bytes are no problem.
+over ranks marks the buckets in use; find-first-set gives the lowest rank, its positions are merged from left to right, and
+entries whose pair has changed meanwhile are skipped. The cost is near-linear in the bytes, so pieces of millions of bytes are no
+problem. Pieces not seen lately share one queue: their lists lie side by side, with no pair across, so the bitmap is walked once
+for ``BATCH`` of them.
 
 Pieces repeat, so each Python worker keeps the ids of recent ones in two generations of at most ``CACHE`` each.
-Null texts are empty: no ids, the digests of the empty string. Rows are independent: ties and repeated rows need no rule.
+Null texts are empty: no ids, the digests of the empty string. Rows are independent: ties and repeated rows need no rule, and null
+ids are passed on.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from functools import lru_cache
-from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import public_tokenizers
 import pyarrow as pa
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.shared import with_field
 
-CACHE = 400_000
+CACHE = 200_000
+BATCH = 256
 LONG_PIECE = 4096
 LONG_TEXT = 1 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,92 +46,120 @@ class RankQueue:
         self.byte = [ranks[bytes([i])] for i in range(256)]
         # rank of each pair of ids whose joined bytes are a token; ids are ranks
         self.pairs = {x << 20 | y: rank for token, rank in ranks.items() for i in range(1, len(token)) if (x := ranks.get(token[:i])) is not None and (y := ranks.get(token[i:])) is not None}
+        #: one number object for each id, shared by all pieces that are kept
+        self.number = list(range(max(ranks.values()) + 1))
         self.low = [0] * ((max(ranks.values()) >> 8) + 1)
         self.bit = [1 << i for i in range(max(256, len(self.low)))]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece. Between calls every bitmap word is zero again."""
-        get, low, bit, top, n = self.pairs.get, self.low, self.bit, 0, len(piece)
-        byte = self.byte
-        ids: list[int | None] = [byte[x] for x in piece]
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece. Between calls every bitmap word is zero again."""
+        get, low, bit, top, byte = self.pairs.get, self.low, self.bit, 0, self.byte
+        ids: list[int | None] = [byte[x] for x in b"".join(pieces)]
+        n = len(ids)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         waiting = [get(x << 20 | y) for x, y in zip(ids, ids[1:])]
         waiting.append(None)
-        buckets: dict[int, list[int]] = {}
+        ends = list(accumulate(map(len, pieces)))
+        for end in ends:
+            # n stands for the end of every piece, -1 for what is before one
+            if 0 < end:
+                after[end - 1] = n
+                waiting[end - 1] = None
+            if end < n:
+                before[end] = -1
+        buckets: dict[int, list[int]] = defaultdict(list)
         for i, rank in enumerate(waiting):
             if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-                    low[rank >> 8] |= bit[rank & 255]
-                    top |= bit[rank >> 8]
+                buckets[rank].append(i)
+        for rank in buckets:
+            low[rank >> 8] |= bit[rank & 255]
+            top |= bit[rank >> 8]
         while top:
             group = (top & -top).bit_length() - 1
             word = low[group]
             rank = group << 8 | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[rank]
-                low[group] = word = word & word - 1
-                if not word:
-                    top &= top - 1
-            if waiting[i] != rank:
-                continue
-            j = after[i]
-            after[i] = stop = after[j]
-            waiting[j] = waiting[i] = ids[j] = None
-            ids[i] = rank
-            if stop < n:
-                before[stop] = i
-                new = get(rank << 20 | ids[stop])
-                if new is not None:
-                    waiting[i] = new
-                    if new in buckets:
-                        heappush(buckets[new], i)
-                    else:
-                        buckets[new] = [i]
-                        low[new >> 8] |= bit[new & 255]
-                        top |= bit[new >> 8]
-            i = before[i]
-            if i >= 0:
-                waiting[i] = new = get(ids[i] << 20 | rank)
-                if new is not None:
-                    if new in buckets:
-                        heappush(buckets[new], i)
-                    else:
-                        buckets[new] = [i]
-                        low[new >> 8] |= bit[new & 255]
-                        top |= bit[new >> 8]
-        return [x for x in ids if x is not None]
+            low[group] = word = word & word - 1
+            if not word:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for at, i in enumerate(bucket):
+                if waiting[i] != rank:
+                    continue
+                lower = False
+                j = after[i]
+                after[i] = stop = after[j]
+                waiting[j] = waiting[i] = ids[j] = None
+                ids[i] = rank
+                if stop < n:
+                    before[stop] = i
+                    new = get(rank << 20 | ids[stop])
+                    if new is not None:
+                        waiting[i] = new
+                        lower = new < rank
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            low[new >> 8] |= bit[new & 255]
+                            top |= bit[new >> 8]
+                i = before[i]
+                if i >= 0:
+                    waiting[i] = new = get(ids[i] << 20 | rank)
+                    if new is not None:
+                        lower = lower or new < rank
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            low[new >> 8] |= bit[new & 255]
+                            top |= bit[new >> 8]
+                if lower and at + 1 < len(bucket):
+                    # a pair of lower rank comes first; the rest of this bucket waits
+                    buckets[rank] = bucket[at + 1 :]
+                    low[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
+                    break
+        number = self.number
+        return [[number[x] for x in ids[a:b] if x is not None] for a, b in zip([0, *ends], ends)]
 
 
 class Pieces(dict):
-    """Ids by piece; two generations, so at most 2 * CACHE pieces are held."""
+    """Ids by piece; two generations, so at most 2 * CACHE pieces and those of one block of text are held."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
         self.queue = RankQueue(ranks)
-        self.older: dict[str, list[int]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.older.get(piece)
-        if ids is None:
-            raw = piece.encode()
-            rank = self.ranks.get(raw)
-            ids = (rank,) if rank is not None else tuple(self.queue.merge(raw))
-            if len(raw) > LONG_PIECE:
-                return ids
+    def learn(self, found: set[str]) -> None:
+        """Takes in pieces that are new, all in one queue. Very long ones are encoded when they are asked for, and not kept."""
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
-        return ids
+        older, ranks, names, raws = self.older, self.ranks, [], []
+        for piece in found.difference(self):
+            ids = older.get(piece)
+            if ids is None:
+                raw = piece.encode()
+                rank = ranks.get(raw)
+                if rank is None:
+                    if len(raw) <= LONG_PIECE:
+                        names.append(piece)
+                        raws.append(raw)
+                    continue
+                ids = (rank,)
+            self[piece] = ids
+        # some hundred at a time: what the queue works on stays in the processor's cache
+        for i in range(0, len(raws), BATCH):
+            self.update(zip(names[i : i + BATCH], map(tuple, self.queue.merge(raws[i : i + BATCH])), strict=True))
+
+    def __missing__(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        rank = self.ranks.get(raw)
+        return [rank] if rank is not None else self.queue.merge([raw])[0]
 
 
 class Codec:
@@ -141,18 +173,32 @@ class Codec:
             self.bytes[rank] = token
         self.decimal = [str(i) for i in range(size)]
 
-    def blocks(self, text: str):
-        """Ids in blocks, so that a long text is never held as one list."""
+    def blocks(self, texts: list[str]):
+        """(place of the text, ids in it), in order. A long text is never held as one list; short ones are learnt from together."""
+        held, size = [], 0
+        for place, text in enumerate(texts):
+            if len(text) > LONG_TEXT:
+                yield from self._known(held)
+                held, size = [], 0
+                matches = self.pattern.finditer(text)
+                while block := [m.group() for m in islice(matches, 100_000)]:
+                    yield from self._known([(place, block)])
+                continue
+            held.append((place, self.pattern.findall(text)))
+            size += len(text)
+            if size >= LONG_TEXT:
+                yield from self._known(held)
+                held, size = [], 0
+        yield from self._known(held)
+
+    def _known(self, held: list[tuple[int, list[str]]]):
+        self.pieces.learn(set(chain.from_iterable(found for _, found in held)))
         get = self.pieces.__getitem__
-        if len(text) <= LONG_TEXT:
-            yield list(chain.from_iterable(map(get, self.pattern.findall(text))))
-            return
-        found = self.pattern.finditer(text)
-        while block := [m.group() for m in islice(found, 100_000)]:
-            yield list(chain.from_iterable(map(get, block)))
+        for place, found in held:
+            yield place, list(chain.from_iterable(map(get, found)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.blocks(text)))
+        return list(chain.from_iterable(ids for _, ids in self.blocks([text])))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -202,18 +248,16 @@ def digest(documents: DataFrame, path: str | None = None, pattern: str | None =
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for text in batch.column(1):
-                n, x, y, comma = 0, hashlib.sha256(), hashlib.sha256(), ""
-                for ids in c.blocks(text.as_py() or ""):
-                    if ids:
-                        n += len(ids)
-                        x.update((comma + ",".join(map(c.decimal.__getitem__, ids))).encode())
-                        y.update(c.decode(ids))
-                        comma = ","
-                counts.append(n)
-                of_ids.append(x.hexdigest())
-                of_bytes.append(y.hexdigest())
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            counts = [0] * len(texts)
+            of_ids, of_bytes = [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+            for place, ids in c.blocks(texts):
+                if ids:
+                    comma = "," if counts[place] else ""
+                    counts[place] += len(ids)
+                    of_ids[place].update((comma + ",".join(map(c.decimal.__getitem__, ids))).encode())
+                    of_bytes[place].update(c.decode(ids))
+            of_ids, of_bytes = [x.hexdigest() for x in of_ids], [x.hexdigest() for x in of_bytes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
