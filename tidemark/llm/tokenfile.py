@@ -1,24 +1,25 @@
 """Token ids on disk with Elias-Fano document boundaries.
 
 A file holds blocks of consecutive documents in doc_id order. A block is the concatenated ids (2 bytes each where the
-vocabulary allows, else 4) and the running counts of ids at the document ends as an Elias-Fano sequence: the low bits packed
-side by side, the high bits in unary in a bitmap, about 2 + log2(ids / documents) bits a document, read by select. Blocks are
-bounded by documents and by ids, except that one longer document is a block of its own. They are stored as binary columns of a
-Parquet table, so that any store Spark can reach can hold them.
+vocabulary allows, else 4) and two Elias-Fano sequences: the running counts of ids at the document ends, and the doc_ids less
+the block's first. Of each, the low bits are packed side by side and the high bits stand in unary in a bitmap, about
+2 + log2(range / documents) bits a document. A directory of the place of every ``STEP``-th set bit makes select, and so the
+lookup of one document, a short scan. Blocks are bounded by documents and by ids, except that one longer document is a block of
+its own. They are stored as binary columns of a Parquet table, so that any store Spark can reach can hold them.
 
-Null texts are empty: only the end id. A null doc_id sorts first. Repeated doc_ids keep all their rows, ordered by their ids.
+Null texts are empty: only the end id. A null doc_id sorts first. Repeated doc_ids keep all their rows, ordered by their texts.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,22 +29,29 @@ from tidemark.llm.words import chunks
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 400_000
-BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
-_MARKS, _BAR, _KEPT = ".,;:!?", "|", "\x1c\x1d\x1e\x1f"
+BLOCK_DOCS, BLOCK_IDS, STEP = 4096, 1 << 20, 256
+_BAR, _KEPT = "|", "\x1c\x1d\x1e\x1f"
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+# Fixed value: the vocabulary's own split of a normalised text.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Byte-level alphabet by its rule: visible Latin-1 characters stand for themselves, all other bytes follow from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_BITS = np.array([bin(i).count("1") for i in range(256)])
 
 
-def ef_encode(ends: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Low-bit width, low bits and high bitmap of a non-decreasing sequence."""
-    n, top = len(ends), int(ends[-1]) if len(ends) else 0
+def ef_encode(values: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """Low-bit width, low bits, high bitmap, and the places of every STEP-th set bit, of a non-decreasing sequence from 0 on."""
+    n, top = len(values), int(values[-1]) if len(values) else 0
     width = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
-    low = ((ends[:, None] >> np.arange(width)) & 1).astype(np.uint8)
+    low = ((values[:, None] >> np.arange(width)) & 1).astype(np.uint8)
     high = np.zeros((top >> width) + n + 1, dtype=np.uint8)
-    high[(ends >> width) + np.arange(n)] = 1
-    return width, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes()
+    ones = (values >> width) + np.arange(n)
+    high[ones] = 1
+    return width, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::STEP].astype("<u4").tobytes()
 
 
-def ef_select(n: int, width: int, low: bytes, high: bytes) -> np.ndarray:
+def ef_all(n: int, width: int, low: bytes, high: bytes) -> np.ndarray:
     """All n values: the place of the i-th set bit, less i, joined to the i-th low bits."""
     ones = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))[:n]
     value = (ones - np.arange(n)) << width
@@ -53,65 +61,112 @@ def ef_select(n: int, width: int, low: bytes, high: bytes) -> np.ndarray:
     return value
 
 
+def ef_select(i: int, width: int, low: bytes, high: bytes, marks: bytes) -> int:
+    """The i-th value alone: from the nearest mark before it, a scan over bytes of the bitmap, and width bits of the low part."""
+    at, left = int(np.frombuffer(marks, "<u4")[i // STEP]), i % STEP
+    byte, size = at >> 3, 64
+    while True:
+        scan = np.frombuffer(high, np.uint8, min(size, len(high) - byte), byte).copy()
+        scan[0] &= 0xFF << (at & 7) & 0xFF
+        count = np.cumsum(_BITS[scan])
+        if count[-1] > left:
+            break
+        size *= 2
+    k = int(np.searchsorted(count, left, "right"))
+    ones = np.flatnonzero(np.unpackbits(scan[k : k + 1], bitorder="little"))
+    place = (byte + k << 3) + int(ones[left - (int(count[k - 1]) if k else 0)])
+    first = i * width >> 3
+    bits = int.from_bytes(low[first : ((i + 1) * width + 7) >> 3], "little") >> (i * width & 7)
+    return place - i << width | bits & (1 << width) - 1
+
+
 class Words:
     """Packed ids by white-space separated word: no token and no normalisation of this vocabulary reaches across a space.
-    Words not seen lately are encoded together; two generations of at most CACHE words each are held."""
+
+    Words of characters below U+0130 are lower-cased and split here as the vocabulary does; the library's model then encodes
+    the pieces, many at a time, with no other step, and pieces are told apart by the end-of-word mark of their last token. Other
+    words go through the whole tokenizer, many at a time, parted by a mark that is a token of its own. Of words and of pieces
+    two generations of at most CACHE each are held."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.bar = self.tokenizer.encode(_BAR, add_special_tokens=False).ids[0]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def encode_pieces(self, wanted: list[str]) -> None:
+        """Pieces as the vocabulary splits them: bytes become letters of its alphabet, and the model does the rest."""
+        plain = [x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_LETTERS) for x in wanted]
+        at, size = 0, self.dtype.itemsize
+        for e in self.model.encode_batch_fast([" ".join(plain[i : i + 64]) for i in range(0, len(plain), 64)], add_special_tokens=False):
+            ids = np.array(e.ids, dtype=self.dtype)
+            cut, raw, a = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist(), ids.tobytes(), 0
+            for x, b in zip(wanted[at : at + 64], cut, strict=True):
+                self.pieces[x] = raw[a:b]
+                a = b
+            at += 64
+
+    def encode_whole(self, wanted: list[str]) -> None:
+        alone = {x for x in wanted if _BAR in x}
+        for x in alone:
+            self.ids[x] = self.encode(x)
+        wanted = [x for x in wanted if x not in alone]
+        groups, size = [wanted[i : i + 64] for i in range(0, len(wanted), 64)], self.dtype.itemsize
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_BAR} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            cut, raw = np.flatnonzero(ids == self.bar).tolist(), ids.tobytes()
+            for x, a, b in zip(some, [0, *[c + 1 for c in cut]], [*cut, len(ids)], strict=True):
+                self.ids[x] = raw[size * a : size * b]
 
     def learn(self, split: list[list[str]]) -> None:
         if len(self.ids) >= CACHE:
             self.ids, self.older = {}, self.ids
-        if len(self.cores) >= CACHE:
-            self.cores = {}
+        if len(self.pieces) >= CACHE:
+            self.pieces, self.older_pieces = {}, self.pieces
         new = set()
         for x in split:
             new.update(x)
-        new = new.difference(self.ids)
-        ids, older, cores = self.ids, self.older, self.cores
-        wanted, parts = set(), []
-        for w in new:
+        ids, older, pieces, before = self.ids, self.older, self.pieces, self.older_pieces
+        whole, single, several, wanted = [], [], [], set()
+        for w in new.difference(ids):
             if w in older:
                 ids[w] = older[w]
-                continue
-            # marks after a letter or digit are tokens of their own; up to U+012F lower-casing is the vocabulary's own, too
-            core = w.rstrip(_MARKS)
-            tail = w[len(core) :]
-            if tail and not (core and core[-1].lower()[-1].isalnum()):
-                core, tail = w, ""
-            if core and max(core) < "\u0130":
-                core = core.lower()
-            parts.append((w, core, tail))
-            if core not in cores:
-                wanted.add(core)
-            if tail not in cores:
-                wanted.add(tail)
-        # encoded many at a time, parted by a mark that is a token of its own
-        alone = [x for x in wanted if _BAR in x]
-        for x in alone:
-            cores[x] = self.encode(x)
-        wanted = list(wanted.difference(alone))
-        groups = [wanted[i : i + 64] for i in range(0, len(wanted), 64)]
-        for some, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_BAR} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids_of = np.array(e.ids, dtype="<u4")
-            cut = np.flatnonzero(ids_of == self.bar).tolist()
-            raw = ids_of.tobytes()
-            for x, a, b in zip(some, [0, *[c + 1 for c in cut]], [*cut, len(ids_of)], strict=True):
-                cores[x] = raw[4 * a : 4 * b]
-        for w, core, tail in parts:
-            ids[w] = cores[core] + cores[tail] if tail else cores[core]
+            elif max(w, default="") >= "\u0130":
+                whole.append(w)
+            else:
+                low = w.lower()
+                if low.isalpha():
+                    single.append((w, low))
+                    wanted.add(low)
+                else:
+                    found = _SPLIT.findall(low)
+                    several.append((w, found))
+                    wanted.update(found)
+        wanted = wanted.difference(pieces)
+        pieces.update((x, before[x]) for x in wanted.intersection(before))
+        self.encode_pieces(list(wanted.difference(before)))
+        for w, x in single:
+            ids[w] = pieces[x]
+        for w, found in several:
+            ids[w] = b"".join([pieces[x] for x in found])
+        self.encode_whole(whole)
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """Of about a MB of texts, or of one longer text."""
@@ -127,40 +182,48 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-_BLOCK = "shard int, block int, n_docs int, n_ids long, item int, ids binary, width int, low binary, high binary, doc_ids array<long>"
+_BLOCK = "shard int, block int, inside long, n_docs int, n_ids long, item int, ids binary, width int, low binary, high binary, marks binary, n_null int, first_id long, last_id long, id_width int, id_low binary, id_high binary, id_marks binary"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in _BLOCK.split(", "))])
 
 
 def _blocks(path: str, end_id: int):
-    def pack(shard, block, docs, held):
-        lengths = np.array([len(x) // 4 for x in held], dtype=np.int64)
-        ids = np.frombuffer(b"".join(held), dtype="<u4")
-        item = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-        width, low, high = ef_encode(np.cumsum(lengths))
-        row = {"shard": shard, "block": block, "n_docs": len(docs), "n_ids": int(lengths.sum()), "item": item, "ids": ids.astype(f"<u{item}").tobytes(), "width": width, "low": low, "high": high, "doc_ids": docs}
-        return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+    """Blocks of a task's documents; inside counts the ids of the task's earlier blocks, so no later pass has to."""
+
+    def pack(shard, block, inside, docs, held, dtype):
+        lengths = np.array([len(x) // dtype.itemsize for x in held], dtype=np.int64)
+        width, low, high, marks = ef_encode(np.cumsum(lengths))
+        known = np.array([d for d in docs if d is not None], dtype=np.int64)
+        first = int(known[0]) if len(known) else 0
+        id_width, id_low, id_high, id_marks = ef_encode(known - first)
+        row = [shard, block, inside, len(docs), int(lengths.sum()), dtype.itemsize, b"".join(held), width, low, high, marks, len(docs) - len(known), first, int(known[-1]) if len(known) else None, id_width, id_low, id_high, id_marks]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
     def run(batches):
-        w, tail = words(path), np.array([end_id], dtype="<u4").tobytes()
-        shard, block, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        w = words(path)
+        # an end id that the packed ids can't hold widens them all
+        dtype = w.dtype if end_id < 1 << 8 * w.dtype.itemsize else np.dtype("<u4")
+        tail = np.array([end_id], dtype=dtype).tobytes()
+        shard, block, docs, held, size, inside = TaskContext.get().partitionId(), 0, [], [], 0, 0
         for batch in batches:
             encoded = (x for a, b, _, _ in chunks(batch.column(1)) for x in w.documents([y or "" for y in batch.column(1)[a:b].to_pylist()]))
             for d, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                if dtype != w.dtype:
+                    ids = np.frombuffer(ids, w.dtype).astype(dtype).tobytes()
                 ids += tail
-                if docs and (len(docs) >= BLOCK_DOCS or size + len(ids) > 4 * BLOCK_IDS):
-                    yield pack(shard, block, docs, held)
+                if docs and (len(docs) >= BLOCK_DOCS or size + len(ids) > dtype.itemsize * BLOCK_IDS):
+                    yield pack(shard, block, inside, docs, held, dtype)
+                    inside += size // dtype.itemsize
                     block, docs, held, size = block + 1, [], [], 0
                 docs.append(d)
                 held.append(ids)
                 size += len(ids)
         if docs:
-            yield pack(shard, block, docs, held)
+            yield pack(shard, block, inside, docs, held, dtype)
 
     return run
 
 
-_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("item", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
-
-
 def encode(documents: DataFrame, end_id: int = 1, path: str | None = None) -> DataFrame:
     """Blocks of the ids of all documents (doc_id, text), ready to be written; shards are ranges of doc_id."""
     spark = documents.sparkSession
@@ -172,30 +235,50 @@ def encode(documents: DataFrame, end_id: int = 1, path: str | None = None) -> Da
 
 
 def offsets(blocks: DataFrame) -> DataFrame:
-    """blocks with base: the ids of all blocks before it. Sums by shard first; only one row a shard meets in one task."""
-    w = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    """blocks with base: the ids of all blocks before it. One number a shard is summed and broadcast; shards are as many as
+    shuffle partitions. The ids themselves aren't moved."""
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("m"))
-    shards = shards.select("shard", (F.sum("m").over(Window.orderBy("shard")) - F.col("m")).alias("before"))
-    inner = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("inside"))
-    base = inner.join(shards, "shard").select("shard", "block", (F.col("inside") + F.col("before")).alias("base"))
-    return blocks.join(base, ["shard", "block"])
+    before = F.coalesce(F.sum("m").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.join(F.broadcast(shards.select("shard", before.alias("before"))), "shard").withColumn("base", F.col("before") + F.col("inside"))
 
 
 def _read(batches):
     for batch in batches:
-        out = []
         for r in batch.to_pylist():
-            ends = ef_select(r["n_docs"], r["width"], r["low"], r["high"])
-            ids = np.frombuffer(r["ids"], dtype=f"<u{r['item']}").astype("<u4")
-            start = 0
-            for d, end in zip(r["doc_ids"], ends.tolist(), strict=True):
-                out.append((d, r["base"] + start, end - start, zlib.crc32(ids[start:end].tobytes())))
-                start = end
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            ends = ef_all(r["n_docs"], r["width"], r["low"], r["high"])
+            known = ef_all(r["n_docs"] - r["n_null"], r["id_width"], r["id_low"], r["id_high"]) + r["first_id"]
+            ids = memoryview(np.frombuffer(r["ids"], dtype=f"<u{r['item']}").astype("<u4")).cast("B")
+            starts = np.concatenate([[0], ends[:-1]])
+            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            doc = pa.concat_arrays([pa.nulls(r["n_null"], pa.int64()), pa.array(known, pa.int64())])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(starts + r["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def digest(documents: DataFrame, end_id: int = 1, path: str | None = None) -> DataFrame:
     """Writes the files to the shared folder, reads them back: doc_id, start, n_tokens, ids_crc32."""
-    stored = written(encode(documents.select("doc_id", "text"), end_id, path), "tokens")
-    return offsets(stored).select("base", "n_docs", "item", "ids", "width", "low", "high", "doc_ids").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    stored = written(encode(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), end_id, path), "tokens")
+    some = offsets(stored).select("base", "n_docs", "item", "ids", "width", "low", "high", "n_null", "first_id", "id_width", "id_low", "id_high")
+    return some.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def lookup(blocks: DataFrame, doc_id: int) -> DataFrame:
+    """The ids (array<int>) of a document: one row for each of its rows. Blocks are skipped by their range of doc_ids; inside a
+    block its place is found by bisection over select, and only its own ids are unpacked."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, key = r["n_docs"] - r["n_null"], [r["id_width"], r["id_low"], r["id_high"], r["id_marks"]]
+                lo, hi = 0, n
+                while lo < hi:
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid + 1, hi) if ef_select(mid, *key) + r["first_id"] < doc_id else (lo, mid)
+                ends = [r["width"], r["low"], r["high"], r["marks"]]
+                while lo < n and ef_select(lo, *key) + r["first_id"] == doc_id:
+                    i = lo + r["n_null"]
+                    a, b = ef_select(i - 1, *ends) if i else 0, ef_select(i, *ends)
+                    ids = np.frombuffer(r["ids"], f"<u{r['item']}", b - a, a * r["item"]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32()))], ["ids"])
+                    lo += 1
+
+    return blocks.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).mapInArrow(run, "ids array<int>")
