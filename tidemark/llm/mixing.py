@@ -1,14 +1,18 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each source's documents, in a pseudorandom order, form one run of words cut into blocks of ``block`` words (the last may be
-shorter). A source's target is its weighted share of ``factor`` times all words, at most ``most`` times its own; its number of
-slots is the target over its mean block. Every slot is sent to an output shard by a hash of source and slot, so the shards'
-source counts are multinomial draws with exact totals. Slot j takes block (a * j + c) mod n of its source, a pseudorandom
-permutation of the n blocks that starts again after each round, so nothing is taken three times before all is taken twice.
-Slots join blocks, and blocks the documents that lie in them, by index.
+Each source's documents, in a pseudorandom order, form one run of words cut into blocks of equal length (the last may be shorter):
+``BLOCK`` words, or a ``LEAST``-th of a source too small for that many. A source's target is its weighted share of ``factor`` times
+all words, at most ``most`` times its own; its number of slots is the target over its mean block.
 
-Running sums are two-level (pseudorandom buckets inside each source, then the buckets), so a source with a third of the corpus
-is spread over many tasks. Only tables of one row a source or bucket are windowed as a whole.
+The mix is made shard by shard. The slots of all sources fall on the output shards by a multinomial draw (each slot by a hash of
+source and slot), which gives each shard its number of slots of each source; that many consecutive slot numbers are its own. Slot j
+takes block (a * j + c) mod n of its source, a pseudorandom permutation of the n blocks (a is one of a few primes above any n)
+that starts again after each round, so nothing is taken three times before all is taken twice. Slots join blocks, and blocks the
+documents that lie in them, by index.
+
+Running sums are two-level (pseudorandom buckets of about ``BUCKET`` rows inside each source, then the buckets), so a source with
+a third of the corpus is spread over many tasks. Only tables of one row a source, bucket or shard are windowed as a whole. Texts
+take no part in sorting; they join at the end.
 
 Null texts have size 0 and are taken 0 times. A null source is a source of its own, last in order. A null doc_id is an id like
 any other; repeated rows each hold their place in the run. Everything is derived from hashes, so reruns agree.
@@ -19,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import parted, written
 
 WEIGHTS = (5, 2, 1)
-BLOCK = 64
-BUCKETS = 1024
+BLOCK, LEAST, SHARDS, BUCKET = 4096, 1024, 64, 50_000
+# The sixteen largest primes below 2**61, as what they are short of it.
+_SHORT = (1, 31, 45, 229, 259, 283, 339, 391, 403, 465, 531, 579, 675, 759, 799, 819)
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,100 +66,108 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, factor: float = 1.5, mos
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _plan(documents: DataFrame, block: int, seed: int, weights: tuple, factor: float, most: float):
-    sized = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    # rows of equal id are told apart by their place among equals only in the order of the run; sizes equal, so any order does
-    sized = written(sized.select("*", (_hash(seed, "source", "doc_id") % BUCKETS).cast("int").alias("bucket"), _hash(seed + 1, "doc_id", "size").alias("key")), "sizes")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("m"))
+def _sized(documents: DataFrame, texts: bool) -> DataFrame:
+    """rid (a number of the row), doc_id, source, size, key, and row (all columns) if texts are wanted; written, so that it is
+    the same wherever it is read."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if texts else []
+    d = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("key"), *row)
+    return written(d.withColumn("rid", F.monotonically_increasing_id()), "sized")
+
+
+def _plan(sized: DataFrame, block: int, seed: int, weights: tuple, factor: float, most: float):
+    """placed (rid, doc_id, source, size, start) in the run of each source, and sources with their targets, blocks and slots."""
+    sized = sized.drop("row")
+    # written, so that its size is known and the rows aren't dealt by source to meet it
+    rows = written(sized.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BUCKET)).alias("cuts")), "counts")
+    cut = sized.alias("p").join(rows.alias("r"), F.expr("p.source <=> r.source")).select("p.*", F.pmod(_hash(seed, "p.doc_id", "p.key"), "r.cuts").alias("bucket"))
+    buckets = cut.groupBy("source", "bucket").agg(F.sum("size").alias("m"))
     first = Window.partitionBy("source").orderBy("bucket")
     buckets = buckets.select("source", "bucket", (F.sum("m").over(first) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("source")).alias("source_size"))
+    buckets = written(buckets, "buckets")
     sources = targets(buckets.groupBy("source").agg(F.max("source_size").alias("source_size")), weights, factor, most)
-    n = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    sources = sources.select("*", n.alias("n_blocks")).select(
-        "*",
-        F.when(F.col("n_blocks") > 0, F.least(F.floor(F.lit(most) * F.col("n_blocks")), F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")))).otherwise(0).cast("long").alias("slots"),
-    )
-    sources = written(sources, "sources")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
-    placed = sized.select("*", (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("within"))
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {LEAST}"))).cast("long")
+    sources = sources.select("*", length.alias("block")).select("*", F.ceil(F.col("source_size") / F.col("block")).cast("long").alias("n_blocks"))
+    wanted = F.least(F.floor(F.lit(most) * F.col("n_blocks")), F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")))
+    sources = written(sources.select("*", F.when(F.col("n_blocks") > 0, wanted).otherwise(0).cast("long").alias("slots")), "sources")
+    order = _hash(seed + 1, "doc_id", "key").alias("turn")
+    inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.select("*", order).select("*", (F.sum("size").over(inside) - F.col("size")).alias("within"))
     both = placed.alias("p").join(buckets.alias("b"), F.expr("p.source <=> b.source and p.bucket = b.bucket"))
-    placed = both.select("p.doc_id", "p.source", "p.size", (F.col("p.within") + F.col("b.before")).alias("start"))
-    return placed, sources
-
+    return both.select("p.rid", "p.doc_id", "p.source", "p.size", (F.col("p.within") + F.col("b.before")).alias("start")), sources
 
-#: Largest multiplier considered for the permutations; products with slot numbers stay within 64 bits up to 2**31 blocks.
-_TRIES = 24
 
+def _numbers(rows: DataFrame, first: str, count: str, out: str, *by: str, chunk: int = 4096) -> DataFrame:
+    """rows, each repeated for out = first, first + 1, ... (count of them); ranges are cut and dealt before they are spread out."""
+    end = F.col(first) + F.col(count)
+    rows = rows.where(F.col(count) > 0).select("*", F.explode(F.sequence(F.col(first), end - 1, F.lit(chunk).cast("long"))).alias("_from"))
+    rows = rows.repartition(parted(rows.sparkSession), *by, "_from")
+    return rows.select("*", F.explode(F.sequence("_from", F.least(F.col("_from") + chunk, end) - 1)).alias(out)).drop("_from")
 
-def _multiplier(n: Column, seed: int) -> Column:
-    """One of a few pseudorandom numbers below n that shares no factor with it; 1 if there is none among them."""
 
-    def gcd(x: Column) -> Column:
-        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(n.alias("a"), x.alias("b")), step, lambda s: s["a"])
+def draws(sources: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+    """source, shard, first, count: how many slots of each source a shard takes - a multinomial draw - and the first of them."""
+    s = _numbers(sources.select("source", "slots", F.lit(0).cast("long").alias("zero")), "zero", "slots", "slot", "source")
+    drawn = s.groupBy("source", (_hash(seed + 3, "source", "slot") % shards).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("count"))
+    return drawn.select("source", "shard", "count", (F.sum("count").over(Window.partitionBy("source").orderBy("shard")) - F.col("count")).alias("first"))
 
-    tries = F.transform(F.sequence(F.lit(1), F.lit(_TRIES)), lambda i: F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(seed), n, i), 2), F.greatest(n, F.lit(1))))
-    return F.coalesce(F.try_element_at(F.filter(tries, lambda x: (x > 1) & (gcd(x) == 1)), F.lit(1)), F.lit(1)).cast("long")
 
-
-def slots(sources: DataFrame, shards: int = 64, seed: int = 17, chunk: int = 1 << 16) -> DataFrame:
-    """The mix: one row (shard, source, slot, block_no) for each block taken."""
-    s = sources.where("slots > 0").select("source", "slots", "n_blocks", _multiplier(F.col("n_blocks"), seed).alias("a"), F.pmod(_hash(seed + 2, "source", "n_blocks"), F.col("n_blocks")).alias("c"))
-    s = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))).alias("from"))
-    s = s.repartition("source", "from")
-    s = s.select("source", "n_blocks", "a", "c", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + chunk, F.col("slots")) - 1)).alias("slot"))
+def slots(sources: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+    """The mix: one row (shard, source, slot, round, block_no) for each block taken. A null source joins as none."""
+    d = written(draws(sources, shards, seed), "draws")
+    prime = F.element_at(F.array(*[F.lit((1 << 61) - x) for x in _SHORT]), (_hash(seed, "source") % len(_SHORT) + 1).cast("int"))
+    s = sources.select("source", "n_blocks", F.pmod(prime, F.greatest("n_blocks", F.lit(1))).alias("a"), F.pmod(_hash(seed + 2, "source"), F.greatest("n_blocks", F.lit(1))).alias("c"))
+    s = d.alias("d").join(s.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.n_blocks", "s.a", "s.c")
+    s = _numbers(s, "first", "count", "slot", "source")
     # the product runs in decimals: exact for any number of blocks
-    product = F.col("a").cast("decimal(20,0)") * F.pmod(F.col("slot"), F.col("n_blocks")).cast("decimal(18,0)")
+    product = F.col("a").cast("decimal(19,0)") * F.pmod("slot", "n_blocks").cast("decimal(18,0)")
     block = F.pmod(product + F.col("c").cast("decimal(20,0)"), F.col("n_blocks").cast("decimal(20,0)")).cast("long")
-    return s.select((_hash(seed + 3, "source", "slot") % shards).cast("int").alias("shard"), "source", "slot", block.alias("block_no"))
+    return s.select("shard", "source", "slot", F.expr("slot div n_blocks").cast("int").alias("round"), block.alias("block_no"))
+
+
+#: A null source joins as an empty string behind a flag, so that joins stay equalities.
+def _named() -> list[Column]:
+    return [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
 
 
-def mixed(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tuple = WEIGHTS, factor: float = 1.5, most: float = 2.0) -> DataFrame:
+def _parts(placed: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row for each block that a document lies in, with the words of it there; texts aren't carried."""
+    p = placed.where("size > 0").alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source")).select("p.*", "s.block")
+    last = F.expr("(start + size - 1) div block")
+    p = p.select("*", (last - F.expr("start div block") + 1).alias("n"), F.explode(F.sequence(F.expr("start div block"), last)).alias("block_no"))
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * F.col("block")) - F.greatest("start", F.col("block_no") * F.col("block"))
+    return p.select("rid", *_named(), "block_no", "block", "start", "n", overlap.alias("words"))
+
+
+def mixed(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tuple = WEIGHTS, factor: float = 1.5, most: float = 2.0, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the document that the mix takes, repeats counted), source."""
-    placed, sources = _plan(documents, block, seed, weights, factor, most)
-    times = slots(sources, seed=seed).groupBy("source", "block_no").agg(F.count(F.lit(1)).alias("times"))
-    parts = placed.where("size > 0").select("doc_id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block_no"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)
-    # a null source joins as an empty string behind a flag, so the join stays an equality on (flag, source, block)
-    key = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
-    hit = parts.select("doc_id", "start", *key, "block_no", overlap.alias("words")).join(times.select(*key, "block_no", "times").hint("merge"), ["none", "name", "block_no"])
-    taken = hit.groupBy("none", "name", "doc_id", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    p = placed.select("doc_id", "source", "size", "start", *key)
-    out = p.alias("p").join(taken.alias("t").hint("merge"), F.expr("p.none = t.none and p.name = t.name and p.start = t.start and p.doc_id <=> t.doc_id and p.size > 0"), "left")
-    out = out.select("p.doc_id", "p.source", "p.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    placed, sources = _plan(_sized(documents, False), block, seed, weights, factor, most)
+    placed = written(placed, "placed")
+    taken = slots(sources, shards, seed).select(*_named(), "block_no")
+    hit = _parts(placed, sources).select("rid", "none", "name", "block_no", "words").join(taken, ["none", "name", "block_no"])
+    hit = hit.groupBy("rid").agg(F.sum("words").alias("taken"))
+    out = placed.join(hit, "rid", "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.doc_id", "o.size", "s.source_size", "s.target", "o.taken", "o.source")
 
 
-def mix(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tuple = WEIGHTS, factor: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix as documents (doc_id, source, text and any other columns): for each round the words taken in it.
+def mix(documents: DataFrame, block: int = BLOCK, seed: int = 17, weights: tuple = WEIGHTS, factor: float = 1.5, most: float = 2.0, shards: int = SHARDS, shard: str | None = None) -> DataFrame:
+    """The mix as documents (doc_id, source, text and any other columns): for each shard and round the words taken in it.
 
-    A document whose words are all taken keeps its text as it is; of others the words of the blocks taken stay, joined by one
-    space. A document taken in two rounds gives two rows. n_chars, if there is such a column, is that of the text given.
+    A document that one shard takes whole in a round keeps its text as it is; of others the words of the blocks taken stay, joined
+    by one space. A document taken by two shards, or in two rounds, gives two rows. n_chars, if there is such a column, is that
+    of the text given. `shard` names a further column for the number of the shard.
     """
-    _, sources = _plan(documents, block, seed, weights, factor, most)
-    times = slots(sources, seed=seed).groupBy("source", "block_no").agg(F.count(F.lit(1)).alias("times"))
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    d = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), row.alias("row")).where("size > 0")
-    d = d.select("*", (_hash(seed, "source", "doc_id") % BUCKETS).cast("int").alias("bucket"), _hash(seed + 1, "doc_id", "size").alias("key"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = documents.groupBy("source", (_hash(seed, "source", "doc_id") % BUCKETS).cast("int").alias("bucket")).agg(F.sum(size_of(F.col("text"))).alias("m"))
-    first = Window.partitionBy("source").orderBy("bucket")
-    buckets = buckets.select("source", "bucket", (F.sum("m").over(first) - F.col("m")).alias("before"))
-    d = d.select("*", (F.sum("size").over(inside) - F.col("size")).alias("within"))
-    d = d.alias("p").join(buckets.alias("b"), F.expr("p.source <=> b.source and p.bucket = b.bucket")).select("p.source", "p.size", "p.row", (F.col("p.within") + F.col("b.before")).alias("start"))
-    d = written(d.select("*", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")), "placed")
-    parts = d.select("none", "name", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block_no"))
-    t = times.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "block_no", "times")
-    # blocks of a document: as many as its words need; those taken in every round leave its text whole
-    hit = parts.join(t, ["none", "name", "block_no"], "left").select("none", "name", "start", "block_no", F.coalesce("times", F.lit(0)).cast("int").alias("times"))
-    hit = hit.groupBy("none", "name", "start").agg(F.min("times").alias("least"), F.max("times").alias("top"), F.array_sort(F.collect_list(F.struct("block_no", "times"))).alias("by"))
-    hit = hit.where("top > 0")
-    j = d.join(hit, ["none", "name", "start"]).select("row", "start", "least", "by", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("round"))
+    sized = _sized(documents, True)
+    placed, sources = _plan(sized, block, seed, weights, factor, most)
+    taken = slots(sources, shards, seed).select("shard", "round", *_named(), "block_no")
+    hit = _parts(placed, sources).drop("words").join(taken, ["none", "name", "block_no"])
+    hit = hit.groupBy("rid", "shard", "round").agg(F.array_sort(F.collect_list("block_no")).alias("blocks"), F.first("start").alias("start"), F.first("block").alias("block"), F.first("n").alias("n"))
+    j = hit.join(sized.select("rid", "row"), "rid")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(f"({_WORDS})"), 1)
-    # a document's blocks follow each other, so a word finds its own by position
-    place = lambda i: (F.floor((F.col("start") + i) / block) - F.floor(F.col("start") / block) + 1).cast("int")
-    chosen = F.filter(words, lambda w, i: F.element_at(F.col("by.times"), place(i)) >= F.col("round"))
-    text = F.when(F.col("round") <= F.col("least"), F.col("row.text")).otherwise(F.array_join(chosen, " "))
-    j = j.select("row", text.alias("new"))
+    # words of a block follow each other: a slice for each block, of words that are found once
+    begin = lambda b: F.greatest(b * F.col("block") - F.col("start"), F.lit(0))
+    piece = lambda w, b: F.slice(w, (begin(b) + 1).cast("int"), ((b + 1) * F.col("block") - F.col("start") - begin(b)).cast("int"))
+    some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("blocks", lambda b: piece(w, b))), " "))
+    text = F.when(F.size("blocks") == F.col("n"), F.col("row.text")).otherwise(F.element_at(some, 1))
+    j = j.select("row", "shard", text.alias("new"))
     given = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
-    return j.select(*[given.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+    return j.select(*[given.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns], *([F.col("shard").alias(shard)] if shard else []))
