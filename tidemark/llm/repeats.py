@@ -11,7 +11,7 @@ task can decide alone (both documents are in its hands) it decides, and sends on
 of all documents share costs one record a task. Windows are compared by 64-bit hashes. All counts are over all documents.
 
 Null texts have no words. Rows with a null doc_id lose nothing and take nothing. Documents of fewer than 50 words lose nothing.
-Rows that repeat a doc_id are taken for one document; should their texts differ, each loses the words marked for either.
+Rows that repeat a doc_id each keep their row and are judged by themselves: only windows in documents of smaller id count.
 """
 
 from __future__ import annotations
@@ -77,8 +77,7 @@ def _probe(buckets: int):
         docs, runs, held = [], [], 0
 
         def flush():
-            ids = np.array([d for d, _ in docs], dtype=np.int64)
-            same = np.array([s for _, s in docs], dtype=np.int64)
+            same = np.array(docs, dtype=np.int64)
             h = np.concatenate(runs)
             size = np.array([len(r) for r in runs])
             own = np.repeat(np.arange(len(runs), dtype=np.uint32), size)
@@ -90,7 +89,7 @@ def _probe(buckets: int):
             count = np.diff(np.append(begin, len(name)))
             mine = np.logical_or.reduceat(block, begin) & (np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin))
             inside = np.repeat(mine, count)
-            rows = [(-1, int(ids[o]), np.unique(v).tobytes(), b"", b"") for o, v in _by_owner(own[inside], name[inside])] if inside.any() else []
+            rows = [(-1, int(same[o]), np.unique(v).tobytes(), b"", b"") for o, v in _by_owner(own[inside], name[inside])] if inside.any() else []
             # of a settled group its first record goes on, as a block; all records of the others
             send = ~inside
             send[begin[mine]] = True
@@ -98,7 +97,7 @@ def _probe(buckets: int):
             name, own, block = name[send], own[send], block[send]
             at = np.searchsorted(name >> 32, np.arange(buckets + 1))
             low = (name & 0xFFFFFFFF).astype(np.uint32) | block
-            table = np.stack([ids, same], 1).tobytes()
+            table = same.tobytes()
             rows += [(i, None, low[at[i] : at[i + 1]].tobytes(), own[at[i] : at[i + 1]].tobytes(), table) for i in range(buckets) if at[i + 1] > at[i]]
             return _batch(rows)
 
@@ -113,7 +112,7 @@ def _probe(buckets: int):
                     if (h1 ^ h2 << 1) in seen:
                         continue
                     seen.add(h1 ^ h2 << 1)
-                    docs.append((ids[i], h1))
+                    docs.append(h1)
                     runs.append(grams[lo : hi - ANCHOR + 1])
                     held += hi - lo
                 if held >= FLUSH:
@@ -197,7 +196,7 @@ def _by_document(batches):
 
 def _hits(bucket, parts):
     low = np.concatenate([np.frombuffer(x, np.uint32) for x, _, _ in parts])
-    tables = [np.frombuffer(d, np.int64).reshape(-1, 2) for _, _, d in parts]
+    tables = [np.frombuffer(d, np.int64) for _, _, d in parts]
     shift = np.cumsum([0, *[len(t) for t in tables]])
     table = np.concatenate(tables)
     own = np.concatenate([np.frombuffer(y, np.uint32).astype(np.int64) + s for (_, y, _), s in zip(parts, shift, strict=False)])
@@ -212,23 +211,24 @@ def _hits(bucket, parts):
         return []
     name, own = low[order] >> 1, own[order]
     begin = _groups(name)
-    text = table[own, 1]
+    text = table[own]
     many = np.minimum.reduceat(text, begin) != np.maximum.reduceat(text, begin)
     inside = np.repeat(many, np.diff(np.append(begin, len(name))))
     if not inside.any():
         return []
     tags = np.int64(bucket) << 32 | name[inside].astype(np.int64) << 1
-    return [(int(table[o, 0]), np.unique(v).tobytes()) for o, v in _by_owner(own[inside], tags)]
+    # the same sequence from several tasks is one owner
+    return [(int(o), np.unique(v).tobytes()) for o, v in _by_owner(text[inside], tags)]
 
 
 def _extend(buckets: int):
     """Of documents with hits: the hashes of the windows that hold one, by bucket; and rows of windows settled here."""
 
     def run(batches):
-        ids, spots, hashes, held = [], [], [], 0
+        ids, names, spots, hashes, held = [], [], [], [], 0
 
         def flush():
-            doc = np.array(ids, dtype=np.int64)
+            doc, name = np.array(ids, dtype=np.int64), np.array(names, dtype=np.int64)
             size = [len(s) for s in spots]
             own = np.repeat(np.arange(len(ids)), size)
             h, place = np.concatenate(hashes), np.concatenate(spots).astype(np.uint32)
@@ -237,27 +237,28 @@ def _extend(buckets: int):
             begin = _groups(h)
             first = np.repeat(doc[own[begin]], np.diff(np.append(begin, len(h))))
             later = doc[own] > first
-            rows = [(-1, int(doc[o]), v.tobytes(), b"", b"") for o, v in _by_owner(own[later], place[later])] if later.any() else []
+            rows = [(-1, int(name[o]), v.tobytes(), b"", b"") for o, v in _by_owner(own[later], place[later])] if later.any() else []
             h, own, place = h[~later], own[~later], place[~later]
             order, at = deal(h, buckets)
             h, own, place = h[order], own[order], place[order]
             # a document may hold a window twice: both are records of its smallest holder
             full = np.empty(len(h), dtype=[("h", "<u8"), ("own", "<u4"), ("place", "<u4")])
             full["h"], full["own"], full["place"] = h, own, place
-            table = doc.tobytes()
+            table = np.stack([doc, name], 1).tobytes()
             rows += [(i, None, full[at[i] : at[i + 1]].tobytes(), b"", table) for i in range(buckets) if at[i + 1] > at[i]]
             return _batch(rows)
 
         for batch in batches:
             hits = batch.column(2).to_pylist()
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids, sequences = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for a, w, first in documents(batch.column(1), False):
                 short, long = rolling(w, ANCHOR), rolling(w, WINDOW)
                 for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), a):
                     last = hi - lo - WINDOW
-                    if last < 0:
+                    # another row of that id
+                    if last < 0 or sequence_hash(w[lo:hi])[0] != sequences[i]:
                         continue
-                    known = np.concatenate([np.frombuffer(x, np.int64) for x in hits[i]])
+                    known = np.frombuffer(hits[i], np.int64)
                     at = np.flatnonzero(np.isin(tag(short[lo : hi - ANCHOR + 1], buckets), known))
                     if not len(at):
                         continue
@@ -268,12 +269,13 @@ def _extend(buckets: int):
                     if not len(spot):
                         continue
                     ids.append(doc_ids[i])
+                    names.append(sequences[i])
                     spots.append(spot)
                     hashes.append(long[lo + spot])
                     held += len(spot)
                 if held >= FLUSH:
                     yield flush()
-                    ids, spots, hashes, held = [], [], [], 0
+                    ids, names, spots, hashes, held = [], [], [], [], 0
         if held:
             yield flush()
 
@@ -281,49 +283,58 @@ def _extend(buckets: int):
 
 
 def _later(bucket, parts):
-    full = np.concatenate([np.frombuffer(x, [("h", "<u8"), ("own", "<u4"), ("place", "<u4")]) for x, _, _ in parts])
-    doc = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(x, [("h", "<u8"), ("own", "<u4"), ("place", "<u4")])["own"]] for x, _, d in parts])
-    order = np.lexsort((doc, full["h"]))
-    h, doc, place = full["h"][order], doc[order], full["place"][order]
+    record = [("h", "<u8"), ("own", "<u4"), ("place", "<u4")]
+    full = [np.frombuffer(x, record) for x, _, _ in parts]
+    owner = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[f["own"]] for f, (_, _, d) in zip(full, parts, strict=True)])
+    full = np.concatenate(full)
+    order = np.lexsort((owner[:, 0], full["h"]))
+    h, doc, name, place = full["h"][order], owner[order, 0], owner[order, 1], full["place"][order]
     begin = _groups(h)
     later = doc > np.repeat(doc[begin], np.diff(np.append(begin, len(h))))
-    return [(d, v.tobytes()) for d, v in _by_owner(doc[later], place[later])] if later.any() else []
+    return [(d, v.tobytes()) for d, v in _by_owner(name[later], place[later])] if later.any() else []
 
 
 def marked(text: DataFrame) -> DataFrame:
-    """doc_id, copy (equal to a smaller document of 50 words or more), places (binaries of uint32: starts of repeated windows)."""
+    """doc_id, marks: array of (h1, copy, places) for the sequences of the id that lose words - copy: equal to a smaller document;
+    places: a binary of uint32, the starts of repeated windows. alone: the id has no other sequence."""
     spark = text.sparkSession
     buckets = parted(spark)
     usable = text.where("doc_id is not null")
-    whole = usable.mapInArrow(_whole, "doc_id long, n long, h1 long, h2 long").where(F.col("n") >= WINDOW).distinct()
-    whole = written(whole, "sequences")
-    least = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"))
-    whole = written(whole.join(least, ["n", "h1", "h2"]).select("doc_id", "least"), "equal")
+    whole = written(usable.mapInArrow(_whole, "doc_id long, n long, h1 long, h2 long").distinct(), "sequences")
+    several = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    long = whole.where(F.col("n") >= WINDOW)
+    least = written(long.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least")), "least")
     deal_out = lambda rows: rows.repartitionById(buckets, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")).sortWithinPartitions("bucket")
 
     def gathered(rows: DataFrame, decide, name: str) -> DataFrame:
         packed = deal_out(rows).mapInArrow(_bucketed(decide, buckets), _PACKED)
         return written(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_by_document, "doc long, x binary"), name)
 
+    # hits by sequence; the smallest of equal documents stands for them
     hits = gathered(usable.mapInArrow(_probe(buckets), _ROWS), _hits, "hits")
-    # the smallest of equal documents stands for them
-    hits = hits.join(whole, hits.doc == whole.doc_id).groupBy("least").agg(F.collect_set("x").alias("hits"))
-    found = usable.join(hits, usable.doc_id == hits.least).select("doc_id", "text", "hits")
-    places = gathered(found.mapInArrow(_extend(buckets), _ROWS), _later, "windows").select(F.col("doc").alias("doc_id"), F.array("x").alias("places"))
-    copies = whole.where("doc_id > least").select("doc_id", F.lit(True).alias("copy"))
-    return places.join(copies, "doc_id", "full").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "places")
+    hits = hits.join(least, hits.doc == least.h1).select("least", "x", "h1")
+    found = usable.join(hits, usable.doc_id == hits.least).select("doc_id", "text", "x", "h1")
+    places = gathered(found.mapInArrow(_extend(buckets), _ROWS), _later, "windows")
+    copies = long.join(least, ["n", "h1", "h2"]).where("doc_id > least").select("doc_id", "h1", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("x"))
+    own = places.join(least, places.doc == least.h1).select(F.col("least").alias("doc_id"), "h1", F.lit(False).alias("copy"), "x")
+    marks = copies.union(own).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "copy", "x")).alias("marks"))
+    return marks.join(several, "doc_id", "left").select("doc_id", "marks", F.col("rows").isNull().alias("alone"))
 
 
-def kept_words(raw: bytes, copy: bool | None, places: list[bytes] | None) -> tuple[int, list[bytes]]:
+def kept_words(raw: bytes, marks: list[dict] | None, alone: bool | None) -> tuple[int, list[bytes]]:
     """The number of words, and those that stay."""
     w = raw.split()
-    if copy and len(w) >= WINDOW:
+    if not marks or len(w) < WINDOW:
+        return len(w), w
+    if not alone:
+        _, words, _ = next(documents(pa.array([raw]), False))
+        marks = [m for m in marks if m["h1"] == sequence_hash(words)[0]]
+    if any(m["copy"] for m in marks):
         return len(w), []
-    if not places:
+    if not marks:
         return len(w), w
-    at = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
+    at = np.frombuffer(b"".join(m["x"] for m in marks), np.uint32).astype(np.int64)
     step = np.zeros(len(w) + WINDOW + 1, dtype=np.int32)
-    at = at[at <= len(w) - WINDOW]
     np.add.at(step, at, 1)
     np.add.at(step, at + WINDOW, -1)
     return len(w), [w[i] for i in np.flatnonzero(np.cumsum(step)[: len(w)] == 0)]
@@ -332,8 +343,8 @@ def kept_words(raw: bytes, copy: bool | None, places: list[bytes] | None) -> tup
 def _digest(batches):
     for batch in batches:
         n, gone, sha = [], [], []
-        for raw, copy, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            k, kept = kept_words(raw or b"", copy, places)
+        for raw, marks, alone in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            k, kept = kept_words(raw or b"", marks, alone)
             n.append(k)
             gone.append(k - len(kept))
             sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -342,14 +353,14 @@ def _digest(batches):
 
 def _cut(batches):
     for batch in batches:
-        out = [None if raw is None else b" ".join(kept_words(raw, copy, places)[1]).decode() for raw, copy, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        out = [None if raw is None else b" ".join(kept_words(raw, marks, alone)[1]).decode() for raw, marks, alone in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "kept_text"])
 
 
 def _joined(df: DataFrame) -> DataFrame:
     tune(df.sparkSession)
     text = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.join(marked(text), "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "copy", "places")
+    return text.join(marked(text), "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "marks", "alone")
 
 
 def removed(df: DataFrame) -> DataFrame:
