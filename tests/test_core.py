@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
 from tidemark.functions.kernels import KERNELS, TWO_WIDTHS
-from tidemark.operators import inference, interpolate, motion, rasters, tables, windows
+from tidemark.operators import inference, interpolate, motion, rasters, solvers, state, tables, windows
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def near(a, b):
     return len(a) == len(b) and all(len(x) == len(y) and all(abs(p - q) <= 2e-3 if isinstance(p, float) and isinstance(q, float) else p == q for p, q in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", ["scan_dc_energy", "localize_raster", "kernel_yukawa", "density_raster", "zero_filled_counts", "gt_interp", "reciprocity_contract", "metrics_upsert", "peak_align_mean", "contiguous_bin_runs"])
+@pytest.mark.parametrize("name", ["scan_dc_energy", "localize_raster", "kernel_yukawa", "density_raster", "zero_filled_counts", "gt_interp", "reciprocity_contract", "metrics_upsert", "peak_align_mean", "contiguous_bin_runs", "zncc_pairs", "correct_nonrigid", "flatten_sources", "accepted_pairs", "blur_reflect", "patch_scatter", "pairs_roundtrip"])
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -80,30 +80,150 @@ def test_interpolation_matches_numpy(spark):
     assert np.allclose([got[float(x)] for x in t], np.interp(t, *zip(*knots, strict=True)))
 
 
-def test_pursuit_invariants():
+@pytest.mark.parametrize(("free", "shortlist"), [(False, 0), (True, 0), (False, 5)])
+def test_pursuit_invariants(free, shortlist):
     rng = np.random.default_rng(1)
     h = rng.normal(size=(8, 12))
     h /= np.linalg.norm(h, axis=0)
     places = rng.normal(size=(12, 3)) * 30
     bank = inference.shift_bank(inference.dct(4), 1)
     assert np.allclose(np.linalg.norm(bank, axis=1), 1) and np.allclose(bank[1], inference.dct(4)[0])
-    y = rng.normal(size=(20, 8, 8))
-    previous = np.zeros(20)
+    y = np.concatenate([rng.normal(size=(20, 8, 8)), np.zeros((1, 8, 8))])
+    previous = np.zeros(21)
+    search = inference.Pursuit(h, places, bank, 3, free, shortlist)
     for r in (1, 2, 3):
-        n, k, a, got = inference.pursuit(y, h, places, bank, r, 0.0, 4.0)
-        assert (got <= (y**2).sum((1, 2)) + 1e-9).all() and (got >= previous - 1e-9).all() and (a >= 0).all()
+        place, choice, coef, got = search.run(y, r, 0.0, 4.0)
+        assert (got <= (y**2).sum((1, 2)) + 1e-9).all() and (got >= previous - 1e-9).all() and (free or (coef >= 0).all())
+        # what is captured is what the sources built from their coefficients take away
+        for b in range(21):
+            model = sum(np.outer(h[:, place[b, j]], coef[b, j] @ bank[search.rows(choice[b, j : j + 1])[0]]) for j in range(r) if place[b, j] >= 0)
+            assert abs(((y[b] - model) ** 2).sum() - ((y[b] ** 2).sum() - got[b])) < 1e-6 * max(1, (y[b] ** 2).sum())
         previous = got
-    for row in n:
+    assert (place[20] == [0, -1, -1]).all() and got[20] == 0
+    for row in place:
         p = places[row[row >= 0]]
         assert all(np.linalg.norm(p[i] - p[j]) >= 4 for i in range(len(p)) for j in range(i))
 
 
+def test_first_source_is_the_best_single_atom():
+    rng = np.random.default_rng(3)
+    h = rng.normal(size=(8, 10))
+    h /= np.linalg.norm(h, axis=0)
+    bank, y = inference.shift_bank(inference.dct(3), 2), rng.normal(size=(30, 8, 8))
+    place, choice, coef, got = inference.Pursuit(h, np.arange(30.0).reshape(10, 3) * 9, bank, 5).run(y, 1, 0.0, 4.0)
+    corr = np.einsum("cn,bct,kt->bnk", h, y, bank).reshape(30, -1)
+    assert (place[:, 0] * len(bank) + choice[:, 0] == corr.argmax(1)).all() and np.allclose(got, np.maximum(corr.max(1), 0) ** 2)
+
+
+def test_nonnegative_refit_meets_its_conditions():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(200, 6, 4))
+    y = rng.normal(size=(200, 6))
+    gram, rhs = np.einsum("bij,bik->bjk", a, a), np.einsum("bij,bi->bj", a, y)
+    x, got = inference.refit_nonnegative(gram, rhs)
+    slope = rhs - np.einsum("bjk,bk->bj", gram, x)
+    assert (x >= 0).all() and (slope[x == 0] <= 1e-6).all() and np.abs(slope[x > 0]).max() < 1e-6
+    assert np.allclose(got, 2 * np.einsum("bj,bj->b", x, rhs) - np.einsum("bj,bjk,bk->b", x, gram, x), atol=1e-6)
+
+
 def test_planted_source_is_found():
     h = np.linalg.qr(np.random.default_rng(2).normal(size=(8, 6)))[0]
     bank = inference.shift_bank(inference.dct(4), 1)
     y = (3 * h[:, 4][:, None] * bank[7][None])[None]
-    n, k, a, _ = inference.pursuit(y, h, np.arange(18.0).reshape(6, 3) * 50, bank, 2, 1e-6, 4.0)
-    assert (n[0, 0], k[0, 0]) == (4, 7) and abs(a[0, 0] - 3) < 1e-9 and n[0, 1] == -1
+    n, k, a, _ = inference.Pursuit(h, np.arange(18.0).reshape(6, 3) * 50, bank, 3).run(y, 2, 1e-6, 4.0)
+    assert (n[0, 0], k[0, 0]) == (4, 7) and abs(a[0, 0, 0] - 3) < 1e-6 and n[0, 1] == -1
+
+
+def test_correlation_is_zero_mean(spark):
+    """A constant offset over the grid changes nothing; a shifted copy correlates fully at its shift; blocks meet."""
+    base = np.array([0, 0, 1, 5, 2, 0, 0, 0, 0, 0], dtype=float)
+    rows = [(0, i, float(x)) for i, x in enumerate(base)] + [(1, i, float(x) + 7) for i, x in enumerate(np.roll(base, 2))] + [(5, i, 3.0) for i in range(10)]
+    got = {(r.t, r.u, r.lag): r.r for r in motion.lagged_pairs(spark.createDataFrame(rows, "bin long, iy long, w double"), 3, 0, 10, block=1).collect()}
+    assert set(got) == {(1, 0, k) for k in range(-3, 4)}
+    v, w = (x - x.mean() for x in (np.roll(base, 2) + 7, base))
+    want = {k: sum(v[y + k] * w[y] for y in range(10) if 0 <= y + k < 10) / np.linalg.norm(v) / np.linalg.norm(w) for k in range(-3, 4)}
+    assert all(abs(got[1, 0, k] - want[k]) < 1e-12 for k in want) and max(want, key=want.get) == 2
+
+
+def test_silent_spike(spark):
+    w = [0.0] * 64
+    d = spark.createDataFrame([(1, 0, 0.5, 3, 1, "a", 0.0, w), (2, 0, 0.5, 3, 1, "a", 1.0, np.sin(np.arange(64.0)).tolist())], "spike_id long, sample long, t double, channel int, user_id long, kind string, amp double, w array<double>")
+    silent = inference.located(d).where("spike_id = 1").first()
+    assert (silent.n, silent.score, silent.energy) == (0, 0.0, 0.0)
+    from tidemark import queries
+
+    mp = {r.spike_id: (r.mx, r.x, r.my, r.y) for r in queries._mp(d).collect()}
+    assert mp[1][0] == mp[1][1] and mp[1][2] == mp[1][3] and all(np.isfinite(mp[2]))
+    assert d.select("spike_id", A.shares(A.peak_to_peak(F.col("w"), 8, 8)).alias("s")).where("spike_id = 1").first().s == [1.0, *[0.0] * 7]
+
+
+def test_solvers():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 6)) * 3
+    p = solvers.project_simplex(x)
+    assert np.allclose(p.sum(1), 1) and (p >= 0).all() and np.allclose(solvers.project_simplex(p), p)
+    q = rng.dirichlet(np.ones(6), (50, 200))
+    assert (np.linalg.norm(x - p, axis=1)[:, None] <= np.linalg.norm(x[:, None] - q, axis=2) + 1e-9).all()
+    # the best shared weight is the best on a fine grid, and the ascent over the simplex reaches it
+    h = rng.normal(size=(40, 8, 2))
+    h /= np.linalg.norm(h, axis=1, keepdims=True)
+    over, u = np.einsum("bci,bcj->bij", h, h), rng.normal(size=(40, 2, 4))
+    w, got = solvers.shared_pair(u[:, 0], u[:, 1], over[:, 0, 1])
+    grid = np.stack([solvers.shared_captured(np.tile([[k, 1 - k]], (40, 1)), u, over) for k in np.linspace(0, 1, 2001)]).max(0)
+    assert (got >= grid - 1e-9).all() and np.allclose(got, grid, rtol=1e-4) and ((w >= 0) & (w <= 1)).all()
+    found = solvers.shared_captured(solvers.shared_weights(u, over, 200), u, over)
+    assert (found <= got + 1e-9).all() and (found >= np.einsum("brm,brm->br", u, u).max(1) - 1e-9).all() and np.mean(found > 0.999 * got) > 0.8
+    # conditions of optimality
+    a = rng.normal(size=(30, 9, 5))
+    gram, rhs = np.einsum("bij,bik->bjk", a, a), np.einsum("bij,bi->bj", a, rng.normal(size=(30, 9)))
+    z = solvers.nonnegative_mixture(gram, rhs, 0.3, 4000)
+    slope = rhs - 0.3 - np.einsum("bjk,bk->bj", gram, z)
+    assert (z >= 0).all() and slope[z == 0].max() < 1e-3 and np.abs(slope[z > 0]).max() < 1e-3
+    target = rng.normal(size=(30, 5, 3))
+    g = solvers.group_lasso(gram, target, 0.8, 4000)
+    size, pull = np.linalg.norm(g, axis=2), np.linalg.norm(target - np.einsum("bij,bjm->bim", gram, g), axis=2)
+    assert (pull[size == 0] <= 0.8 + 1e-3).all() and np.abs(pull[size > 0] - 0.8).max() < 1e-2 and (size == 0).any()
+
+
+def test_cones_and_prototypes():
+    rng = np.random.default_rng(6)
+    axis = rng.normal(size=90)
+    axis /= np.linalg.norm(axis)
+    v = np.concatenate([rng.normal(size=(8, 90)), axis[None], -axis[None]])
+    got = solvers.project_cone(v, axis, 35)
+    assert np.allclose(np.linalg.norm(got, axis=1), 1) and (got @ axis >= np.cos(np.radians(35)) - 1e-9).all() and np.allclose(got[8], axis)
+    assert np.allclose(solvers.polarised(np.array([[-1, 0.2], [0.9, -0.1]])), [[1, -0.2], [-0.9, 0.1]])
+    centres, own = solvers.spherical_kmeans(np.concatenate([v[:1] + rng.normal(size=(20, 90)) * 0.05, v[1:2] + rng.normal(size=(20, 90)) * 0.05]), 2)
+    assert len(set(own[:20])) == len(set(own[20:])) == 1 and own[0] != own[20] and np.allclose(np.linalg.norm(centres, axis=1), 1)
+
+
+def test_state_is_checked(spark, tmp_path):
+    good = spark.createDataFrame([(0, 0.0, 1.0), (0, 1.0, 2.0)], "win int, t double, p double")
+    state.save(good, "motion", str(tmp_path / "m"))
+    assert state.load(spark, "motion", str(tmp_path / "m")).count() == 2
+    for bad in ([(0, 0.0, None)], [(-1, 0.0, 1.0)], [(0, 0.0, float("nan"))], [(0, 0.0, 1.0), (0, 0.0, 2.0)]):
+        with pytest.raises(ValueError, match="motion"):
+            state.save(spark.createDataFrame(bad, "win int, t double, p double"), "motion", str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="lacks"):
+        state.load(spark, "pairs", str(tmp_path / "m"))
+
+
+def test_motion_at_time_and_depth(spark):
+    table = [(float(t), w, 10.0 + t + 10 * w) for t in range(6) for w in range(3)]
+    at = spark.createDataFrame([(2.0, 0.0), (2.0, 500.0), (2.5, 2000.0), (9.0, -5.0), (0.0, 1500.0)], "t double, y double")
+    got = interpolate.at_depth(at, spark.createDataFrame(table, "t double, win int, p double"), 0.0, 1000.0, 3, 2.0)
+    assert {(r.t, r.y): r.p for r in got.collect()} == {(2.0, 0.0): 12.0, (2.0, 500.0): 17.0, (2.5, 2000.0): 32.5, (9.0, -5.0): 15.0, (0.0, 1500.0): 25.0}
+
+
+@pytest.mark.parametrize(("name", "columns"), [("nonrigid_solve", ["win", "t", "p"]), ("control_ladder", ["shrink", "r", "gain", "residual"]), ("block_pca_scores", ["spike_id", "channel", "pc0", "rank01"]), ("source_usage", ["n", "q", "sources", "amp"])])
+def test_iterative_queries_run(spark, name, columns):
+    out = QUERIES[name](spark, SF).toPandas()
+    assert list(out.columns) == columns and len(out) and out[columns[-1]].map(math.isfinite).all()
+
+
+def test_codebook_fit_never_rises(spark):
+    nmse = [r.nmse for r in QUERIES["codebook_fit"](spark, SF).orderBy("iteration").collect()]
+    assert len(nmse) > 1 and all(b <= a for a, b in zip(nmse, nmse[1:], strict=False)) and nmse[-1] < 1
 
 
 def test_solve_recovers_motion():
@@ -118,6 +238,8 @@ def test_reciprocal_contract(spark):
     for hard, want in ((True, 2.0), (False, 3.0)):
         got = {(r.t, r.u): (r.d, r.c) for r in motion.reciprocal(d, hard).collect()}
         assert got[(0, 1)] == (want, pytest.approx(0.6)) and got[(1, 0)] == (-want, pytest.approx(0.6))
+    alone = spark.createDataFrame([(0, 1, 4.0, 0.5), (2, 2, 3.0, 1.0)], "t long, u long, d double, c double")
+    assert {(r.t, r.u): (r.d, r.c) for r in motion.reciprocal(alone, True).collect()} == {(0, 1): (4.0, 0.5), (1, 0): (-4.0, 0.5), (2, 2): (0.0, 1.0)}
 
 
 def test_upsert_fills_fields(spark):

@@ -52,3 +52,9 @@ def shifted(a: Column, by: int, width: int) -> Column:
 
 def literal(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
+
+
+def shares(a: Column) -> Column:
+    """Each entry over the sum; an all-zero array puts the whole weight on its first slot."""
+    first = F.transform(a, lambda _, i: (i == 0).cast("double"))
+    return F.when(total(a) > 0, F.transform(F.array(total(a)), lambda s: F.transform(a, lambda x: x / s))[0]).otherwise(first)

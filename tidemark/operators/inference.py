@@ -1,4 +1,4 @@
-"""Source inference on spikes: exact one-source assignment as expressions, greedy multi-source pursuit in Arrow batches."""
+"""Source inference on spikes in Arrow batches: exact one-source assignment, pair refits, greedy multi-source pursuit."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import dot, energy, literal, rows, unit, without_dc
+from tidemark.functions.arrays import literal, unit
 from tidemark.functions.kernels import KERNELS
 from tidemark.sources.recording import SAMPLES, SLOTS, geometry
 
@@ -34,75 +34,100 @@ def footprints(spark, kernel: str = "monopole", lattice=None, a: float = WIDTH,
     return geometry(spark).select("channel", "x", "y", "cfg", F.array(*cands).alias("cand"))
 
 
-def projected(w: Column, omega: np.ndarray) -> Column:
-    """SLOTS arrays of the coefficients of the DC-free rows in the orthonormal codebook."""
-    z = rows(without_dc(w, SLOTS, SAMPLES), SLOTS, SAMPLES)
-    return F.transform(z, lambda r: F.array(*[dot(r, literal(o)) for o in omega]))
+def shapes_by_channel(spark, kernel: str = "monopole", lattice=None) -> np.ndarray:
+    """Unit footprints (channels, slots, candidates): a fixed table of the probe, computed once and shipped with the tasks."""
+    rows = sorted(footprints(spark, kernel, lattice).select("channel", "cand").collect(), key=lambda r: r["channel"])
+    return np.array([[c["g"] for c in r["cand"]] for r in rows]).transpose(0, 2, 1)
+
+
+def centred(column: pa.Array) -> np.ndarray:
+    """(spikes, slots, samples) of a column of waveforms, each row less its mean."""
+    y = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, SLOTS, SAMPLES)
+    return y - y.mean(2, keepdims=True)
+
+
+def coefficients(y: np.ndarray, h: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """(spikes, candidates, shapes): what each place would take of each shape."""
+    return np.matmul(h.transpose(0, 2, 1), y @ omega.T)
 
 
 def assigned(spikes: DataFrame, kernel: str = "monopole", m: int = 4, k: int = 1) -> DataFrame:
-    """spikes with energy, and the k best places: top: array<struct<score,n,px,py,pz>>; ties to the smaller n.
+    """spike_id, t, channel, amp, kind, energy, and the k best places: top: array<struct<n,score>>; ties to the smaller n.
 
-    The channel table (64 rows) is broadcast with its footprints; scoring is per row, so no shuffle at all.
+    Scores are two matrix products over an Arrow batch; no shuffle, and nothing but the probe's footprints is shipped.
     """
-    omega = dct(m)
-    f = footprints(spikes.sparkSession, kernel)
-    j = spikes.withColumn("p", projected(F.col("w"), omega)).join(F.broadcast(f), "channel")
+    omega, shapes = dct(m), shapes_by_channel(spikes.sparkSession, kernel)
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("score", pa.float64())]))
 
-    def score(c: Column) -> Column:
-        u = [F.aggregate(F.zip_with(c["g"], F.col("p"), lambda g, p: g * F.element_at(p, i + 1)), F.lit(0.0), lambda s, x: s + x) for i in range(m)]  # noqa: B023
-        return sum((x * x for x in u[1:]), u[0] * u[0])
+    def run(batches):
+        for batch in batches:
+            y = centred(batch.column(5))
+            u = coefficients(y, shapes[batch.column(2).to_numpy()], omega)
+            score = np.einsum("bnm,bnm->bn", u, u)
+            # ordered by rounded scores: places of equal score are ties whatever the order of their sums
+            best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+            flat = pa.StructArray.from_arrays([pa.array(best.ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["n", "score"])
+            top = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * best.shape[1], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.einsum("bct,bct->b", y, y)), top.cast(kind)], ["spike_id", "t", "channel", "amp", "kind", "energy", "top"])
 
-    found = F.transform("cand", lambda c: F.struct(score(c).alias("score"), (-c["n"]).alias("neg"), c["px"].alias("px"), c["py"].alias("py"), c["pz"].alias("pz")))
-    best = F.slice(F.reverse(F.array_sort(found)), 1, k)
-    return j.select(*spikes.columns, "x", "y", energy(without_dc(F.col("w"), SLOTS, SAMPLES)).alias("energy"), best.alias("top"))
+    return spikes.select("spike_id", "t", "channel", "amp", "kind", "w").mapInArrow(run, "spike_id long, t double, channel int, amp double, kind string, energy double, top array<struct<n:long,score:double>>")
 
 
 def located(spikes: DataFrame, kernel: str = "monopole") -> DataFrame:
-    """spike_id, t, channel, px, py, pz (um, absolute), score, energy."""
-    a = assigned(spikes, kernel).withColumn("best", F.element_at("top", 1))
-    return a.select("spike_id", "t", "channel", "amp", "kind", (F.col("x") + F.col("best.px")).alias("px"), (F.col("y") + F.col("best.py")).alias("py"), F.col("best.pz").alias("pz"), F.col("best.score").alias("score"), "energy")
+    """spike_id, t, channel, amp, kind, n, px, py, pz (um, absolute), score, energy."""
+    a = assigned(spikes, kernel).withColumn("best", F.element_at("top", 1)).join(F.broadcast(geometry(spikes.sparkSession).select("channel", "x", "y")), "channel")
+    place = [F.element_at(literal([c[i] for c in LATTICE]), (F.col("best.n") + 1).cast("int")) for i in range(3)]
+    return a.select("spike_id", "t", "channel", "amp", "kind", F.col("best.n").alias("n"), (F.col("x") + place[0]).alias("px"), (F.col("y") + place[1]).alias("py"), place[2].alias("pz"), F.col("best.score").alias("score"), "energy")
 
 
-def pair_terms(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataFrame:
-    """Joint refit of each spike's two best places with free shapes: the 2 x 2 system in closed form.
+_TERMS = "spike_id long, n1 long, n2 long, s1 double, s2 double, c double, captured double, condition double"
+
+
+def _pairs(spikes: DataFrame, kernel: str, m: int, every: bool) -> DataFrame:
+    """Joint refit with free shapes of two places: the 2 x 2 system in closed form.
 
     captured = (|u1|^2 + |u2|^2 - 2 c u1.u2) / (1 - c^2) with u_i the coefficients under place i and c the footprints' overlap;
     leaving one place out loses captured - |u of the other|^2.
     """
-    omega = dct(m)
-    f = footprints(spikes.sparkSession, kernel)
-    j = spikes.select("spike_id", "channel", projected(F.col("w"), omega).alias("p")).join(F.broadcast(f.select("channel", "cand")), "channel")
-    u = lambda c: F.array(*[F.aggregate(F.zip_with(c["g"], F.col("p"), lambda g, p: g * F.element_at(p, i + 1)), F.lit(0.0), lambda s, x: s + x) for i in range(m)])  # noqa: B023,E731
-    found = F.transform(F.transform("cand", lambda c: F.struct(c["n"].alias("n"), c["g"].alias("g"), u(c).alias("u"))), lambda c: F.struct(energy(c["u"]).alias("score"), (-c["n"]).alias("neg"), c["g"].alias("g"), c["u"].alias("u")))
-    best = j.select("spike_id", F.slice(F.reverse(F.array_sort(found)), 1, 2).alias("b"))
-    a, b = F.col("b")[0], F.col("b")[1]
-    c = dot(a["g"], b["g"])
-    best = best.select("spike_id", (-a["neg"]).alias("n1"), (-b["neg"]).alias("n2"), a["score"].alias("s1"), b["score"].alias("s2"), c.alias("c"), dot(a["u"], b["u"]).alias("x"))
-    got = (F.col("s1") + F.col("s2") - 2 * F.col("c") * F.col("x")) / F.greatest(1 - F.col("c") * F.col("c"), F.lit(1e-12))
-    return best.select("spike_id", "n1", "n2", "s1", "s2", "c", got.alias("captured"), ((1 + F.abs("c")) / F.greatest(1 - F.abs("c"), F.lit(1e-12))).alias("condition"))
+    omega, shapes = dct(m), shapes_by_channel(spikes.sparkSession, kernel)
+    overlap = np.matmul(shapes.transpose(0, 2, 1), shapes)
+    left, right = np.triu_indices(shapes.shape[2], 1)
+
+    def run(batches):
+        for batch in batches:
+            channel = batch.column(1).to_numpy()
+            u = coefficients(centred(batch.column(2)), shapes[channel], omega)
+            s, here = np.einsum("bnm,bnm->bn", u, u), np.arange(len(u))
+            if every:
+                c, x = overlap[channel][:, left, right], np.matmul(u, u.transpose(0, 2, 1))[:, left, right]
+                apart = 1 - c * c
+                got = np.where(apart > 1e-9, (s[:, left] + s[:, right] - 2 * c * x) / np.maximum(apart, 1e-9), np.maximum(s[:, left], s[:, right]))
+                best = np.round(got, 9).argmax(1)  # ties to the smaller places
+                one, two, got = left[best], right[best], got[here, best]
+                swap = s[here, one] < s[here, two]
+                one, two = np.where(swap, two, one), np.where(swap, one, two)
+            else:
+                order = np.argsort(-np.round(s, 9), axis=1, kind="stable")
+                one, two = order[:, 0], order[:, 1]
+            c = overlap[channel, one, two]
+            if not every:
+                got = (s[here, one] + s[here, two] - 2 * c * np.einsum("bm,bm->b", u[here, one], u[here, two])) / np.maximum(1 - c * c, 1e-12)
+            condition = (1 + np.abs(c)) / np.maximum(1 - np.abs(c), 1e-12)
+            cols = [one, two, s[here, one], s[here, two], c, got, condition]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in cols)], [x.split()[0] for x in _TERMS.split(", ")])
 
+    return spikes.select("spike_id", "channel", "w").mapInArrow(run, _TERMS)
 
-def pair_search(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataFrame:
-    """Best joint refit of each spike over all pairs of places with free shapes; columns of pair_terms, n1 the better single.
 
-    All pairs of the lattice are scored in the row, without a shuffle. Footprints that coincide capture what the better one does.
-    """
-    omega = dct(m)
-    f = footprints(spikes.sparkSession, kernel)
-    j = spikes.select("spike_id", "channel", projected(F.col("w"), omega).alias("p")).join(F.broadcast(f.select("channel", "cand")), "channel")
-    u = lambda c: F.array(*[F.aggregate(F.zip_with(c["g"], F.col("p"), lambda g, p: g * F.element_at(p, i + 1)), F.lit(0.0), lambda s, x: s + x) for i in range(m)])  # noqa: B023,E731
-    found = F.transform(F.transform("cand", lambda c: F.struct(c["n"].alias("n"), c["g"].alias("g"), u(c).alias("u"))), lambda c: F.struct(energy(c["u"]).alias("s"), c["n"].alias("n"), c["g"].alias("g"), c["u"].alias("u")))
-    j = j.select("spike_id", found.alias("f"))
-    terms = lambda a, b: F.struct((-a["n"]).alias("i"), (-b["n"]).alias("j"), a["s"].alias("si"), b["s"].alias("sj"), dot(a["g"], b["g"]).alias("c"), dot(a["u"], b["u"]).alias("x"))
-    j = j.select("spike_id", F.flatten(F.transform("f", lambda a: F.transform(F.filter("f", lambda b: b["n"] > a["n"]), lambda b: terms(a, b)))).alias("t"))
-    apart = lambda t: 1 - t["c"] * t["c"]
-    got = lambda t: F.when(apart(t) > 1e-9, (t["si"] + t["sj"] - 2 * t["c"] * t["x"]) / apart(t)).otherwise(F.greatest(t["si"], t["sj"]))
-    b = F.array_max(F.transform("t", lambda t: F.struct(got(t).alias("captured"), t["i"].alias("i"), t["j"].alias("j"), t["si"].alias("si"), t["sj"].alias("sj"), t["c"].alias("c"))))
-    j, first = j.select("spike_id", b.alias("b")), F.col("b.si") >= F.col("b.sj")
-    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    condition = (1 + F.abs("b.c")) / F.greatest(1 - F.abs("b.c"), F.lit(1e-12))
-    return j.select("spike_id", (-pick("b.i", "b.j")).alias("n1"), (-pick("b.j", "b.i")).alias("n2"), pick("b.si", "b.sj").alias("s1"), pick("b.sj", "b.si").alias("s2"), F.col("b.c").alias("c"), F.col("b.captured").alias("captured"), condition.alias("condition"))
+def pair_terms(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataFrame:
+    """Joint refit of each spike's two best single places (ties to the smaller n)."""
+    return _pairs(spikes, kernel, m, False)
+
+
+def pair_search(spikes: DataFrame, kernel: str = "monopole", m: int = 4) -> DataFrame:
+    """Best joint refit of each spike over all pairs of places; n1 is the better single. Footprints that coincide capture what
+    the better one does."""
+    return _pairs(spikes, kernel, m, True)
 
 
 def shift_bank(omega: np.ndarray, most: int) -> np.ndarray:
@@ -119,84 +144,131 @@ def shift_bank(omega: np.ndarray, most: int) -> np.ndarray:
     return np.array(out)
 
 
-def nnls(gram: np.ndarray, rhs: np.ndarray, sweeps: int = 12) -> np.ndarray:
-    """Non-negative coefficients of many small systems by a fixed number of coordinate sweeps from zero."""
-    x = np.zeros_like(rhs)
-    for _ in range(sweeps):
-        for j in range(rhs.shape[1]):
-            d = gram[:, j, j]
-            step = rhs[:, j] - np.einsum("bk,bk->b", gram[:, j], x) + d * x[:, j]
-            x[:, j] = np.maximum(0, step / np.maximum(d, 1e-9))
-    return x
+def supports(r: int) -> list[list[int]]:
+    """All non-empty subsets of r sources, smallest first."""
+    return [[j for j in range(r) if mask >> j & 1] for mask in sorted(range(1, 1 << r), key=lambda x: (bin(x).count("1"), x))]
 
 
-def pursuit(y: np.ndarray, h: np.ndarray, places: np.ndarray, bank: np.ndarray, sources: int, min_gain: float, apart: float):
-    """Greedy place x shape x lag search for a batch of spikes of one geometry.
+def refit_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact non-negative least squares of many systems of a few sources, and what each captures.
 
-    y (B, C, T), h (C, N) unit columns, bank (K, T). Each step takes the pair of largest positive residual correlation,
-    refits all coefficients non-negatively against the data, and stops a spike whose gain is too small for good.
+    The optimum is the least-squares solution on some support where that solution is positive; there are 2**r - 1 supports, and of
+    those that qualify the one that captures most is it. Sources off the support get 0.
+    """
+    b, r = rhs.shape
+    best, most = np.zeros_like(rhs), np.zeros(b)
+    for on in supports(r):
+        g = gram[:, on][:, :, on] + 1e-9 * np.eye(len(on))
+        x = np.linalg.solve(g, rhs[:, on, None])[..., 0]
+        got = np.einsum("bj,bj->b", x, rhs[:, on])
+        better = (x > 0).all(1) & (got > most)
+        most = np.where(better, got, most)
+        full = np.zeros_like(rhs)
+        full[:, on] = x
+        best = np.where(better[:, None], full, best)
+    return best, most
+
+
+class Pursuit:
+    """Greedy search for a few sources of a batch of spikes of one geometry.
+
+    h (C, N): unit footprints; bank (K, T): unit shapes at their lags, `lags` to a shape; places (N, 3). An atom is a place and a row
+    of the bank. Sources are one atom each, with a non-negative coefficient (``free`` false), or a place and a lag with free
+    coefficients of all shapes (``free``). The residual's correlations are kept, and lose each source's part as it changes.
     """
-    corr = np.einsum("cn,bct,kt->bnk", h, y, bank, optimize=True)
-    hh, bb = h.T @ h, bank @ bank.T
-    count, shapes = len(y), len(bank)
-    resid = corr.copy()
-    blocked = np.zeros((count, h.shape[1]), dtype=bool)
-    n_idx = np.full((count, sources), -1)
-    k_idx = np.full((count, sources), -1)
-    coef = np.zeros((count, sources))
-    captured, alive = np.zeros(count), np.ones(count, dtype=bool)
-    here = np.arange(count)
-    for r in range(sources):
-        score = np.where(blocked[:, :, None], -1.0, np.maximum(resid, 0) ** 2).reshape(count, -1)
-        best = score.argmax(1)
-        n, k = best // shapes, best % shapes
-        try_n, try_k = n_idx.copy(), k_idx.copy()
-        try_n[:, r], try_k[:, r] = n, k
-        a, b = try_n[:, : r + 1], try_k[:, : r + 1]
-        on = a >= 0
-        gram = hh[a[:, :, None], a[:, None]] * bb[b[:, :, None], b[:, None]] * (on[:, :, None] & on[:, None])
-        gram[:, np.arange(r + 1), np.arange(r + 1)] += ~on
-        rhs = corr[here[:, None], a, b] * on
-        x = nnls(gram, rhs)
-        got = 2 * np.einsum("bj,bj->b", x, rhs) - np.einsum("bj,bjk,bk->b", x, gram, x)
-        ok = np.ones(count, dtype=bool) if r == 0 else alive & (score[here, best] > 0) & (got - captured > min_gain)
-        alive = ok if r == 0 else alive & ok
-        n_idx[ok, r], k_idx[ok, r] = n[ok], k[ok]
-        coef[ok, : r + 1] = x[ok]
-        captured = np.where(ok, got, captured)
-        resid = corr.copy()
-        for j in range(r + 1):
-            live = n_idx[:, j] >= 0
-            part = hh[n_idx[:, j]][:, :, None] * bb[k_idx[:, j]][:, None, :] * coef[:, j, None, None]
-            resid -= np.where(live[:, None, None], part, 0)
-            near = np.linalg.norm(places[None] - places[n_idx[:, j]][:, None], axis=2) < apart
-            blocked |= near & live[:, None]
-    return n_idx, k_idx, coef, captured
+
+    def __init__(self, h: np.ndarray, places: np.ndarray, bank: np.ndarray, lags: int, free: bool = False, shortlist: int = 0) -> None:
+        self.h, self.bank, self.lags, self.free, self.shortlist = h, bank, lags, free, shortlist
+        self.over, self.time = h.T @ h, bank @ bank.T
+        self.near = np.sqrt(((places[:, None] - places[None]) ** 2).sum(2))
+
+    def scores(self, resid: np.ndarray) -> np.ndarray:
+        """(B, N, choices): how much one source could capture of the residual, before any other changes."""
+        if not self.free:
+            return np.maximum(resid, 0) ** 2
+        by_lag = resid.reshape(*resid.shape[:2], -1, self.lags)
+        return np.einsum("bnql,bnql->bnl", by_lag, by_lag)
+
+    def rows(self, choice: np.ndarray) -> np.ndarray:
+        """Rows of the bank that each choice stands for: (B, rows of a source)."""
+        if not self.free:
+            return choice[:, None]
+        return np.arange(len(self.bank) // self.lags)[None] * self.lags + choice[:, None]
+
+    def run(self, y: np.ndarray, sources: int, min_gain: float, apart: float, ridge: float = 1e-6):
+        """places, choices (B, sources; -1: none), coefficients (B, sources, rows of a source), captured (B,)."""
+        corr = np.matmul(np.matmul(self.h.T, y), self.bank.T)
+        b, n_places, _ = corr.shape
+        width = len(self.bank) // self.lags if self.free else 1
+        here, resid = np.arange(b), corr.copy()
+        closed = np.zeros((b, n_places), dtype=bool)
+        if self.shortlist and self.shortlist < n_places:
+            # screening by what a place captures at no lag
+            still = corr[:, :, self.lags // 2 :: self.lags]
+            rank = np.argsort(-np.einsum("bnq,bnq->bn", still, still), axis=1, kind="stable")
+            closed[here[:, None], rank[:, self.shortlist :]] = True
+        place, choice = np.full((b, sources), -1), np.full((b, sources), -1)
+        coef, captured, going = np.zeros((b, sources, width)), np.zeros(b), np.arange(b)
+        for r in range(sources):
+            if not len(going):
+                break
+            s = self.scores(resid[going])
+            s[closed[going]] = -1
+            flat = s.reshape(len(going), -1)
+            pick = flat.argmax(1)
+            found = flat[np.arange(len(going)), pick] > 0
+            # the first source stands even if nothing is captured
+            going, pick = (going, pick) if r == 0 else (going[found], pick[found])
+            if not len(going):
+                break
+            place[going, r], choice[going, r] = pick // s.shape[2], pick % s.shape[2]
+            p = place[going, : r + 1]
+            atoms = np.stack([self.rows(choice[going, j]) for j in range(r + 1)], 1).reshape(len(going), -1)
+            owner = np.repeat(p, width, axis=1)
+            gram = self.over[owner[:, :, None], owner[:, None]] * self.time[atoms[:, :, None], atoms[:, None]]
+            rhs = corr[going[:, None], owner, atoms]
+            if self.free:
+                x = np.linalg.solve(gram + ridge * np.eye(gram.shape[1]), rhs[..., None])[..., 0]
+                got = 2 * np.einsum("bj,bj->b", x, rhs) - np.einsum("bj,bjk,bk->b", x, gram, x)
+            else:
+                x, got = refit_nonnegative(gram, rhs)
+            gain = np.ones(len(going), dtype=bool) if r == 0 else got - captured[going] > min_gain
+            stopped, going = going[~gain], going[gain]
+            place[stopped, r], choice[stopped, r] = -1, -1
+            x, new = x[gain].reshape(len(going), r + 1, width), got[gain]
+            # the correlations change by what each source's coefficients change
+            change = x - coef[going, : r + 1]
+            for j in range(r + 1):
+                rows = self.rows(choice[going, j])
+                resid[going] -= self.over[place[going, j]][:, :, None] * np.einsum("bw,bwk->bk", change[:, j], self.time[rows])[:, None]
+            coef[going, : r + 1], captured[going] = x, new
+            closed[going] |= self.near[place[going, r]] < apart
+        return place, choice, coef, captured
 
 
 SOURCES = "spike_id long, t double, channel int, rank int, n int, q int, lag int, amp double, captured double, energy double"
 
 
-def sources(spikes: DataFrame, r: int = 3, m: int = 4, most_lag: int = 1, min_gain: float = 0.05, apart: float = 4.0, kernel: str = "monopole") -> DataFrame:
-    """One row for each source of each spike (see pursuit). Stateless by batch, so it also runs on a stream."""
-    spark = spikes.sparkSession
-    fp = [(x["channel"], np.array([c["g"] for c in x["cand"]]).T) for x in footprints(spark, kernel).select("channel", "cand").collect()]  # 64 rows
-    shape = dict(fp)
-    bank, places = shift_bank(dct(m), most_lag), np.array(LATTICE)
+def sources(spikes: DataFrame, r: int = 3, m: int = 4, most_lag: int = 1, min_gain: float = 0.05, apart: float = 4.0, kernel: str = "monopole", shortlist: int = 0, free: bool = False) -> DataFrame:
+    """One row for each source of each spike (see Pursuit); with free shapes q is the strongest, amp the norm of all coefficients.
+    Stateless by batch, so it also runs on a stream."""
+    shape = shapes_by_channel(spikes.sparkSession, kernel)
+    bank, places, lags = shift_bank(dct(m), most_lag), np.array(LATTICE), 2 * most_lag + 1
 
     def run(batches):
         for batch in batches:
             ids, t, ch = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            w = batch.column(3).flatten().to_numpy().reshape(-1, SLOTS, SAMPLES)
-            y = w - w.mean(2, keepdims=True)
+            y = centred(batch.column(3))
+            energy = np.einsum("bct,bct->b", y, y)
             for c in np.unique(ch):
                 own = np.flatnonzero(ch == c)
-                n, k, a, got = pursuit(y[own], shape[int(c)], places, bank, r, min_gain, apart)
-                i, j = np.nonzero(n >= 0)
-                e = (y[own] ** 2).sum((1, 2))
-                lags = 2 * most_lag + 1
-                cols = [ids[own][i], t[own][i], np.full(len(i), c), j, n[i, j], k[i, j] // lags, k[i, j] % lags - most_lag, a[i, j], got[i], e[i]]
+                place, choice, coef, got = Pursuit(shape[c], places, bank, lags, free, shortlist).run(y[own], r, min_gain, apart)
+                i, j = np.nonzero(place >= 0)
+                x, k = coef[i, j], choice[i, j]
+                q, lag = (np.abs(x).argmax(1), k) if free else (k // lags, k % lags)
+                amp = np.sqrt((x * x).sum(1)) if free else x[:, 0]
+                cols = [ids[own][i], t[own][i], np.full(len(i), c), j, place[i, j], q, lag - most_lag, amp, got[i], energy[own][i]]
                 kinds = [pa.int64(), pa.float64(), *[pa.int32()] * 5, *[pa.float64()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], [s.split()[0] for s in SOURCES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cols, kinds, strict=True)], [s.split()[0] for s in SOURCES.split(", ")])
 
     return spikes.select("spike_id", "t", "channel", "w").mapInArrow(run, SOURCES)

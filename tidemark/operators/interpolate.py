@@ -29,3 +29,20 @@ def interpolated(rows: DataFrame, segs: DataFrame, bucket: float, out: str = "p"
     j = keyed.join(cover, [*by, "_bucket"]).where((F.col("_at") >= F.col("t0")) & ((F.col("_at") < F.col("t1")) | (F.col("_last") & (F.col("_at") <= F.col("t1")))))
     f = (F.col("_at") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     return j.select(*rows.columns, (F.col("p0") + f * (F.col("p1") - F.col("p0"))).alias(out))
+
+
+def at_depth(rows: DataFrame, motion: DataFrame, first: float, step: float, windows: int, bucket: float, y: str = "y", t: str = "t", out: str = "p") -> DataFrame:
+    """rows with the motion at their time and depth, from a table (t, win, p) of depth windows with centres first + win * step.
+
+    Linear in time inside the two windows that bracket the depth, then linear in depth; end values hold outside. The segments are
+    equality-joined by window and bucket of time, and no row is shuffled to bring its two values together.
+    """
+    top = windows - 1
+    place = F.least(F.greatest((F.col(y) - first) / step, F.lit(0.0)), F.lit(float(top)))
+    low = F.least(F.floor(place), F.lit(max(top - 1, 0))).cast("int")
+    segs = segments(motion, t, "p", ("win",))
+    lower = interpolated(rows.withColumn("_place", place).withColumn("win", low), segs, bucket, "_low", t, ("win",))
+    upper = lower.withColumn("win", F.least(F.col("win") + 1, F.lit(top)))
+    both = interpolated(upper, segs, bucket, "_high", t, ("win",))
+    share = F.col("_place") - F.floor(F.least("_place", F.lit(float(max(top - 1, 0)))))
+    return both.select(*rows.columns, ((1 - share) * F.col("_low") + share * F.col("_high")).alias(out))

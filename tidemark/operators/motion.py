@@ -16,17 +16,44 @@ def profiles(spikes: DataFrame, time_bin: float, y: str, y_bin: float, amp: str
     return d.groupBy("bin", "iy").agg(F.sum("w").alias("w"))
 
 
-def lagged_pairs(prof: DataFrame, most: int, frame: int) -> DataFrame:
-    """Correlation of each two bins at most `frame` apart at each lag: sums of products by an equality on the shifted pixel.
+def lagged_pairs(prof: DataFrame, most: int, lo: int, hi: int, frame: int | None = None, block: int = 64) -> DataFrame:
+    """t, u, lag, r: zero-mean normalised correlation of every two time bins t > u (at most `frame` apart, if given) at each lag.
 
-    r(t, u, lag) = sum_y p_t(y + lag) p_u(y) / (|p_t| |p_u|). A bin meets the `frame` bins after it only.
+    A profile is dense over the pixels lo <= iy < hi: pixels without activity count in its mean and norm. With v the profile less
+    its mean over its norm, r = sum_y v_t(y + lag) v_u(y), nothing beyond the grid. Bins are dealt to blocks, and each pair of
+    blocks is one group of at most 2 * block profiles, whatever the number of bins.
     """
-    norm = prof.groupBy("bin").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    p = prof.join(norm, "bin").where("norm > 0").select("bin", "iy", (F.col("w") / F.col("norm")).alias("v"))
-    left = p.select(F.col("bin").alias("t"), "iy", F.col("v").alias("v"))
-    right = p.select(F.col("bin").alias("u"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "iy", F.col("v").alias("z"))
-    right = right.select("u", "lag", (F.col("iy") + F.col("lag")).alias("iy"), "z", F.explode(F.sequence(F.col("u") + 1, F.col("u") + frame)).alias("t"))
-    return left.join(right, ["t", "iy"]).groupBy("t", "u", "lag").agg(F.sum(F.col("v") * F.col("z")).alias("r"))
+    cells = prof.where((F.col("iy") >= lo) & (F.col("iy") < hi)).groupBy("bin").agg(F.collect_list(F.struct("iy", "w")).alias("cells"))
+    blocks = cells.select(F.floor(F.col("bin") / block).alias("b")).distinct()
+    side = cells.withColumn("own", F.floor(F.col("bin") / block))
+    near = F.lit(True) if frame is None else F.abs(F.col("own") - F.col("b")) <= -(-frame // block) + 1
+    # one row a block of bins is broadcast: bins over `block`
+    side = side.join(F.broadcast(blocks), near).select(F.greatest("own", "b").alias("i"), F.least("own", "b").alias("j"), "bin", "own", "cells")
+
+    def run(key, table):
+        i, j = key[0].as_py(), key[1].as_py()
+        bins, own = table["bin"].to_numpy(), table["own"].to_numpy()
+        v = np.zeros((len(bins), hi - lo))
+        for k, cells in enumerate(table["cells"].to_pylist()):
+            for c in cells:
+                v[k, c["iy"] - lo] += c["w"]
+        v -= v.mean(1, keepdims=True)
+        norm = np.sqrt((v * v).sum(1))
+        v /= np.where(norm > 0, norm, 1)[:, None]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y, width = v[left], v[right], hi - lo
+        a, b = np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij")
+        ok = (bins[left][a] > bins[right][b]) & ((norm[left][a] > 0) & (norm[right][b] > 0))
+        if frame is not None:
+            ok &= bins[left][a] - bins[right][b] <= frame
+        out = []
+        for lag in range(-most, most + 1):
+            r = x[:, max(lag, 0) : width + min(lag, 0)] @ y[:, max(-lag, 0) : width - max(lag, 0)].T
+            out.append((bins[left][a][ok], bins[right][b][ok], np.full(int(ok.sum()), lag), r[ok]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table({"t": pa.array(cols[0], pa.int64()), "u": pa.array(cols[1], pa.int64()), "lag": pa.array(cols[2], pa.int32()), "r": pa.array(cols[3])})
+
+    return side.groupBy("i", "j").applyInArrow(run, "t long, u long, lag int, r double")
 
 
 def hard_pairs(lagged: DataFrame, y_bin: float) -> DataFrame:
@@ -42,12 +69,15 @@ def soft_pairs(lagged: DataFrame, y_bin: float, tau: float) -> DataFrame:
 
 
 def reciprocal(pairs: DataFrame, hard: bool) -> DataFrame:
-    """Both directions: c averaged, d antisymmetric (soft) or the smaller magnitude of the two (hard), diagonal left out."""
-    both = pairs.select("t", "u", "d", "c").where("t <> u")
-    back = both.select(F.col("u").alias("t"), F.col("t").alias("u"), (-F.col("d")).alias("d2"), F.col("c").alias("c2"))
-    j = both.join(back, ["t", "u"])
-    d = F.when(F.abs("d") <= F.abs("d2"), F.col("d")).otherwise(F.col("d2")) if hard else (F.col("d") + F.col("d2")) / 2
-    return j.select("t", "u", d.alias("d"), ((F.col("c") + F.col("c2")) / 2).alias("c"))
+    """Both directions of every pair: c averaged, d antisymmetric (soft) or the smaller magnitude of the two (hard; ties: own).
+    A pair without its reverse stands for both; a bin with itself has d = 0."""
+    here = pairs.select("t", "u", "d", "c")
+    back = pairs.select(F.col("u").alias("t"), F.col("t").alias("u"), (-F.col("d")).alias("d2"), F.col("c").alias("c2"))
+    j = here.join(back, ["t", "u"], "full")
+    one, two = F.coalesce("d", "d2"), F.coalesce("d2", "d")
+    d = F.when(F.abs(one) <= F.abs(two), one).otherwise(two) if hard else (one + two) / 2
+    d = F.when(F.col("t") == F.col("u"), F.lit(0.0)).otherwise(d)
+    return j.select("t", "u", d.alias("d"), ((F.coalesce("c", "c2") + F.coalesce("c2", "c")) / 2).alias("c"))
 
 
 def weights(pairs: DataFrame, least: float, power: float, frame: int) -> DataFrame:
@@ -55,12 +85,13 @@ def weights(pairs: DataFrame, least: float, power: float, frame: int) -> DataFra
 
 
 def solve(t: np.ndarray, u: np.ndarray, d: np.ndarray, w: np.ndarray, smooth: float = 1.0, ridge: float = 1e-6, rounds: int = 5, huber: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions p with p_t - p_u close to d: weighted Laplacian, smoothness, ridge; reweighted against outliers; mean 0."""
+    """Positions p with p_t - p_u close to d: weighted Laplacian, smoothness, ridge; mean 0. One solve, and `rounds` more with
+    weights that fall where a pair is off by over `huber`. Dense: a recording has at most some thousand time bins."""
     bins, at = np.unique(np.concatenate([t, u]), return_inverse=True)
     n, i, j = len(bins), at[: len(t)], at[len(t) :]
     diff = np.diff(np.eye(n), axis=0)
     p, now = np.zeros(n), w.copy()
-    for _ in range(rounds):
+    for _ in range(rounds + 1):
         a = smooth * diff.T @ diff + ridge * np.eye(n)
         np.add.at(a, (i, i), 2 * now)
         np.add.at(a, (j, j), 2 * now)

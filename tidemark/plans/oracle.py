@@ -26,6 +26,6 @@ LAT = """
     sc AS (SELECT spike_id, n, sum(list_sum(list_transform(range(1, 9), lambda c: g[c] * p[c])) ** 2) AS score,
         any_value(t) AS t, any_value(amp) AS amp, any_value(kind) AS kind, any_value(energy) AS energy, any_value(pj.channel) AS channel,
         any_value(x + px) AS px, any_value(y + py) AS py, any_value(pz) AS pz FROM pj JOIN fp ON pj.channel = fp.channel GROUP BY spike_id, n),
-    loc AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY score DESC, n) = 1)"""
+    loc AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY round(score, 9) DESC, n) = 1)"""
 WAY = """
     seg(t0, p0, t1, p1) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 400.0::DOUBLE, 50.0::DOUBLE), (400.0, 50.0, 800.0, 0.0), (800.0, 0.0, 1200.0, 50.0), (1200.0, 50.0, 1600.0, 0.0), (1600.0, 0.0, 1958.0, 44.75))"""

@@ -35,11 +35,13 @@ def _mp(spikes: DataFrame) -> DataFrame:
     """Spikes with the centroid of their neighbours by peak-to-peak (mx, my), mz, and geometry; the 64 channels are broadcast."""
     g = R.geometry(spikes.sparkSession)
     j = spikes.join(F.broadcast(g), "channel").withColumn("ptp", A.peak_to_peak(F.col("w"), 8, 8))
-    return j.withColumns({"mx": F.col("x") + A.dot(F.col("ptp"), F.col("dx")) / A.total(F.col("ptp")), "my": F.col("y") + A.dot(F.col("ptp"), F.col("dy")) / A.total(F.col("ptp")), "mz": 5 + F.col("amp") / 10})
+    share = F.when(A.total(F.col("ptp")) > 0, A.total(F.col("ptp")))  # a silent spike lies at its own contact
+    return j.withColumns({"mx": F.col("x") + F.coalesce(A.dot(F.col("ptp"), F.col("dx")) / share, F.lit(0.0)), "my": F.col("y") + F.coalesce(A.dot(F.col("ptp"), F.col("dy")) / share, F.lit(0.0)), "mz": 5 + F.col("amp") / 10})
 
 
-MP = """mp AS (SELECT z.*, geo.* EXCLUDE channel, x + list_sum(list_transform(range(1, 9), lambda i: ptp[i] * dx[i])) / list_sum(ptp) AS mx,
-        y + list_sum(list_transform(range(1, 9), lambda i: ptp[i] * dy[i])) / list_sum(ptp) AS my, 5 + amp / 10 AS mz FROM z JOIN geo USING (channel))"""
+MP = """mp AS (SELECT z.*, geo.* EXCLUDE channel, x + CASE WHEN list_sum(ptp) > 0 THEN list_sum(list_transform(range(1, 9), lambda i: ptp[i] * dx[i])) / list_sum(ptp) ELSE 0 END AS mx,
+        y + CASE WHEN list_sum(ptp) > 0 THEN list_sum(list_transform(range(1, 9), lambda i: ptp[i] * dy[i])) / list_sum(ptp) ELSE 0 END AS my, 5 + amp / 10 AS mz FROM z JOIN geo USING (channel))"""
+SHARES = "CASE WHEN list_sum(ptp) > 0 THEN list_transform(ptp, lambda x: x / list_sum(ptp)) ELSE [1.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0] END"
 
 
 # scans, geometry, kernels
@@ -118,22 +120,22 @@ def shift_bank(spark, sf_dir):
 # inference
 
 
-@query(f"WITH {REC}, {GEO}, {LAT} SELECT spike_id, n, round(score, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY score DESC, n) <= 3")
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT spike_id, n, round(score, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY round(score, 9) DESC, n) <= 3")
 def topk_single(spark, sf_dir):
     a = inference.assigned(R.spikes(spark, sf_dir), k=3)
-    return a.select("spike_id", F.inline("top")).select("spike_id", (-F.col("neg")).cast("long").alias("n"), r4(F.col("score")).alias("score"))
+    return a.select("spike_id", F.inline("top")).select("spike_id", "n", r4(F.col("score")).alias("score"))
 
 
-@query(f"WITH {REC}, {GEO}, {LAT} SELECT n, pz, count(*) AS spikes, round(sum(score), 4) AS captured, round(1 - sum(score) / sum(energy), 4) AS nmse FROM loc GROUP BY n, pz")
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT n, pz, count(*) AS spikes, round(sum(score), 4) AS captured, round(1 - sum(score) / nullif(sum(energy), 0), 4) AS nmse FROM loc GROUP BY n, pz")
 def assign_one_source(spark, sf_dir):
-    a = inference.assigned(R.spikes(spark, sf_dir)).withColumn("b", F.element_at("top", 1))
-    return a.groupBy((-F.col("b.neg")).cast("long").alias("n"), F.col("b.pz").alias("pz")).agg(F.count(F.lit(1)).alias("spikes"), r4(F.sum("b.score")).alias("captured"), r4(1 - F.sum("b.score") / F.sum("energy")).alias("nmse"))
+    a = inference.located(R.spikes(spark, sf_dir))
+    return a.groupBy("n", "pz").agg(F.count(F.lit(1)).alias("spikes"), r4(F.sum("score")).alias("captured"), r4(1 - F.try_divide(F.sum("score"), F.sum("energy"))).alias("nmse"))
 
 
-@query(f"WITH {REC}, {GEO}, {LAT} SELECT channel, round(sum(energy - score), 4) AS sse, round(sum(energy), 4) AS energy, round(sum(score) / sum(energy), 4) AS ve FROM loc GROUP BY channel")
+@query(f"WITH {REC}, {GEO}, {LAT} SELECT channel, round(sum(energy - score), 4) AS sse, round(sum(energy), 4) AS energy, round(sum(score) / nullif(sum(energy), 0), 4) AS ve FROM loc GROUP BY channel")
 def residual_nmse_ve(spark, sf_dir):
     p = inference.located(R.spikes(spark, sf_dir))
-    return p.groupBy("channel").agg(r4(F.sum(F.col("energy") - F.col("score"))).alias("sse"), r4(F.sum("energy")).alias("energy"), r4(F.sum("score") / F.sum("energy")).alias("ve"))
+    return p.groupBy("channel").agg(r4(F.sum(F.col("energy") - F.col("score"))).alias("sse"), r4(F.sum("energy")).alias("energy"), r4(F.try_divide(F.sum("score"), F.sum("energy"))).alias("ve"))
 
 
 @query(f"WITH {REC}, {GEO}, {LAT} SELECT CAST(floor(t / 20) AS INT) AS tbin, CAST(floor(py / 20) AS INT) AS ybin, round(sum(sqrt(score)), 4) AS amp, count(*) AS n FROM loc WHERE py BETWEEN 0 AND 320 GROUP BY ALL")
@@ -157,7 +159,7 @@ def source_usage(spark, sf_dir):
     return s.groupBy("n", "q").agg(F.count(F.lit(1)).alias("sources"), r4(F.sum("amp")).alias("amp"))
 
 
-@query(f"""WITH {REC}, {GEO}, {LAT}, t2 AS (SELECT spike_id, n, score, row_number() OVER (PARTITION BY spike_id ORDER BY score DESC, n) AS rn FROM sc QUALIFY rn <= 2),
+@query(f"""WITH {REC}, {GEO}, {LAT}, t2 AS (SELECT spike_id, n, score, row_number() OVER (PARTITION BY spike_id ORDER BY round(score, 9) DESC, n) AS rn FROM sc QUALIFY rn <= 2),
     uu AS (SELECT t2.spike_id, rn, t2.n, score, m, any_value(g) AS g, any_value(list_sum(list_transform(range(1, 9), lambda c: g[c] * p[c]))) AS u FROM t2 JOIN pj USING (spike_id) JOIN fp ON fp.channel = pj.channel AND fp.n = t2.n GROUP BY ALL),
     pr AS (SELECT a.spike_id, any_value(a.n) AS n1, any_value(b.n) AS n2, any_value(a.score) AS s1, any_value(b.score) AS s2, any_value(list_sum(list_transform(range(1, 9), lambda i: a.g[i] * b.g[i]))) AS c, sum(a.u * b.u) AS x FROM uu a JOIN uu b ON a.spike_id = b.spike_id AND a.m = b.m AND a.rn = 1 AND b.rn = 2 GROUP BY a.spike_id),
     r AS (SELECT *, (s1 + s2 - 2 * c * x) / greatest(1 - c * c, 1e-12) AS captured FROM pr)
@@ -180,13 +182,12 @@ def pair_multishape_search(spark, sf_dir):
 # readouts, rasters, aggregations
 
 
-@query(f"WITH {REC}, s AS (SELECT spike_id, list_reverse_sort(ptp)[2] / list_sum(ptp) AS second, list_sum(list_transform(ptp, lambda x: CASE WHEN x > 0 THEN -(x / list_sum(ptp)) * ln(x / list_sum(ptp)) ELSE 0 END)) AS entropy FROM z) SELECT CAST(least(floor(second * 20), 9) AS INT) AS bin, count(*) AS n, round(avg(entropy), 4) AS entropy FROM s GROUP BY 1")
+@query(f"WITH {REC}, h AS (SELECT {SHARES} AS h FROM z), s AS (SELECT list_reverse_sort(h)[2] AS second, list_sum(list_transform(h, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0 END)) AS entropy FROM h) SELECT CAST(least(floor(second * 20), 9) AS INT) AS bin, count(*) AS n, round(avg(entropy), 4) AS entropy FROM s GROUP BY 1")
 def second_contribution(spark, sf_dir):
     """Histogram of the second-largest slot share, with the mean entropy of the shares."""
-    s = R.spikes(spark, sf_dir).select(A.peak_to_peak(F.col("w"), 8, 8).alias("ptp")).withColumn("all", A.total(F.col("ptp")))
-    share = F.transform("ptp", lambda x: x / F.col("all"))
-    entropy = F.aggregate(share, F.lit(0.0), lambda t, x: t - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
-    s = s.select(F.element_at(F.sort_array(share, False), 2).alias("second"), entropy.alias("entropy"))
+    s = R.spikes(spark, sf_dir).select(A.shares(A.peak_to_peak(F.col("w"), 8, 8)).alias("share"))
+    entropy = F.aggregate("share", F.lit(0.0), lambda t, x: t - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
+    s = s.select(F.element_at(F.sort_array("share", False), 2).alias("second"), entropy.alias("entropy"))
     return s.groupBy(F.least(F.floor(F.col("second") * 20), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("entropy")).alias("entropy"))
 
 
@@ -214,12 +215,12 @@ def seeded_sample(spark, sf_dir):
     return R.train(spark, sf_dir).select("spike_id", "channel", "kind").orderBy(h, "spike_id").limit(500)
 
 
-@query(f"WITH {REC}, {GEO}, {MP} SELECT spike_id, slot - 1 AS slot, nbr, round(ptp[slot] / list_sum(ptp), 4) AS weight FROM mp, range(1, 9) r(slot) JOIN nb ON nb.slot = r.slot - 1 WHERE nb.channel = mp.channel AND ptp[r.slot] > 0".replace("slot - 1 AS slot", "r.slot - 1 AS slot").replace("ptp[slot] /", "ptp[r.slot] /"))
+@query(f"WITH {REC}, {GEO}, h AS (SELECT spike_id, channel, {SHARES} AS h FROM z) SELECT spike_id, r.slot - 1 AS slot, nbr, round(h[r.slot], 4) AS weight FROM h, range(1, 9) r(slot) JOIN nb ON nb.slot = r.slot - 1 WHERE nb.channel = h.channel AND h[r.slot] > 0")
 def flatten_sources(spark, sf_dir):
-    """One row for each active slot of each spike."""
-    s = R.spikes(spark, sf_dir).select("spike_id", "channel", A.peak_to_peak(F.col("w"), 8, 8).alias("ptp"))
-    e = s.select("spike_id", "channel", A.total(F.col("ptp")).alias("all"), F.posexplode("ptp").alias("slot", "p")).where("p > 0")
-    return e.join(F.broadcast(R.neighbors(spark).select("channel", "slot", "nbr")), ["channel", "slot"]).select("spike_id", F.col("slot").cast("long").alias("slot"), "nbr", r4(F.col("p") / F.col("all")).alias("weight"))
+    """One row for each active slot of each spike; of a silent spike the first slot is active."""
+    s = R.spikes(spark, sf_dir).select("spike_id", "channel", A.shares(A.peak_to_peak(F.col("w"), 8, 8)).alias("share"))
+    e = s.select("spike_id", "channel", F.posexplode("share").alias("slot", "p")).where("p > 0")
+    return e.join(F.broadcast(R.neighbors(spark).select("channel", "slot", "nbr")), ["channel", "slot"]).select("spike_id", F.col("slot").cast("long").alias("slot"), "nbr", r4("p").alias("weight"))
 
 
 @query(f"WITH {REC}, {GEO}, {MP} SELECT spike_id, round(mx, 4) AS mx, round(my, 4) AS my, nbr AS dominant FROM mp JOIN nb ON nb.channel = mp.channel AND nb.slot = list_position(ptp, list_max(ptp)) - 1")
@@ -250,13 +251,13 @@ def basis_raster(spark, sf_dir):
 
 
 @query(f"""WITH {REC}, {GEO}, {LAT} SELECT CAST(floor(t / 50) AS INT) AS tbin, CAST(floor(py / 40) AS INT) AS ybin, count(*) AS n,
-    CASE WHEN count(*) >= 4 THEN round(sum((1 - score / energy) * amp) / sum(amp), 4) END AS err FROM loc WHERE py >= 0 AND py < 320 GROUP BY ALL""")
+    CASE WHEN count(*) >= 4 THEN round(sum((energy - score) / greatest(energy, 1e-12) * amp) / nullif(sum(amp), 0), 4) END AS err FROM loc WHERE py >= 0 AND py < 320 GROUP BY ALL""")
 def error_raster(spark, sf_dir):
     """Amplitude-weighted mean relative error by cell; null below four spikes."""
     p = inference.located(R.spikes(spark, sf_dir)).where("py >= 0 and py < 320")
-    err = 1 - F.col("score") / F.col("energy")
+    err = (F.col("energy") - F.col("score")) / F.greatest("energy", F.lit(1e-12))
     g = p.groupBy(F.floor(F.col("t") / 50).cast("int").alias("tbin"), F.floor(F.col("py") / 40).cast("int").alias("ybin"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 4, r4(F.sum(err * F.col("amp")) / F.sum("amp"))).alias("err"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 4, r4(F.try_divide(F.sum(err * F.col("amp")), F.sum("amp")))).alias("err"))
 
 
 @query(f"""WITH {REC}, {GEO}, {MP}, u AS (SELECT amp, mx / 10 AS u, my / (10 * sqrt(3)) AS v FROM mp),
@@ -440,17 +441,17 @@ def correct_rigid(spark, sf_dir):
 
 
 @query(f"""WITH {REC}, {GEO}, {MP}, {WAY}, c AS (SELECT my, p0 + (least(t, 1958) - t0) / (t1 - t0) * (p1 - p0) AS p FROM mp JOIN seg ON least(t, 1958) >= t0 AND (least(t, 1958) < t1 OR t1 = 1958)),
-    d AS (SELECT my, p, least(greatest(my, 50), 249.999999) AS h FROM c), e AS (SELECT *, CAST(floor((h - 50) / 100) AS BIGINT) AS win, (h - 50) / 100 - floor((h - 50) / 100) AS f FROM d)
+    d AS (SELECT my, p, least(greatest((my - 50) / 100, 0), 2) AS h FROM c), e AS (SELECT *, CAST(least(floor(h), 1) AS BIGINT) AS win, h - least(floor(h), 1) AS f FROM d)
     SELECT win, count(*) AS n, round(sum(my - ((1 - f) * p * (1 + 0.1 * win) + f * p * (1 + 0.1 * (win + 1)))), 3) AS y FROM e GROUP BY win""")
 def correct_nonrigid(spark, sf_dir):
-    """Bilinear correction: motion grows by a tenth with each depth window (centres 50, 150, 250 um)."""
+    """Depths less a motion table of three depth windows (centres 50, 150, 250 um), interpolated over time and depth."""
     s = _mp(R.spikes(spark, sf_dir)).select("spike_id", "t", "my")
-    c = interpolate.interpolated(s, R.waypoints(spark), 100.0)
-    h = F.least(F.greatest("my", F.lit(50.0)), F.lit(249.999999))
-    c = c.withColumn("win", F.floor((h - 50) / 100)).withColumn("f", (h - 50) / 100 - F.col("win"))
-    scale = lambda k: F.col("p") * (1 + 0.1 * (F.col("win") + k))
-    yc = F.col("my") - ((1 - F.col("f")) * scale(0) + F.col("f") * scale(1))
-    return c.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(yc), 3).alias("y"))
+    w = R.waypoints(spark)
+    knots = w.select(F.col("t0").alias("t"), F.col("p0").alias("p")).union(w.select("t1", "p1")).distinct()
+    table = knots.select("t", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("win"), "p").withColumn("p", F.col("p") * (1 + 0.1 * F.col("win")))
+    c = interpolate.at_depth(s, table, 50.0, 100.0, 3, 100.0, "my").withColumn("yc", F.col("my") - F.col("p"))
+    h = F.least(F.greatest((F.col("my") - 50) / 100, F.lit(0.0)), F.lit(2.0))
+    return c.groupBy(F.least(F.floor(h), F.lit(1)).cast("long").alias("win")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("yc"), 3).alias("y"))
 
 
 @query(f"WITH {REC}, {GEO}, {MP}, b AS (SELECT least(floor(t / (1958.0 / 60)), 59) AS b, avg(0 + (least(floor(my / (320.0 / 80)), 79) + 0.5) * 4.0) AS com FROM mp WHERE my BETWEEN 0 AND 320 AND t BETWEEN 0 AND 1958 GROUP BY 1) SELECT round(stddev_pop(com), 4) AS flatness, count(*) AS bins FROM b")
@@ -482,13 +483,16 @@ def score_gt_steps(spark, sf_dir):
 
 
 _PAIRS = f"""{REC}, {GEO}, {MP}, pr AS (SELECT CAST(floor(t / 100) AS BIGINT) AS bin, CAST(floor(my / 10) AS BIGINT) AS iy, sum(amp) AS w FROM mp GROUP BY ALL),
-    pn AS (SELECT bin, iy, w / sqrt(sum(w * w) OVER (PARTITION BY bin)) AS v FROM pr),
-    lg AS (SELECT a.bin AS t, b.bin AS u, l.lag, sum(a.v * b.v) AS r FROM pn a, pn b, range(-4, 5) l(lag) WHERE a.bin - b.bin BETWEEN 1 AND 3 AND a.iy = b.iy + l.lag GROUP BY ALL),
+    pg AS (SELECT bin, iy, coalesce(w, 0) AS w FROM (SELECT DISTINCT bin FROM pr) b CROSS JOIN range(32) g(iy) LEFT JOIN pr USING (bin, iy)),
+    pc AS (SELECT bin, iy, w - avg(w) OVER (PARTITION BY bin) AS w FROM pg), pn AS (SELECT bin, iy, w / sqrt(sum(w * w) OVER (PARTITION BY bin)) AS v FROM pc),
+    ps AS (SELECT bin, iy + lag AS iy, lag, v FROM pn, range(-8, 9) l(lag)),
+    lg AS (SELECT a.bin AS t, b.bin AS u, b.lag, sum(a.v * b.v) AS r FROM pn a JOIN ps b ON a.iy = b.iy AND a.bin > b.bin GROUP BY ALL),
     hp AS (SELECT t, u, lag * 10.0::DOUBLE AS d, round(r, 9) AS c FROM lg QUALIFY row_number() OVER (PARTITION BY t, u ORDER BY round(r, 9) DESC, lag) = 1)"""
 
 
 def _lagged(spark, sf_dir) -> DataFrame:
-    return motion.lagged_pairs(motion.profiles(_mp(R.spikes(spark, sf_dir)), 100.0, "my", 10.0), 4, 3)
+    """All pairs of time bins of 100 s, at lags of up to 80 um."""
+    return motion.lagged_pairs(motion.profiles(_mp(R.spikes(spark, sf_dir)), 100.0, "my", 10.0), 8, 0, 32)
 
 
 @query(f"WITH {_PAIRS} SELECT t, u, d, round(c, 4) AS c FROM hp")
@@ -539,7 +543,7 @@ def nonrigid_solve(spark, sf_dir):
     key = prof.select(F.struct("win", "iy").alias("cell"), "bin", "win", "iy", "w")
     out = None
     for win in range(3):  # a fixed number of windows
-        p = motion.weights(motion.soft_pairs(motion.lagged_pairs(key.where(F.col("win") == win).select("bin", "iy", "w"), 3, 3), 10.0, 0.2), 0.1, 2.0, 3).withColumn("win", F.lit(win))
+        p = motion.weights(motion.soft_pairs(motion.lagged_pairs(key.where(F.col("win") == win).select("bin", "iy", "w"), 3, 10 * win, 10 * win + 10, 3), 10.0, 0.2), 0.1, 2.0, 3).withColumn("win", F.lit(win))
         out = p if out is None else out.union(p)
     return motion.solved(out, "win").select("win", "t", F.round("p", 3).alias("p"))
 
@@ -551,7 +555,7 @@ def control_ladder(spark, sf_dir):
     rows = []
     for k in (0.0, 0.25, 0.5, 1.0):
         y = s.withColumn("yk", F.col("y") + k * (F.col("my") - F.col("y")))
-        p = motion.solved(motion.weights(motion.soft_pairs(motion.lagged_pairs(motion.profiles(y, 100.0, "yk", 10.0), 3, 3), 10.0, 0.2), 0.1, 2.0, 3))
+        p = motion.solved(motion.weights(motion.soft_pairs(motion.lagged_pairs(motion.profiles(y, 100.0, "yk", 10.0), 8, 0, 32, 3), 10.0, 0.2), 0.1, 2.0, 3))
         trace = interpolate.interpolated(p.select((F.col("t") * 100.0 + 50).alias("t"), "p"), R.waypoints(spark), 100.0, "gt")
         r, gain, left = motion.detrended_score(trace)
         rows.append((k, round(r, 3), round(gain, 3), round(left, 3)))
@@ -581,13 +585,10 @@ def stream_tumbling_bins(spark, sf_dir):
     """Events by tumbling hour through a streaming query."""
     import uuid
 
+    from tidemark.session import shared_dir
     from tidemark.streaming.bins import drained, tumbling
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="tidemark-stream-")
+    shared = shared_dir(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
     e = e.select(F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -646,3 +647,6 @@ def run_index_join(spark, sf_dir):
 def metric_cube(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+from tidemark import model_queries  # noqa: E402, F401 - registers its queries here
