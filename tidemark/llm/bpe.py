@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.shared import with_field
 
-CACHE = 200_000
+CACHE = 100_000
 BATCH = 256
 LONG_PIECE = 4096
 LONG_TEXT = 1 << 20
