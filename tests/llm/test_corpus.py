@@ -402,8 +402,21 @@ def test_toxicity_sample_spans_the_table(spark):
     assert (toxicity.TRAIN_ROWS, toxicity.TRAIN_WORDS) == (12_000, 6_000_000)
 
 
+def test_toxicity_sample_is_gathered_whole():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 6, (n, 5)).astype(np.int32) for n in (4, 0, 7, 1, 9)]
+    first = np.cumsum([0, *map(len, docs)])[:-1]
+    rows = [{"first": int(a), "n": len(d), "words": d.tobytes(), "toxic": i % 2, "lang": i} for i, (a, d) in enumerate(zip(first, docs, strict=True))]
+    schema = pa.schema([("first", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("toxic", pa.int32()), ("lang", pa.int32())])
+    batches = [pa.RecordBatch.from_pylist(rows[3:], schema=schema), pa.RecordBatch.from_pylist(rows[:3], schema=schema)]
+    got, toxic, lang, table = toxicity.gathered(batches)
+    order = sorted(range(5), key=lambda i: (first[i], len(docs[i])))
+    assert len(np.unique(table, axis=0)) == len(table) and toxic.tolist() == [i % 2 for i in order] and lang.tolist() == order
+    assert all(np.array_equal(table[g], docs[i]) for g, i in zip(got, order, strict=True))
+
+
 def test_toxicity_model_survives_packing():
-    m = toxicity.fitted([np.arange(10, dtype=np.int32).reshape(2, 5)] * 8, np.array([0, 1] * 4), np.zeros(8, dtype=np.int64))
+    m = toxicity.fitted([np.array([0, 1])] * 8, np.array([0, 1] * 4), np.zeros(8, dtype=np.int64), np.arange(10, dtype=np.int32).reshape(2, 5))
     n = toxicity.unpacked(toxicity.packed(m))
     assert n.keys() == m.keys() and all(np.array_equal(x, y) for k in m for x, y in zip(np.atleast_1d(m[k]) if k not in ("filters", "bias") else m[k], np.atleast_1d(n[k]) if k not in ("filters", "bias") else n[k], strict=True))
 
