@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import FLUSH, bucket_of, deal, low_bits
-from tidemark.llm.shared import components, forest, parted, tune, written
+from tidemark.llm.shared import components, dropped, forest, parted, tune, written
 from tidemark.llm.words import U, mix, shingle_sets
 
 SHINGLE, SLACK, COMMON, GROUP = 5, 1.3, 48, 300_000
@@ -413,19 +413,27 @@ def classes(documents: DataFrame) -> DataFrame:
     blobs = text.mapInArrow(_emit(buckets), _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     shared = written(blobs.mapInArrow(_meet, _SHARED), "shared")
     alive = written(enough(shared), "alive")
+    dropped(shared)
     # round one: each set with the most central ones
-    first = written(components(pair_links(written(stars(alive), "stars"), text, buckets)), "first")
+    near = written(stars(alive), "near")
+    joined = components(pair_links(near, text, buckets))
+    first = written(joined, "first")
+    dropped(near, joined)
     # round two: what may link different components
     comp = F.coalesce("component", F.col("node")).alias("comp")
     rest = alive.join(first, "node", "left").select("sig", "node", "side", "n", "m", "need", "empty", comp)
     rest = written(between(enough(between(rest)).drop("sets", "central")), "rest")
+    dropped(alive)
     pairs, groups = candidates(rest, text, buckets)
-    links = pair_links(written(pairs, "candidates"), text, buckets).union(block_links(written(groups, "groups"), sets, text, buckets))
+    pairs, groups = written(pairs, "candidates"), written(groups, "groups")
+    dropped(rest)
+    links = pair_links(pairs, text, buckets).union(block_links(groups, sets, text, buckets))
     # equal sets: each document with the smallest of its set
     some = sets.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"))
     same = some.join(same, ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     comp = components(links.union(first.select("node", "component")).union(same))
+    dropped(pairs, groups, first)
     out = sets.join(comp, sets.doc_id == comp.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -50,6 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once all that was read from them is written itself."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the links a-b: each node that isn't the smallest of its component, with that smallest node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -105,6 +113,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     e = written(e.distinct(), "links")
     before = None
     for _ in range(rounds):
+        last = e
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -112,6 +121,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = written(e.where("a <> b").distinct(), "stars")
+        dropped(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
