@@ -255,6 +255,21 @@ def test_runs_and_stride(spark):
     assert sorted(r.b for r in windows.every(d, "b", 2).collect()) == [1, 3, 8]
 
 
+def test_concentration_by_chunks(spark):
+    rows = [(i * 7 - 30, 1 + i % 3) for i in range(40)] + [(None, 2), (10**9, 5)]
+    got = windows.concentration(spark.createDataFrame(rows, "k long, n long"), "k", "n", chunk=16).collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[0] is not None, r[0] or 0))
+    mass, total = 0, sum(n for _, n in rows)
+    for r, (k, n) in zip(sorted(got, key=lambda r: r["rank"]), want, strict=True):
+        mass += n
+        assert (r["k"], r["n"]) == (k, n) and abs(r["share"] - mass / total) < 1e-12
+    assert sorted(r["rank"] for r in got) == list(range(1, len(rows) + 1))
+    assert windows.concentration(spark.createDataFrame([], "k long, n long"), "k", "n").count() == 0
+    keys = sorted(k for k, _ in rows if k is not None)
+    strided = windows.every(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 3, chunk=16).collect()
+    assert sorted(r["k"] for r in strided) == keys[::3]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from tidemark.streaming.bins import drained, tumbling
 

@@ -1,4 +1,4 @@
-"""Ranking and running operators. Windows are partitioned by a key wherever the operator has one."""
+"""Ranking and running operators. Windows are partitioned by a key wherever the operator has one, else they run over sums of chunks."""
 
 from __future__ import annotations
 
@@ -13,11 +13,23 @@ def rank_equalized(df: DataFrame, by: list[str], value: str, ident: str, out: st
     return df.withColumn(out, (F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1)))
 
 
-def concentration(counts: DataFrame, key: str, weight: str) -> DataFrame:
-    """rank, cumulative share of the groups in descending order of weight (ties by key). counts has one row a group."""
-    w = Window.orderBy(F.desc(weight), key)
-    total = F.sum(weight).over(Window.partitionBy())
-    return counts.select(key, weight, F.row_number().over(w).alias("rank"), (F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("share"))
+def concentration(counts: DataFrame, key: str, weight: str, chunk: int = 65536) -> DataFrame:
+    """rank, cumulative share of the groups in descending order of weight (ties by key, null first). counts has one row a group; keys
+    and weights are integers.
+
+    Ranks add up from three levels: the groups of larger weight, the chunks of smaller keys of the same weight, and the keys of a
+    chunk. Only the table of distinct weights is ordered as a whole; weights that count rows have at most sqrt(2 * rows) values.
+    """
+    # null keys come first: a chunk below that of any long
+    c = counts.select(key, weight, F.coalesce(F.floor(F.col(key) / chunk), F.lit(-(1 << 62))).alias("_c"))
+    per = c.groupBy(weight, "_c").agg(F.count(F.lit(1)).alias("_m"))
+    per = per.select(weight, "_c", (F.sum("_m").over(Window.partitionBy(weight).orderBy("_c")) - F.col("_m")).alias("_before"))
+    whole = c.groupBy(weight).agg(F.count(F.lit(1)).alias("_m")).withColumn("_s", F.col("_m") * F.col(weight))
+    larger = Window.orderBy(F.desc(weight))
+    whole = whole.select(weight, *[(F.sum(x).over(larger) - F.col(x)).alias(y) for x, y in (("_m", "_rows"), ("_s", "_mass"))], F.sum("_s").over(Window.partitionBy()).alias("_total"))
+    inside = F.row_number().over(Window.partitionBy(weight, "_c").orderBy(key))
+    equal = c.withColumn("_i", inside).join(per, [weight, "_c"]).withColumn("_i", F.col("_i") + F.col("_before")).join(whole, weight)
+    return equal.select(key, weight, (F.col("_rows") + F.col("_i")).alias("rank"), ((F.col("_mass") + F.col("_i") * F.col(weight)) / F.col("_total")).alias("share"))
 
 
 def sample_per_group(df: DataFrame, by: str, ident: str, n: int, multiplier: int = 7919, modulus: int = 10007) -> DataFrame:
@@ -34,9 +46,14 @@ def runs(keys: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
     return g.groupBy(*by, "_g").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("length")).drop("_g")
 
 
-def every(keys: DataFrame, key: str, stride: int) -> DataFrame:
-    """Every stride-th of the distinct keys in order; keys are distinct."""
-    return keys.withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1).where(F.col("_r") % stride == 0).drop("_r")
+def every(keys: DataFrame, key: str, stride: int, chunk: int = 65536) -> DataFrame:
+    """Every stride-th of the distinct keys in order; keys are distinct integers. Only one count for a range of chunk keys is summed
+    as a whole."""
+    c = keys.withColumn("_c", F.floor(F.col(key) / chunk))
+    per = c.groupBy("_c").agg(F.count(F.lit(1)).alias("_m"))
+    per = per.select("_c", (F.sum("_m").over(Window.orderBy("_c")) - F.col("_m")).alias("_before"))
+    c = c.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(key)) - 1).join(per, "_c")
+    return c.where((F.col("_before") + F.col("_r")) % stride == 0).select(*keys.columns)
 
 
 def overlapping_blocks(y: Column, step: float, half: float) -> Column:
