@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, jaccard, mixing, neardup, nearest, repeats, secrets, tokenfile, toxicity
+from tidemark.llm import bpe, chat, hardneg, jaccard, mixing, neardup, nearest, repeats, secrets, tokenfile, toxicity, urlfilter, whitening
 from tidemark.llm.shared import tune
 
 
@@ -56,6 +57,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return hardneg.hard_negatives(e, "id % 100 = 0")
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_source_mix": op10_source_mix,
+    "op11_url_filter": op11_url_filter,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _UNIT = """
         d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
@@ -112,4 +129,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, n AS n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
             CAST(raw_chars + CASE WHEN bad THEN more ELSE 0 END AS BIGINT) AS formatted_chars, true AS identical
         FROM c""",
+    "op11_url_filter": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+        h AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path FROM u),
+        k(v, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        b AS (SELECT h.*, (SELECT max_by(struct_pack(v := v, r := rh || rp), length(rh || rp)) FROM k WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS k FROM h)
+        SELECT page_id, host, path, k.r AS rule, CASE WHEN k IS NOT NULL THEN k.v
+            WHEN contains(host, 'casino') OR contains(host, '-bets') OR contains(host, 'ads-') OR contains(path, '/ads/') OR ends_with(path, '.exe') OR regexp_matches(path, '/wp-login\.ph[^/]$') THEN 'block'
+            ELSE 'allow' END AS verdict FROM b""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INT) AS rank, negative_id, positive_score, negative_score
+        FROM n QUALIFY rank <= 10""",
 }
