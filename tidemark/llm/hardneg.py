@@ -281,7 +281,8 @@ def hard_negatives(
     total = rows.count()
     if not total:
         return spark.createDataFrame([], schema)
-    axes, tasks = by_variance(rows), max(1, parted(spark))
+    # no more range partitions than full trees of the least size, whatever the number of shuffle partitions
+    axes, tasks = by_variance(rows), max(1, min(parted(spark), -(-total // TREE_LEAST)))
     most = min(TREE_MOST, max(TREE_LEAST, -(-total // (2 * tasks))))
     order = ["dim", "label", "lead", F.xxhash64("id"), "id"]
     led = rows.mapInArrow(_lead(axes), "id long, label long, x binary, dim int, lead long")
@@ -295,7 +296,7 @@ def hard_negatives(
     def searched(asked: DataFrame, same: bool) -> DataFrame:
         blocks = asked.mapInArrow(_blocks, _BLOCK).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
         blocks = written(blocks, "blocks")
-        sent = blocks.join(F.broadcast(cells), "dim").select(F.explode("cells").alias("cell"), "part", *[c.split()[0] for c in _BLOCK.split(", ")])
+        sent = blocks.join(cells, "dim").select(F.explode("cells").alias("cell"), "part", *[c.split()[0] for c in _BLOCK.split(", ")])
         met = trees.withColumn("part", F.explode(F.expr(f"sequence(0, {groups - 1})")))
         run, found = _meet(same, positives, negatives, low, high)
         got = written(met.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(run, found), "found")
