@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
-from tidemark.functions.kernels import KERNELS, TWO_WIDTHS
+from tidemark.functions.kernels import KERNELS, WIDTHS
 from tidemark.operators import inference, interpolate, motion, rasters, solvers, state, tables, windows
 from tidemark.queries import ORACLE_SQL, QUERIES
 
@@ -61,7 +61,7 @@ def test_kernels_fall_with_distance(spark):
     for name, k in KERNELS.items():
         g = [r.g for r in d.select("r2", k(F.col("r2"), F.lit(25.0), 15.0, 2.0).alias("g")).orderBy("r2").collect()]
         assert g[0] > g[1] > g[2], name
-    assert TWO_WIDTHS <= set(KERNELS)
+    assert set(WIDTHS) == set(KERNELS)
 
 
 def test_bins(spark):

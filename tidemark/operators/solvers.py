@@ -22,8 +22,8 @@ def shared_captured(weights: np.ndarray, u: np.ndarray, over: np.ndarray) -> np.
     return np.einsum("bm,bm->b", v, v) / np.maximum(np.einsum("br,brs,bs->b", weights, over, weights), 1e-12)
 
 
-def shared_pair(u1: np.ndarray, u2: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight in [0, 1] of the first of two footprints of overlap c that captures most with one common shape, and that much.
+def shared_pair(u1: np.ndarray, u2: np.ndarray, c: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weight in [least, 1 - least] of the first of two footprints of overlap c that captures most with one common shape, and that much.
 
     With s1, s2 and x the norms and the inner product of the u, the ratio's derivative vanishes at the roots of a quadratic;
     the best of those inside and of both ends is exact.
@@ -35,12 +35,37 @@ def shared_pair(u1: np.ndarray, u2: np.ndarray, c: np.ndarray) -> tuple[np.ndarr
     root = np.sqrt(np.maximum(q * q - 4 * p * r, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
         tries = [np.where(np.abs(p) > 1e-12, (-q + k * root) / (2 * p), -r / q) for k in (1, -1)]
-    tries = [np.clip(np.nan_to_num(t, nan=0.0, posinf=0.0, neginf=0.0), 0, 1) for t in tries] + [np.ones_like(c), np.zeros_like(c)]
+    tries = [np.clip(np.nan_to_num(t, nan=0.0, posinf=0.0, neginf=0.0), least, 1 - least) for t in tries] + [np.full_like(c, 1 - least), np.full_like(c, least)]
     got = np.stack([(a * w * w + b * w + s2) / np.maximum(d * w * w - d * w + 1, 1e-12) for w in tries])
     best = np.round(got, 12).argmax(0)
     return np.stack(tries)[best, np.arange(len(c))], got.max(0)
 
 
+def shared_best(inner: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (B, R), non-negative of sum 1, that capture most with one common shape, and that much; inner (B, R, R) = u u'.
+
+    The ratio w' inner w / w' over w is stationary inside a face of the simplex where w is an eigenvector of that face's pencil. So
+    the best eigenvector of one sign over all 2**R - 1 faces is the maximum; single footprints are faces too.
+    """
+    b, r, _ = inner.shape
+    weights, most = np.zeros((b, r)), np.full(b, -np.inf)
+    for on in ([j for j in range(r) if mask >> j & 1] for mask in range(1, 1 << r)):
+        low = np.linalg.cholesky(over[:, on][:, :, on] + 1e-10 * np.eye(len(on)))
+        turned = np.linalg.solve(low, inner[:, on][:, :, on])
+        value, vector = np.linalg.eigh(np.linalg.solve(low, turned.transpose(0, 2, 1)))
+        x = np.linalg.solve(low.transpose(0, 2, 1), vector)
+        x = x * np.sign(x.sum(1, keepdims=True))
+        value = np.where((x >= 0).all(1), value, -np.inf)
+        best = value.argmax(1)
+        got = value[np.arange(b), best]
+        better = got > most + 1e-12
+        full = np.zeros((b, r))
+        w = x[np.arange(b), :, best]
+        full[:, on] = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+        weights, most = np.where(better[:, None], full, weights), np.where(better, got, most)
+    return weights, most
+
+
 def shared_weights(u: np.ndarray, over: np.ndarray, steps: int = 60) -> np.ndarray:
     """Weights on the simplex that capture most with one common shape, by projected ascent with halving steps; never worse than
     the best single footprint, where it starts."""
