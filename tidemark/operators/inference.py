@@ -153,9 +153,12 @@ def refit_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np
     """Exact non-negative least squares of many systems of a few sources, and what each captures.
 
     The optimum is the least-squares solution on some support where that solution is positive; there are 2**r - 1 supports, and of
-    those that qualify the one that captures most is it. Sources off the support get 0.
+    those that qualify the one that captures most is it. Sources off the support get 0. Beyond four sources supports are found by
+    pivoting instead.
     """
     b, r = rhs.shape
+    if r > 4:
+        return pivoted_nonnegative(gram, rhs)
     best, most = np.zeros_like(rhs), np.zeros(b)
     for on in supports(r):
         g = gram[:, on][:, :, on] + 1e-9 * np.eye(len(on))
@@ -169,23 +172,49 @@ def refit_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np
     return best, most
 
 
+def pivoted_nonnegative(gram: np.ndarray, rhs: np.ndarray, patience: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares of many systems by principal pivoting: all entries of the wrong sign change sides, and only the
+    last of them once that hasn't lowered their number `patience` times. A positive definite Gram matrix makes it end."""
+    b, r = rhs.shape
+    g = gram + 1e-9 * np.eye(r)
+    on, x = np.ones((b, r), bool), np.zeros((b, r))
+    fewest, tries, going = np.full(b, r + 1), np.full(b, patience), np.arange(b)
+    for _ in range(64 * r):
+        m = on[going]
+        both = m[:, :, None] & m[:, None]
+        x[going] = np.linalg.solve(np.where(both, g[going], 0) + ~m[:, :, None] * np.eye(r), np.where(m, rhs[going], 0)[..., None])[..., 0]
+        slack = np.einsum("bij,bj->bi", g[going], x[going]) - rhs[going]
+        wrong = np.where(m, x[going] < -1e-12, slack < -1e-12)
+        many = wrong.sum(1)
+        if not many.any():
+            break
+        fewer = many < fewest[going]
+        tries[going] = np.where(fewer, patience, tries[going] - 1)
+        fewest[going] = np.where(fewer, many, fewest[going])
+        last = np.arange(r)[None] == (r - 1 - wrong[:, ::-1].argmax(1))[:, None]
+        on[going] ^= np.where((fewer | (tries[going] >= 0))[:, None], wrong, wrong & last)
+        going = going[many > 0]
+    x = np.maximum(np.where(on, x, 0), 0)
+    return x, np.einsum("bj,bj->b", x, 2 * rhs - np.einsum("bij,bj->bi", gram, x))
+
+
 class Pursuit:
     """Greedy search for a few sources of a batch of spikes of one geometry.
 
     h (C, N): unit footprints; bank (K, T): unit shapes at their lags, `lags` to a shape; places (N, 3). An atom is a place and a row
-    of the bank. Sources are one atom each, with a non-negative coefficient (``free`` false), or a place and a lag with free
-    coefficients of all shapes (``free``). The residual's correlations are kept, and lose each source's part as it changes.
+    of the bank. Sources are one atom each, with a non-negative coefficient or one of either sign (``signed``), or a place and a lag with
+    free coefficients of all shapes (``free``). The residual's correlations are kept, and lose each source's part as it changes.
     """
 
-    def __init__(self, h: np.ndarray, places: np.ndarray, bank: np.ndarray, lags: int, free: bool = False, shortlist: int = 0) -> None:
-        self.h, self.bank, self.lags, self.free, self.shortlist = h, bank, lags, free, shortlist
+    def __init__(self, h: np.ndarray, places: np.ndarray, bank: np.ndarray, lags: int, free: bool = False, shortlist: int = 0, signed: bool = False) -> None:
+        self.h, self.bank, self.lags, self.free, self.shortlist, self.signed = h, bank, lags, free, shortlist, signed
         self.over, self.time = h.T @ h, bank @ bank.T
         self.near = np.sqrt(((places[:, None] - places[None]) ** 2).sum(2))
 
     def scores(self, resid: np.ndarray) -> np.ndarray:
         """(B, N, choices): how much one source could capture of the residual, before any other changes."""
         if not self.free:
-            return np.maximum(resid, 0) ** 2
+            return resid**2 if self.signed else np.maximum(resid, 0) ** 2
         by_lag = resid.reshape(*resid.shape[:2], -1, self.lags)
         return np.einsum("bnql,bnql->bnl", by_lag, by_lag)
 
@@ -227,7 +256,7 @@ class Pursuit:
             owner = np.repeat(p, width, axis=1)
             gram = self.over[owner[:, :, None], owner[:, None]] * self.time[atoms[:, :, None], atoms[:, None]]
             rhs = corr[going[:, None], owner, atoms]
-            if self.free:
+            if self.free or self.signed:
                 x = np.linalg.solve(gram + ridge * np.eye(gram.shape[1]), rhs[..., None])[..., 0]
                 got = 2 * np.einsum("bj,bj->b", x, rhs) - np.einsum("bj,bjk,bk->b", x, gram, x)
             else:

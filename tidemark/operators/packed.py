@@ -77,8 +77,8 @@ def forms(spikes: DataFrame, omega: np.ndarray) -> DataFrame:
     return spikes.select("spike_id", "channel", "w").mapInArrow(run, "spike_id long, channel int, energy double, p array<double>")
 
 
-def assigned(packed: DataFrame, candidates: Candidates) -> DataFrame:
-    """spike_id, channel, k, site, profile, score, energy of packed spikes, each at its best candidate.
+def assigned(packed: DataFrame, candidates: Candidates, keep: bool = False) -> DataFrame:
+    """spike_id, channel, k, site, profile, score, energy (and p, with ``keep``) of packed spikes, each at its best candidate.
 
     The 64 contacts' neighbourhoods and the candidates' sites are shipped with the tasks; footprints are built there, block by block.
     """
@@ -86,7 +86,7 @@ def assigned(packed: DataFrame, candidates: Candidates) -> DataFrame:
     kinds: dict[tuple, int] = {}
     of = {r["channel"]: kinds.setdefault((tuple(r["dx"]), tuple(r["dy"])), len(kinds)) for r in rows}
     offsets, n, p = [tuple(np.array(v) for v in key) for key in kinds], SLOTS * (SLOTS + 1) // 2, len(candidates.profiles)
-    schema = "spike_id long, channel int, k long, site long, profile int, score double, energy double"
+    schema = "spike_id long, channel int, k long, site long, profile int, score double, energy double" + ", p array<double>" * keep
 
     def run(batches):
         held: list = []
@@ -100,6 +100,8 @@ def assigned(packed: DataFrame, candidates: Candidates) -> DataFrame:
                 own = np.flatnonzero(kind == g)
                 k[own], score[own] = best(f[own], candidates, *offsets[g])
             cols = [pa.array(ids), pa.array(channel), pa.array(k), pa.array(k // p), pa.array((k % p).astype(np.int32)), pa.array(score), pa.array(energy)]
+            if keep:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * n, pa.int32()), pa.array(f.ravel())))
             return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:

@@ -121,16 +121,16 @@ def group_lasso(gram: np.ndarray, rhs: np.ndarray, lam: float, rounds: int = 400
 
 
 def project_cone(vectors: np.ndarray, axis: np.ndarray, degrees: float) -> np.ndarray:
-    """Unit vectors no further than `degrees` from the unit axis: those outside turn towards it, in the plane of both."""
+    """Unit vectors no further than `degrees` from the unit axis. Cones are one-sided: a vector against the axis is turned round first, so
+    that atoms keep the axis' polarity; those still outside turn towards it, in the plane of both. A zero vector becomes the axis."""
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    v = v * np.where(v @ axis < 0, -1.0, 1.0)[:, None]
     along = v @ axis
     side = v - along[:, None] * axis
     size = np.linalg.norm(side, axis=1, keepdims=True)
-    # a vector against the axis has no plane; any does
-    other = np.eye(len(axis))[np.abs(axis).argmin()] - axis[np.abs(axis).argmin()] * axis
-    side = np.where(size > 1e-12, side / np.maximum(size, 1e-12), other / np.linalg.norm(other))
     rad = np.radians(degrees)
-    return np.where((along >= np.cos(rad))[:, None], v, np.cos(rad) * axis + np.sin(rad) * side)
+    rim = np.where(size > 1e-9, np.cos(rad) * axis + np.sin(rad) * side / np.maximum(size, 1e-12), axis)
+    return np.where((along >= np.cos(rad))[:, None], v, rim)
 
 
 def polarised(prototypes: np.ndarray) -> np.ndarray:
