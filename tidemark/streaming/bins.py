@@ -1,4 +1,4 @@
-"""Structured Streaming forms: tumbling bins with a watermark, and pursuit with a frozen codebook."""
+"""Structured Streaming forms: tumbling bins with a watermark."""
 
 from __future__ import annotations
 
