@@ -649,4 +649,4 @@ def metric_cube(spark, sf_dir):
     return li.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-from tidemark import fit_queries, model_queries, motion_queries, source_queries, storage_queries  # noqa: E402, F401 - they register their queries here
+from tidemark import fit_queries, model_queries, motion_queries, source_queries, storage_queries, view_queries  # noqa: E402, F401 - they register their queries here
