@@ -140,6 +140,21 @@ def test_jaccard_links_are_exact():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_parity_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    kept = 0
+    for _ in range(400):
+        n, m = int(rng.integers(1, 600)), int(rng.integers(0, 200))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, n // 3 + 1))], rng.integers(0, 1 << 63, m, dtype=np.uint64)])
+        apart = len(np.setxor1d(a, b))
+        gap = jaccard.differing(jaccard.parity(a), jaccard.parity(b))
+        assert gap <= apart and gap == jaccard.differing(jaccard.parity(b), jaccard.parity(a))
+        kept += apart > (len(a) + len(b)) // 7 >= gap
+    assert jaccard.differing(jaccard.parity(np.empty(0, np.uint64)), jaccard.parity(np.empty(0, np.uint64))) == 0
+    assert kept < 60  # most pairs that aren't linked go
+
+
 def test_jaccard_common_segments(spark, monkeypatch):
     """One dense group of near copies and one passage in unrelated texts, with a small bound for common segments."""
     monkeypatch.setattr(jaccard, "COMMON", 4)
