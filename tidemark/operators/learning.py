@@ -34,6 +34,29 @@ def scatter(spikes: DataFrame) -> np.ndarray:
     return np.array([x or 0.0 for x in sums]).reshape(SAMPLES, SAMPLES)
 
 
+def scatters(spikes: DataFrame, by: str) -> DataFrame:
+    """by, i, j, v: the scatter of each group. A task adds its batches' products up by group, so a shuffle carries one matrix a task and group."""
+    kind = spikes.schema[by].dataType.simpleString()
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            key = batch.column(0).dictionary_encode()
+            of = key.indices.fill_null(len(key.dictionary)).to_numpy(zero_copy_only=False)
+            names = [*key.dictionary.to_pylist(), None]
+            y = batch.column(1).flatten().to_numpy().reshape(-1, SLOTS, SAMPLES)
+            y = y - y.mean(2, keepdims=True)
+            for g in np.unique(of):
+                own = y[of == g].reshape(-1, SAMPLES)
+                total[names[g]] = total.get(names[g], 0) + own.T @ own
+        i, j = (v.ravel() for v in np.indices((SAMPLES, SAMPLES)))
+        for name, s in total.items():
+            cols = [pa.array([name] * s.size, batch.schema.field(0).type), pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(s.ravel())]
+            yield pa.RecordBatch.from_arrays(cols, [by, "i", "j", "v"])
+
+    return spikes.select(by, "w").mapInArrow(run, f"`{by}` {kind}, i long, j long, v double").groupBy(by, "i", "j").agg(F.sum("v").alias("v"))
+
+
 def leading(matrix: np.ndarray, m: int) -> np.ndarray:
     """The m leading eigenvectors as rows, each with its largest component positive."""
     rows = np.linalg.eigh(matrix)[1][:, ::-1][:, :m].T

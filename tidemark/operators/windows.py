@@ -63,3 +63,17 @@ def overlapping_blocks(y: Column, step: float, half: float) -> Column:
 
 def blend_weight(y: Column, block: Column, step: float, half: float) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(y - block * step) / half) + 1e-3
+
+
+def differences(rows: DataFrame, by: str, order: str, value: str, bucket: int) -> DataFrame:
+    """by, order, diff: each value less the one before it in its group, null for the first. Groups are cut into buckets of the (whole-number,
+    unique) order, so a group of any size spreads over tasks; a bucket's first row takes the last value of the bucket before it, from a
+    table of one row a bucket."""
+    d = rows.select(by, order, value, F.floor(F.col(order) / bucket).alias("_bucket"))
+    inside = F.lag(value).over(Window.partitionBy(by, "_bucket").orderBy(order))
+    first = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(order)) == 1
+    last = d.groupBy(by, "_bucket").agg(F.max_by(value, order).alias("_last"))
+    last = last.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), F.lag("_last").over(Window.partitionBy(by).orderBy("_bucket")).alias("_before"))
+    d = d.withColumn("_inside", inside).withColumn("_first", first)
+    j = d.join(last, d[by].eqNullSafe(last["_by"]) & d["_bucket"].eqNullSafe(last["_b"]), "left")
+    return j.select(d[by], d[order], (F.col(value) - F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_inside"))).alias("diff"))

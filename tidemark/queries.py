@@ -335,16 +335,11 @@ def localization_vs_reference(spark, sf_dir):
     return p.agg(r4(F.corr("py", "y")).alias("r"), r4(F.regr_slope("py", "y")).alias("slope"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {REC}, e AS (SELECT kind, i, unnest(zw) AS v, unnest(range(64)) AS c FROM (SELECT kind, 0 AS i, zw FROM z)),
-    s AS (SELECT a.kind, a.zw, r1.j AS i, r2.j FROM z a, range(8) r1(j), range(8) r2(j) WHERE r1.j <= r2.j)
-    SELECT kind, i, j, round(sum(list_sum(list_transform(range(8), lambda c: zw[c * 8 + i + 1] * zw[c * 8 + j + 1]))), 4) AS scatter FROM s GROUP BY ALL""".replace("e AS (SELECT kind, i, unnest(zw) AS v, unnest(range(64)) AS c FROM (SELECT kind, 0 AS i, zw FROM z)),\n    ", ""))
+@query(f"""WITH {REC}, s AS (SELECT a.kind, a.zw, r1.j AS i, r2.j FROM z a, range(8) r1(j), range(8) r2(j) WHERE r1.j <= r2.j)
+    SELECT kind, i, j, round(sum(list_sum(list_transform(range(8), lambda c: zw[c * 8 + i + 1] * zw[c * 8 + j + 1]))), 4) AS scatter FROM s GROUP BY ALL""")
 def pca_scatter(spark, sf_dir):
     """Sum of outer products over time samples, upper triangle."""
-    z = R.spikes(spark, sf_dir).select("kind", A.rows(A.without_dc(F.col("w"), 8, 8), 8, 8).alias("z"))
-    sums = [F.sum(A.total(F.transform("z", lambda r: F.element_at(r, i + 1) * F.element_at(r, j + 1)))).alias(f"s{i}_{j}") for i in range(8) for j in range(i, 8)]  # noqa: B023
-    g = z.groupBy("kind").agg(*sums)
-    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), r4(F.col(f"s{i}_{j}")).alias("scatter")) for i in range(8) for j in range(i, 8)])
-    return g.select("kind", F.inline(cells))
+    return learning.scatters(R.spikes(spark, sf_dir), "kind").where("i <= j").select("kind", "i", "j", r4("v").alias("scatter"))
 
 
 @query(f"WITH {REC}, g AS (SELECT avg(list_sum(zw) / 64) AS m FROM z) SELECT channel, round(avg(list_sum(w) / 64), 4) AS mean_all, round(avg(list_sum(w[1:8]) / 8), 4) AS mean_slot0, round(stddev_pop(amp), 4) AS sd FROM z GROUP BY channel")
@@ -399,8 +394,8 @@ def contiguous_bin_runs(spark, sf_dir):
 
 @query(f"WITH {REC} SELECT kind, spike_id, round(amp - lag(amp) OVER (PARTITION BY kind ORDER BY spike_id), 4) AS diff FROM train")
 def first_differences(spark, sf_dir):
-    w = Window.partitionBy("kind").orderBy("spike_id")
-    return R.train(spark, sf_dir).select("kind", "spike_id", r4(F.col("amp") - F.lag("amp").over(w)).alias("diff"))
+    d = windows.differences(R.train(spark, sf_dir).select("kind", "spike_id", "amp"), "kind", "spike_id", "amp", 8192)
+    return d.select("kind", "spike_id", r4("diff").alias("diff"))
 
 
 @query(f"WITH {REC}, a AS (SELECT DISTINCT CAST(floor(t) AS BIGINT) AS bin FROM train WHERE kind = 'click'), b AS (SELECT DISTINCT CAST(floor(t) AS BIGINT) AS bin FROM train WHERE kind = 'view') SELECT 'both' AS what, count(*) AS n FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'only', count(*) FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'any', count(*) FROM (FROM a UNION FROM b)")
@@ -537,13 +532,13 @@ def rigid_solve(spark, sf_dir):
 
 @query()
 def nonrigid_solve(spark, sf_dir):
-    """Motion of each depth window of 100 um, solved apart."""
-    s = _mp(R.spikes(spark, sf_dir)).withColumn("win", F.floor(F.col("my") / 100).cast("int"))
-    prof = s.select(F.floor(F.col("t") / 200).alias("bin"), "win", F.floor(F.col("my") / 10).alias("iy"), "amp").groupBy("bin", "win", "iy").agg(F.sum("amp").alias("w"))
-    key = prof.select(F.struct("win", "iy").alias("cell"), "bin", "win", "iy", "w")
+    """Motion of overlapping depth windows of 160 um over the whole probe, with lags of 80 um, solved apart."""
+    s = _mp(R.spikes(spark, sf_dir))
+    prof = s.select(F.floor(F.col("t") / 200).alias("bin"), F.floor(F.col("my") / 10).alias("iy"), "amp").groupBy("bin", "iy").agg(F.sum("amp").alias("w"))
     out = None
     for win in range(3):  # a fixed number of windows
-        p = motion.weights(motion.soft_pairs(motion.lagged_pairs(key.where(F.col("win") == win).select("bin", "iy", "w"), 3, 10 * win, 10 * win + 10, 3), 10.0, 0.2), 0.1, 2.0, 3).withColumn("win", F.lit(win))
+        pairs = motion.lagged_pairs(prof, 8, 8 * win, 8 * win + 16)
+        p = motion.weights(motion.soft_pairs(pairs, 10.0, 0.2), 0.1, 2.0, 3).withColumn("win", F.lit(win))
         out = p if out is None else out.union(p)
     return motion.solved(out, "win").select("win", "t", F.round("p", 3).alias("p"))
 
