@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import FLUSH, bucket_of, deal, low_bits
-from tidemark.llm.shared import components, dropped, forest, parted, tune, written
+from tidemark.llm.shared import components, dropped, forest, lean, parted, tune, written
 from tidemark.llm.words import U, mix, shingle_sets
 
 SHINGLE, SLACK, COMMON, GROUP = 5, 1.3, 48, 300_000
@@ -419,7 +419,7 @@ def candidates(s: DataFrame, text: DataFrame, buckets: int) -> tuple[DataFrame,
     lack = F.max(F.col("empty") + F.col("hot") - F.col("need") + 1).alias("lack")
     sides = s.where("empty + hot >= need").groupBy("node", "side", "n", "comp").agg(lack, F.collect_list(F.when(dear, F.struct("sig", "sets"))).alias("dear"))
     sides = written(sides.groupBy("node", "comp").agg(F.collect_list(F.struct("side", "lack", "dear")).alias("sides"), F.max("n").alias("n")), "doubtful")
-    keys = text.join(sides, F.col("node") == F.col("doc_id")).select("node", "text", "sides").mapInArrow(_neighbourhoods(buckets), _PROBES)
+    keys = text.join(sides, F.col("node") == F.col("doc_id")).select("node", "text", "sides").mapInArrow(lean(_neighbourhoods(buckets)), _PROBES)
     kind = F.when(F.col("role") < 4, 0).when(F.col("role") < 6, 4).otherwise(6).alias("kind")
     keys = keys.groupBy("key", "node", kind).agg(F.max(F.col("role").isin(2, 3, 5, 6).cast("int")).alias("probe"))
     keys = written(keys.join(sides.select("node", "comp", "n"), "node"), "neighbourhoods")
@@ -443,10 +443,10 @@ def classes(documents: DataFrame) -> DataFrame:
     tune(spark)
     buckets = parted(spark)
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(every.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long, bits binary"), "sets")
+    sets = written(every.mapInArrow(lean(_sets), "doc_id long, n long, h1 long, h2 long, bits binary"), "sets")
     text = every.where("doc_id is not null")
-    blobs = text.mapInArrow(_emit(buckets), _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    shared = written(blobs.mapInArrow(_meet, _SHARED), "shared")
+    blobs = text.mapInArrow(lean(_emit(buckets)), _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    shared = written(blobs.mapInArrow(lean(_meet), _SHARED), "shared")
     alive = written(enough(shared), "alive")
     dropped(shared)
     # round one: each set with the most central ones

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,22 @@ def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, more)])
 
 
+def lean(run: Callable) -> Callable:
+    """An Arrow task that hands its freed memory back to the system when it ends: Python workers live on, and would keep it from the
+    stages after."""
+
+    def task(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return task
+
+
 def parted(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
