@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import FLUSH, bucket_of, deal, low_bits
@@ -383,10 +383,12 @@ def _neighbourhoods(buckets: int):
 
 def enough(rows: DataFrame) -> DataFrame:
     """rows (segments of sets) of those sets and sides that hold enough of them, with the empty ones, for a partner; central
-    tells how many sets share theirs, over all segments."""
-    by = ["node", "side", "n"]
-    some = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("have"), F.sum("sets").alias("central"), F.max("empty").alias("most"), F.max("need").alias("least_need"))
-    return rows.join(some.where("have + most >= least_need").select(*by, "central"), by)
+    tells how many sets share theirs, over all segments. The rows of a set, no more than its segments, meet in one shuffle: counts that tasks
+    combine before a second one would be as many as the rows once there are more tasks than segments."""
+    own = Window.partitionBy("node", "side", "n")
+    have, most, least_need = F.count(F.lit(1)).over(own), F.max("empty").over(own), F.max("need").over(own)
+    some = rows.select("*", F.sum("sets").over(own).alias("central"), (have + most >= least_need).alias("alive"))
+    return some.where("alive").drop("alive")
 
 
 def stars(rows: DataFrame) -> DataFrame:
