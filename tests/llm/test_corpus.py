@@ -369,6 +369,32 @@ def test_secrets(spark, docs, empty):
     assert secrets.redacted(docs).columns == docs.columns and secrets.redacted(docs).where("doc_id = 1").first().text is None
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ('password = "abc\\"def12345XYZ"', ['abc\\"def12345XYZ']),
+        ('setPassword("hunter2Hunter2"); setName("hunter3Hunter3")', ["hunter2Hunter2"]),
+        ('{"auth": ["Zx9_kkPq44vT", "Qw8_kkPq44vT"], "user": "bobBob123"}', ["Zx9_kkPq44vT", "Qw8_kkPq44vT"]),
+        ("<password>Zx9_kkPq44vT</password><user>Zx9_kkPq44vU</user>", ["Zx9_kkPq44vT"]),
+        ('secret = """Zx9_kkPq44vT\nmore"""', ["Zx9_kkPq44vT\nmore"]),
+        ("api_key = `Zx9_kkPq44vT`", ["Zx9_kkPq44vT"]),
+        ('db_pwd = "part1Aa9" + "part2Bb8zz"\nx = "part3Cc7"', ["part1Aa9", "part2Bb8zz"]),
+        ('a = "zz Top8 hello"; a = "zz Top9 hello"; secret_x = a; a = "zz Top7 hello"', ["zz Top9 hello"]),
+        ('k1 = "Zx9_kkPq44vT"\nk2 = k1\nmy_secret = k2', ["Zx9_kkPq44vT"]),
+        ('part = "Zx9_kkPq44vT"\nsecret = part + "-suffix99A"', ["Zx9_kkPq44vT", "-suffix99A"]),
+        ('password: str = "Zx9_kkPq44vT"', ["Zx9_kkPq44vT"]),
+        ('client_secret = ("a1B2c3D4"\n  "e5F6g7H8")\nother = "e5F6g7H9"', ["a1B2c3D4", "e5F6g7H8"]),
+        ('connect(password="Zx9_kkPq44vT", host="local.Host9")', ["Zx9_kkPq44vT"]),
+        ("{'private_key' => 'Zx9_kkPq44vT'}", ["Zx9_kkPq44vT"]),
+        ('password = getenv("Zx9_kkPq44vT")', []),
+        ("a token (see Section12A, don't read Section13B)\n\n'Section14C' of it", []),
+        ("secret:", []),
+    ],
+)
+def test_named_secrets(text, want):
+    assert [text[a:b] for a, b in secrets.named(text)] == want
+
+
 def test_secrets_have_no_length_caps():
     import time
 
@@ -380,6 +406,8 @@ def test_secrets_have_no_length_caps():
     start = time.perf_counter()
     for text in ("a" * 500_000, "a= " + " " * 500_000, "a = \"" * 100_000, "a-" * 250_000 + "=", "a:" * 250_000, "ab \t" * 100_000 + "=", "A" * 500_000 + "a=1", "a='b=\"" * 80_000):
         secrets._PAIR.findall(text)
+    for text in ('a = "' * 100_000, "a='b=\"" * 80_000, "a=[b=(" * 80_000, 'a="""' * 100_000, 'k="\\' * 100_000, "a=b;c=a;" * 50_000, "key=((((((" * 40_000):
+        secrets.named(text + " token")
     assert time.perf_counter() - start < 10
 
 

@@ -2,12 +2,15 @@ r"""Secret scan by assignment-aware lexing.
 
 Base kinds are regular expressions over whole texts: ``assign`` (name, separator, value of six or more characters), ``access``
 (key ids of 20 or more characters) and ``hex`` (24 or more digits), leftmost non-overlapping per kind, spans in code points with
-exclusive ends. The lexer adds ``named`` spans: it reads source and configuration syntax (``name = "literal"``, ``name: literal``,
-``name := name``, with or without quotes and keywords before the name) into name-literal pairs, propagates constants (a name
-given to another name hands on its literal, in any number of steps), and scores each literal by the sensitive words of every
-name it reaches, its length and its character mix. Literals scoring ``threshold`` or more are reported once.
-
-Null texts are empty: no spans, the digest of the empty string. Rows are independent, so ties and repeated rows need no rule.
+exclusive ends. The lexer adds ``named`` spans. It reads source and configuration syntax in the order of the text: a head (``name =``,
+``name:``, ``name :=``, ``name =>``, ``name(`` or ``<name>literal</name>``; a name may stand in quotes) and then the tokens of its
+value: quoted strings with escapes, triple-quoted and back-ticked ones, bare words, names, lists, parentheses, parts joined by ``+`` or side by
+side. A value ends with its line unless a bracket is open, then with a blank line at the latest; keys inside it are heads of their own. Each value is a set of literals. A
+name stands for what it was last given, so a name given to another hands its literals on, in any number of steps, and a value
+scores by the most sensitive name it was given to. Each literal is scored by that, its length and its character mix; those of
+``threshold`` or more are reported once. Comments are read like code, strings inside strings aren't joined, names aren't scoped.
+
+Null texts are empty: no spans, the digest of the empty string. Very long texts are read whole, in time linear in their length. Rows are independent, so ties and repeated rows need no rule.
 """
 
 from __future__ import annotations
@@ -31,10 +34,18 @@ ASSIGN_LEAST = 6
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Weight of the words that a name may hold.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "private": 2, "auth": 2, "bearer": 2, "signing": 1, "access": 1, "key": 1, "api": 1, "session": 1, "salt": 1}
-# possessive runs without length limits: a name starts only where its run starts, and a quote that fails is the last of its line, so this is linear
-_PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w$.-]*+)["']?+[ \t]*+(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"'`,;(){}\[\]<>]++))""", re.ASCII)
+# possessive runs without length limits: a name starts only where its run starts, so this is linear
+_PAIR = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w$.-]*+)["'`]?+[ \t]*+(?:(:=|=>|(?<![=!<>])=(?!=)|:(?![:/]))|(\())|<([A-Za-z_][\w.-]*+)>([^<>\n]++)</""", re.ASCII)
+# a string without its closing quote is the last of its line or text, so what it scans in vain is scanned once
+_TOKEN = re.compile(
+    r"""[ \t\r]++|"{3}(?P<long>.*?)"{3}|'{3}(?P<also>.*?)'{3}|"(?P<double>(?:[^"\\\n]|\\[^\n])*+)"|'(?P<single>(?:[^'\\\n]|\\[^\n])*+)'|`(?P<tick>[^`]*+)`"""
+    r"""|(?P<bare>[^\s"'`,;(){}\[\]<>]++)|(?P<mark>[\[\](){},\n])""",
+    re.ASCII | re.DOTALL,
+)
+_KEY = re.compile(r"[ \t]*+(?:=>|:(?![:/]))", re.ASCII)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z", re.ASCII)
+_ANY = re.compile("|".join(sorted(SENSITIVE)), re.IGNORECASE)
 
 
 def sensitivity(name: str) -> int:
@@ -52,37 +63,104 @@ def literal_score(text: str) -> int:
     return 1 + (classes >= 2) + (entropy >= 3)
 
 
+class _Values:
+    """Values of a text: the literals of each, the values it was made of, and the score of the most sensitive name it was given to."""
+
+    def __init__(self):
+        self.spans, self.made_of, self.score = [], [], []
+        self.given: dict[str, int] = {}
+
+    def add(self, name: str, spans: list[tuple[int, int]], made_of: list[int], score: int) -> None:
+        if not spans and len(made_of) == 1:  # a constant under another name
+            value = made_of[0]
+            self.score[value] = max(self.score[value], score)
+        else:
+            value = len(self.spans)
+            self.spans.append(spans)
+            self.made_of.append(made_of)
+            self.score.append(score)
+        self.given[name] = value
+
+    def scored(self):
+        """(span, score) of all literals; what a value was made of is older than the value."""
+        for value in range(len(self.spans) - 1, -1, -1):
+            for part in self.made_of[value]:
+                self.score[part] = max(self.score[part], self.score[value])
+        return ((span, w) for spans, w in zip(self.spans, self.score, strict=True) if w >= 2 for span in spans)
+
+
+def _value(text: str, at: int, is_call: bool, op: str | None, given: dict[str, int]) -> tuple[list[tuple[int, int]], list[int], int]:
+    """(spans of the literals, values of the names, end) of the value that starts at `at`, in the parentheses of a call or by itself.
+
+    Inside parentheses only quoted strings are literals, in lists bare words too.
+    """
+    open_, whole, spans, parts = ["("] * is_call, False, [], []
+    while m := _TOKEN.match(text, at):
+        kind = m.lastgroup
+        if kind is None:  # blanks
+            pass
+        elif kind == "mark":
+            mark = m.group()
+            if mark in "[(":
+                if whole and not open_:
+                    break
+                open_.append(mark)
+            elif mark in "])":
+                whole = True
+                if not open_ or open_.pop() and not open_ and is_call:
+                    break
+            elif mark in "{}" or not open_ or text.startswith("\n\n", m.start()):
+                break
+        elif kind == "bare":
+            word = m.group()
+            if word == "+":
+                whole = False
+            elif whole and not open_:
+                if op == ":" and word == "=":  # a name with its type: what is left is the value
+                    spans, parts, whole, op = [], [], False, "="
+                else:
+                    break
+            elif (head := _PAIR.match(text, at)) and (open_ or head.group(3)):
+                break
+            else:
+                if _NAME.match(word) and word in given:
+                    parts.append(given[word])
+                elif not open_ or open_[-1] == "[":
+                    spans.append(m.span(kind))
+                whole = True
+        else:
+            if open_ and _KEY.match(text, m.end()):
+                at += 1
+                break
+            spans.append(m.span(kind))
+            whole = True
+        at = m.end()
+    return spans, parts, at
+
+
 def named(text: str, threshold: int = 4) -> list[tuple[int, int]]:
     """Spans of literals whose names, direct or through constants, are sensitive enough."""
-    if "=" not in text and ":" not in text:
+    if not _ANY.search(text):
         return []
-    literals: dict[str, list[tuple[int, int]]] = {}
-    aliases: list[tuple[str, str]] = []
-    scored: dict[tuple[int, int], int] = {}
-    for m in _PAIR.finditer(text):
-        name, group = m.group(1), m.lastindex
-        span, value = m.span(group), m.group(group)
-        literals.setdefault(name, []).append(span)
-        scored[span] = max(scored.get(span, 0), sensitivity(name))
-        if group == 4 and _NAME.match(value):
-            aliases.append((name, value))
-    # constants: each name passes its sensitivity to the names its value came from
-    reach = {}
-    for name, source in aliases:
-        reach.setdefault(source, set()).add(name)
-    for source in reach:
-        if source not in literals:
-            continue
-        seen, ahead, most = {source}, [source], 0
-        while ahead:
-            for x in reach.get(ahead.pop(), ()):
-                if x not in seen:
-                    seen.add(x)
-                    ahead.append(x)
-                    most = max(most, sensitivity(x))
-        for span in literals[source]:
-            scored[span] = max(scored[span], most)
-    return [s for s, w in sorted(scored.items()) if w >= 2 and (v := literal_score(text[s[0] : s[1]])) and w + v >= threshold + 1]
+    values, at, weights = _Values(), 0, {}
+    while m := _PAIR.search(text, at):
+        name = m.group(1) or m.group(4)
+        if name not in weights:
+            weights[name] = sensitivity(name)
+        at = m.end()
+        if m.group(4):
+            if text.startswith(f"{name}>", at):
+                values.add(name, [m.span(5)], [], weights[name])
+            else:
+                at = m.start(5)
+        elif m.group(2) or weights[name]:  # of calls only those of sensitive names are read
+            spans, parts, at = _value(text, at, m.group(2) is None, m.group(2), values.given)
+            if spans or parts:
+                values.add(name if m.group(2) else f"{name}(", spans, parts, weights[name])
+    best: dict[tuple[int, int], int] = {}
+    for span, w in values.scored():
+        best[span] = max(best.get(span, 0), w)
+    return [s for s, w in sorted(best.items()) if (v := literal_score(text[s[0] : s[1]])) and w + v >= threshold + 1]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
