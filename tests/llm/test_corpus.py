@@ -505,7 +505,8 @@ def test_mix(spark, empty):
 
 def test_mix_shards_come_from_the_draw(spark):
     """Counts by shard and source are a draw with exact totals; shards take those slots, each block once a round."""
-    sources = spark.createDataFrame([("a", 7000, 4000), ("b", 900, 1500), (None, 5, 3), ("z", 0, 0)], "source string, slots long, n_blocks long")
+    rows = [(s, k, n, n * 64, 64, k * 64) for s, k, n in (("a", 7000, 4000), ("b", 900, 1500), (None, 5, 3), ("z", 0, 0))]
+    sources = spark.createDataFrame(rows, "source string, slots long, n_blocks long, source_size long, block long, words long")
     drawn = {(r.source, r.shard): r["count"] for r in mixing.draws(sources, shards=8).collect()}
     for s, n in (("a", 7000), ("b", 900), (None, 5)):
         counts = [drawn.get((s, k), 0) for k in range(8)]
@@ -522,6 +523,27 @@ def test_mix_shards_come_from_the_draw(spark):
     assert len({(b - a) % 4000 for a, b in zip(first, first[1:], strict=False)} - {1}) > 0
 
 
+@pytest.mark.parametrize("block", [4096, 64, 7, 1])
+def test_mix_meets_targets_to_the_word(spark, block):
+    """Whatever the block: targets are met, no word is taken three times, and each row's words follow each other in its document."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range((i * 37) % 90)), f"s{min(i % 7, 3)}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    target, taken = {}, {}
+    for r in mixing.mixed(d, block=block, shards=3).collect():
+        target[r.source] = r.target
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    whole = {i: t.split() for i, t, _ in rows}
+    seen, pieces = {}, mixing.mix(d, block=block, shards=3).collect()
+    for r in pieces:
+        w = r.text.split()
+        at = whole[r.doc_id].index(w[0])
+        assert whole[r.doc_id][at : at + len(w)] == w
+        for x in w:
+            seen[x] = seen.get(x, 0) + 1
+    assert max(seen.values()) <= 2 and sum(seen.values()) == sum(taken.values())
+
+
 def test_mix_nulls_repeated_rows_and_clashes(spark):
     rows = [(1, "a b c", None), (1, "a b c", None), (None, "x y", "s"), (None, None, "s"), (2, "", ""), (3, "long " * 40_000, "s")]
     d = spark.createDataFrame([(*r, "clash", 7, "r") for r in rows], "doc_id long, text string, source string, shard string, size int, row string")
