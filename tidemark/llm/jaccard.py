@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import FLUSH, bucket_of, deal, low_bits
-from tidemark.llm.shared import components, dropped, forest, lean, parted, tune, written
+from tidemark.llm.shared import bucketed, components, dropped, forest, lean, parted, tune, written
 from tidemark.llm.words import U, mix, shingle_sets
 
 SHINGLE, SLACK, COMMON, GROUP = 5, 1.3, 48, 300_000
@@ -451,26 +451,29 @@ def classes(documents: DataFrame) -> DataFrame:
     shared = written(blobs.mapInArrow(lean(_meet), _SHARED), "shared")
     alive = written(enough(shared), "alive")
     dropped(shared)
-    # round one: each set with the most central ones
-    near = written(filtered(stars(alive), sets), "near")
-    joined = components(pair_links(near, text, buckets))
-    first = written(joined, "first")
-    dropped(near, joined)
-    # round two: what may link different components
-    comp = F.coalesce("component", F.col("node")).alias("comp")
-    rest = alive.join(first, "node", "left").select("sig", "node", "side", "n", "m", "need", "empty", comp)
-    rest = written(between(enough(between(rest)).drop("sets", "central")), "rest")
-    dropped(alive)
-    pairs, groups = candidates(rest, text, buckets)
-    pairs, groups = written(filtered(pairs, sets), "candidates"), written(groups, "groups")
-    dropped(rest)
-    links = pair_links(pairs, text, buckets).union(block_links(groups, sets, text, buckets))
+    # texts that may link are dealt by doc_id once; the three joins that read them move ids only
+    some = text.join(alive.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    with bucketed(some, "texts", "doc_id", buckets) as text:
+        # round one: each set with the most central ones
+        near = written(filtered(stars(alive), sets), "near")
+        joined = components(pair_links(near, text, buckets))
+        first = written(joined, "first")
+        dropped(near, joined)
+        # round two: what may link different components
+        comp = F.coalesce("component", F.col("node")).alias("comp")
+        rest = alive.join(first, "node", "left").select("sig", "node", "side", "n", "m", "need", "empty", comp)
+        rest = written(between(enough(between(rest)).drop("sets", "central")), "rest")
+        dropped(alive)
+        pairs, groups = candidates(rest, text, buckets)
+        pairs, groups = written(filtered(pairs, sets), "candidates"), written(groups, "groups")
+        dropped(rest)
+        links = written(pair_links(pairs, text, buckets).union(block_links(groups, sets, text, buckets)), "found")
     # equal sets: each document with the smallest of its set
     some = sets.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"))
     same = some.join(same, ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     comp = components(links.union(first.select("node", "component")).union(same))
-    dropped(pairs, groups, first)
+    dropped(pairs, groups, first, links)
     out = sets.join(comp, sets.doc_id == comp.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

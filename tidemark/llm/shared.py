@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, bucketed by a column: joins on it don't shuffle these rows again. Gone after the with block, so
+    what is read from it must be written before."""
+    spark = df.sparkSession
+    table = f"tidemark_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"drop table if exists {table}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that written() made, once all that was read from them is written itself."""
     for df in tables:
