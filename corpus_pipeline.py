@@ -8,6 +8,8 @@ toxicity scores and token ids have none.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,17 @@ from tidemark.llm import bpe, jaccard, mixing, secrets, toxicity
 from tidemark.llm.shared import tune, written
 
 
+def begun(spark: SparkSession) -> None:
+    """Settings of a stage, and what the stages before it left on the driver: Spark's cleaner frees the broadcasts and shuffles of ended
+    queries only once the JVM has collected their handles, and the heap shrinks only then."""
+    tune(spark)
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; labels of held-out rows aren't learnt from."""
-    tune(spark)
+    begun(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels, f"not ({toxicity.HELD_OUT})")
     return toxicity.scored(docs, model, "toxicity_score").where("toxicity_score < 0.5").drop("toxicity_score")
@@ -25,6 +35,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest doc_id."""
+    begun(spark)
     found = jaccard.classes(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -32,20 +43,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced."""
-    tune(spark)
+    begun(spark)
     out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents."""
-    tune(spark)
+    begun(spark)
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of each text's ids and of what they decode to."""
-    tune(spark)
+    begun(spark)
     return bpe.digest(docs)
 
 
