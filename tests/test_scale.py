@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.operators import inference, mixtures
+from tidemark.operators import inference, mixtures, solvers
 from tidemark.sources import recording as R
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +30,24 @@ def test_active_sets_end_at_the_optimum_without_steps():
     dense = inference.pivoted_nonnegative(np.broadcast_to(np.kron(space, time), (200, 36, 36)), rhs.reshape(200, -1))[1]
     got = 2 * (x * rhs).sum((1, 2)) - (x * mixtures.curved(x, space, time)).sum((1, 2))
     assert np.allclose(got, dense, atol=1e-6)
+
+
+def test_sets_are_scored_by_the_faces_that_can_win():
+    rng = np.random.default_rng(4)
+    h = rng.random((8, 9))
+    h /= np.linalg.norm(h, axis=0)
+    over, u = h.T @ h, rng.normal(size=(50, 9, 4))
+    u[:10] = np.abs(u[:10])
+    for r in (1, 2, 3, 4):
+        spike = np.repeat(np.arange(50), 6)
+        sets = np.sort(np.stack([rng.choice(9, r, replace=False) for _ in spike]), axis=1)
+        w, got = solvers.shared_sets(u, over, spike, sets)
+        own, gram = u[spike[:, None], sets], over[sets[:, :, None], sets[:, None]]
+        want = solvers.shared_best(np.matmul(own, own.transpose(0, 2, 1)), gram)
+        assert np.allclose(got, want[1], rtol=1e-9) and np.allclose(w, want[0], atol=1e-5) and np.allclose(solvers.shared_captured(w, own, gram), got, rtol=1e-6)
+
+
+def test_channels_of_one_geometry_are_searched_together(spark):
+    shapes = inference.shapes_by_channel(spark)
+    of, first = inference.by_geometry(shapes)
+    assert len(first) == 15 and np.array_equal(shapes[first[of]], shapes)

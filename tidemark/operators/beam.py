@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.operators import solvers
-from tidemark.operators.inference import LATTICE, centred, dct, shapes_by_channel
+from tidemark.operators.inference import LATTICE, by_geometry, centred, dct, shapes_by_channel
 
 
 @dataclass(frozen=True)
@@ -193,19 +193,27 @@ class Beam:
         every = np.arange(n)[None, None]
         choices = np.broadcast_to(every if self.o.all_seconds else first[:, None, : self.o.shortlist], (b, own.shape[1], n if self.o.all_seconds else min(n, self.o.shortlist)))
         for k in range(2, self.model.sources + 1):
+            ok = np.take_along_axis(self.valid(supports), choices, 2)
             wide = np.concatenate([np.broadcast_to(supports[:, :, None], (*choices.shape, k - 1)), choices[..., None]], 3)
             flat = wide.reshape(-1, k)
             spike = np.repeat(np.arange(b), flat.shape[0] // b)
-            uk, gram = u[spike[:, None], flat], self.over[flat[:, :, None], flat[:, None]]
-            if k == 2:
+            if k > 2:
+                # a set is scored once a spike, however many supports lead to it
+                asked = np.flatnonzero(ok.ravel())
+                flat, spike = np.sort(flat[asked], axis=1), spike[asked]
+                key = spike.astype(np.int64)
+                for j in range(k):
+                    key = key * n + flat[:, j]
+                _, one, back = np.unique(key, return_index=True, return_inverse=True)
+                got = np.full(ok.size, -np.inf)
+                got[asked] = solvers.shared_sets(u, self.over, spike[one], flat[one])[1][back]
+            else:
+                uk, gram = u[spike[:, None], flat], self.over[flat[:, :, None], flat[:, None]]
                 if self.model.equal:
                     v = uk.sum(1) / 2
                     got = np.einsum("bm,bm->b", v, v) / np.maximum((1 + gram[:, 0, 1]) / 2, 1e-10)
                 else:
                     got = solvers.shared_pair(uk[:, 0], uk[:, 1], gram[:, 0, 1], self.model.least)[1]
-            else:
-                got = solvers.shared_best(np.matmul(uk, uk.transpose(0, 2, 1)), gram)[1]
-            ok = np.take_along_axis(self.valid(supports), choices, 2)
             score = np.where(ok, got.reshape(choices.shape), -np.inf)
             parent, new, sets, got = self._level(supports, score, choices)
             # beyond pairs supports grow over the shortlist
@@ -219,7 +227,7 @@ class Beam:
                 one = solvers.shared_pair(rhs[:, 0], rhs[:, 1], gram[:, 0, 1], self.model.least)[0]
                 w = np.stack([one, 1 - one], 1)
             else:
-                w = solvers.shared_best(np.matmul(rhs, rhs.transpose(0, 2, 1)), gram)[0]
+                w = solvers.shared_sets(u, self.over, np.arange(b), top)[0]
             v = np.einsum("bk,bkm->bm", w, rhs) / np.maximum(np.einsum("bk,bkj,bj->b", w, gram, w), 1e-12)[:, None]
             yield top, w[..., None] * v[:, None], got[:, 0], gram_condition(self.over, top)
 
@@ -262,6 +270,7 @@ def sources(spikes: DataFrame, model: str = "m2_r2", m: int = 4, kernel: str = "
         raise ValueError(f"unknown model {model!r}: one of {sorted(MODELS)}")
     kind, places = MODELS[model], np.array(lattice or LATTICE)
     omega, shapes = dct(m), shapes_by_channel(spikes.sparkSession, kernel, lattice)
+    of, first = by_geometry(shapes)
 
     def run(batches):
         for batch in batches:
@@ -269,9 +278,10 @@ def sources(spikes: DataFrame, model: str = "m2_r2", m: int = 4, kernel: str = "
             y = centred(batch.column(3))
             z = y @ omega.T
             energy, inside = np.einsum("bct,bct->b", y, y), np.einsum("bcm,bcm->b", z, z)
-            for c in np.unique(channel):
-                own = np.flatnonzero(channel == c)
-                h = shapes[c]
+            geometry = of[channel]
+            for c in np.unique(geometry):
+                own = np.flatnonzero(geometry == c)
+                h = shapes[first[c]]
                 over, u = h.T @ h, np.matmul(h.T, z[own])
                 place, coef, captured, condition, gain, searched = Beam(over, places, kind, options).run(u, inside[own])
                 still, again = losses(over, u, place, coef, kind.shared)
@@ -282,7 +292,7 @@ def sources(spikes: DataFrame, model: str = "m2_r2", m: int = 4, kernel: str = "
                 share = amp / np.maximum(np.maximum(amp, 0).sum(1, keepdims=True), 1e-12)
                 i, j = np.nonzero(place >= 0)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * m, pa.int32()), pa.array(coef[i, j].ravel()))
-                cols = [ids[own][i], t[own][i], np.full(len(i), c), j, place[i, j], amp[i, j], share[i, j], still[i, j], again[i, j], flat, (place >= 0).sum(1)[i], captured[i], energy[own][i], condition[i], gain[i], searched[i]]
+                cols = [ids[own][i], t[own][i], channel[own][i], j, place[i, j], amp[i, j], share[i, j], still[i, j], again[i, j], flat, (place >= 0).sum(1)[i], captured[i], energy[own][i], condition[i], gain[i], searched[i]]
                 kinds = [pa.int64(), pa.float64(), *[pa.int32()] * 3, *[pa.float64()] * 4, None, pa.int32(), *[pa.float64()] * 4, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 

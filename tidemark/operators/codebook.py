@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.kernels import KERNELS
 from tidemark.operators import solvers
-from tidemark.operators.inference import LATTICE, SOURCES, Pursuit, centred, shapes_by_channel, shift_bank
+from tidemark.operators.inference import LATTICE, SOURCES, Pursuit, by_geometry, centred, shapes_by_channel, shift_bank
 from tidemark.operators.learning import leading, scatter
 from tidemark.sources.recording import SAMPLES
 
@@ -118,14 +118,14 @@ def _pursuit(h: np.ndarray, omega: np.ndarray, c: Config, places: np.ndarray) ->
 def passed(spikes: DataFrame, omega: np.ndarray, config: Config, shapes: np.ndarray, lattice=None) -> Sums:
     """One job over the spikes: the sums of their sources under this codebook."""
     c, places, lags = config.resolved(), np.array(lattice or LATTICE), 2 * config.resolved().most_lag + 1
-    m, t = omega.shape
+    (m, t), (of, first) = omega.shape, by_geometry(shapes)
 
     def run(batches):
         atoms, weight, spread, sse, energy = np.zeros((m, t)), np.zeros(m), np.zeros((t, t)), 0.0, 0.0
         for batch in batches:
-            channel, y = batch.column(0).to_numpy(), centred(batch.column(1))
-            for ch in np.unique(channel):
-                own = y[channel == ch]
+            kind, y = of[batch.column(0).to_numpy()], centred(batch.column(1))
+            for g in np.unique(kind):
+                own, ch = y[kind == g], first[g]
                 place, choice, coef, got = _pursuit(shapes[ch], omega, c, places).run(own, c.sources, c.min_gain, c.apart)
                 e = float((own * own).sum())
                 energy, sse = energy + e, sse + e - float(got.sum())
@@ -274,20 +274,21 @@ def explained(spikes: DataFrame, book: Codebook) -> DataFrame:
     """The sources of spikes under a codebook: the columns of inference.sources, one narrow stage."""
     c, lags = book.config.resolved(), 2 * book.config.resolved().most_lag + 1
     shapes, places, omega = shapes_by_channel(spikes.sparkSession, c.kernel), np.array(LATTICE), book.omega
+    of, first = by_geometry(shapes)
 
     def run(batches):
         for batch in batches:
             ids, t, ch = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             y = centred(batch.column(3))
-            energy = np.einsum("bct,bct->b", y, y)
-            for k in np.unique(ch):
-                own = np.flatnonzero(ch == k)
-                place, choice, coef, got = _pursuit(shapes[k], omega, c, places).run(y[own], c.sources, c.min_gain, c.apart)
+            energy, kind = np.einsum("bct,bct->b", y, y), of[ch]
+            for k in np.unique(kind):
+                own = np.flatnonzero(kind == k)
+                place, choice, coef, got = _pursuit(shapes[first[k]], omega, c, places).run(y[own], c.sources, c.min_gain, c.apart)
                 i, j = np.nonzero(place >= 0)
                 x, pick = coef[i, j], choice[i, j]
                 q, lag = (np.abs(x).argmax(1), pick) if c.shape == "free" else (pick // lags, pick % lags)
                 amp = np.sqrt((x * x).sum(1)) if c.shape == "free" else x[:, 0]
-                cols = [ids[own][i], t[own][i], np.full(len(i), k), j, place[i, j], q, lag - c.most_lag, amp, got[i], energy[own][i]]
+                cols = [ids[own][i], t[own][i], ch[own][i], j, place[i, j], q, lag - c.most_lag, amp, got[i], energy[own][i]]
                 kinds = [pa.int64(), pa.float64(), *[pa.int32()] * 5, *[pa.float64()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cols, kinds, strict=True)], [s.split()[0] for s in SOURCES.split(", ")])
 

@@ -40,6 +40,12 @@ def shapes_by_channel(spark, kernel: str = "monopole", lattice=None) -> np.ndarr
     return np.array([[c["g"] for c in r["cand"]] for r in rows]).transpose(0, 2, 1)
 
 
+def by_geometry(shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each channel and a channel of each kind: channels with the same footprints, whose spikes are searched together."""
+    _, first, of = np.unique(shapes.reshape(len(shapes), -1), axis=0, return_index=True, return_inverse=True)
+    return of.ravel(), first
+
+
 def centred(column: pa.Array) -> np.ndarray:
     """(spikes, slots, samples) of a column of waveforms, each row less its mean."""
     y = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, SLOTS, SAMPLES)
@@ -283,20 +289,21 @@ def sources(spikes: DataFrame, r: int = 3, m: int = 4, most_lag: int = 1, min_ga
     Stateless by batch, so it also runs on a stream."""
     shape = shapes_by_channel(spikes.sparkSession, kernel)
     bank, places, lags = shift_bank(dct(m), most_lag), np.array(LATTICE), 2 * most_lag + 1
+    of, first = by_geometry(shape)
 
     def run(batches):
         for batch in batches:
             ids, t, ch = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             y = centred(batch.column(3))
-            energy = np.einsum("bct,bct->b", y, y)
-            for c in np.unique(ch):
-                own = np.flatnonzero(ch == c)
-                place, choice, coef, got = Pursuit(shape[c], places, bank, lags, free, shortlist).run(y[own], r, min_gain, apart)
+            energy, kind = np.einsum("bct,bct->b", y, y), of[ch]
+            for c in np.unique(kind):
+                own = np.flatnonzero(kind == c)
+                place, choice, coef, got = Pursuit(shape[first[c]], places, bank, lags, free, shortlist).run(y[own], r, min_gain, apart)
                 i, j = np.nonzero(place >= 0)
                 x, k = coef[i, j], choice[i, j]
                 q, lag = (np.abs(x).argmax(1), k) if free else (k // lags, k % lags)
                 amp = np.sqrt((x * x).sum(1)) if free else x[:, 0]
-                cols = [ids[own][i], t[own][i], np.full(len(i), c), j, place[i, j], q, lag - most_lag, amp, got[i], energy[own][i]]
+                cols = [ids[own][i], t[own][i], ch[own][i], j, place[i, j], q, lag - most_lag, amp, got[i], energy[own][i]]
                 kinds = [pa.int64(), pa.float64(), *[pa.int32()] * 5, *[pa.float64()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cols, kinds, strict=True)], [s.split()[0] for s in SOURCES.split(", ")])
 

@@ -66,6 +66,68 @@ def shared_best(inner: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.nda
     return weights, most
 
 
+def leading_pair(inner: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest value of w' inner w / w' over w without a sign constraint, and its w (B, K), of sum 0 or more."""
+    k = inner.shape[1]
+    low = np.linalg.cholesky(over + 1e-10 * np.eye(k))
+    # a few columns: substitution over the whole batch is cheaper than a solve for each
+    turned = inner.copy()
+    for _ in range(2):
+        for i in range(k):
+            for j in range(i):
+                turned[:, i] -= low[:, i, j, None] * turned[:, j]
+            turned[:, i] /= low[:, i, i, None]
+        turned = np.ascontiguousarray(turned.transpose(0, 2, 1))
+    if k == 2:
+        half, side = (turned[:, 0, 0] - turned[:, 1, 1]) / 2, (turned[:, 0, 1] + turned[:, 1, 0]) / 2
+        reach = np.hypot(half, side)
+        top = (turned[:, 0, 0] + turned[:, 1, 1]) / 2 + reach
+        w = np.stack([np.where(half >= 0, half + reach, side), np.where(half >= 0, side, reach - half)], 1)
+        w[reach == 0] = (1, 0)
+    else:
+        value, vector = np.linalg.eigh(turned)
+        top, w = value[:, -1], vector[:, :, -1].copy()
+    for i in range(k - 1, -1, -1):
+        for j in range(i + 1, k):
+            w[:, i] -= low[:, j, i] * w[:, j]
+        w[:, i] /= low[:, i, i]
+    return top, w * np.where(w.sum(1) < 0, -1.0, 1.0)[:, None]
+
+
+def shared_sets(u: np.ndarray, over: np.ndarray, spike: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shared_best of sets of places (X, R), sorted, of the spikes (X,); u (B, N, M), over (N, N).
+
+    A face's unconstrained optimum bounds those of all faces inside it, and is the best of them if it has one sign. So smaller faces are
+    asked only where it has not, and each once a spike however many sets hold it.
+    """
+    x, k = sets.shape
+    if k == 1:
+        own = u[spike, sets[:, 0]]
+        return np.ones((x, 1)), np.einsum("bm,bm->b", own, own) / (over[sets[:, 0], sets[:, 0]] + 1e-10)
+    own = u[spike[:, None], sets]
+    inner, gram = np.matmul(own, own.transpose(0, 2, 1)), over[sets[:, :, None], sets[:, None]]
+    value, w = leading_pair(inner, gram)
+    weights = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    rest = np.flatnonzero(~(w >= 0).all(1))
+    if not len(rest):
+        return weights, value
+    sub = np.stack([np.delete(sets[rest], j, 1) for j in range(k)], 1).reshape(-1, k - 1)
+    of = np.repeat(spike[rest], k)
+    key = of.astype(np.int64)
+    for j in range(k - 1):
+        key = key * over.shape[0] + sub[:, j]
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    less, got = shared_sets(u, over, of[first], sub[first])
+    got = got[back].reshape(-1, k)
+    best = got.argmax(1)
+    here = np.arange(len(rest))
+    less = less[back].reshape(-1, k, k - 1)[here, best]
+    full = np.zeros((len(rest), k))
+    np.put_along_axis(full, (np.arange(k - 1)[None] + (np.arange(k - 1)[None] >= best[:, None])), less, 1)
+    weights[rest], value[rest] = full, got[here, best]
+    return weights, value
+
+
 def shared_weights(u: np.ndarray, over: np.ndarray, steps: int = 60) -> np.ndarray:
     """Weights on the simplex that capture most with one common shape, by projected ascent with halving steps; never worse than
     the best single footprint, where it starts."""
