@@ -170,17 +170,20 @@ def group_lasso_support(spark, sf_dir):
     """How many places the group lasso over all 27 keeps, by spike, with the share of energy that they capture."""
     s = R.spikes(spark, sf_dir)
     omega, shapes = inference.dct(4), inference.shapes_by_channel(spark)
-    over = np.matmul(shapes.transpose(0, 2, 1), shapes)
+    of, first = inference.by_geometry(shapes)
 
     def run(batches):
         for batch in batches:
-            channel, y = batch.column(0).to_numpy(), inference.centred(batch.column(1))
-            energy = np.einsum("bct,bct->b", y, y)
-            scale = np.sqrt(np.maximum(energy, 1e-12))
-            u = inference.coefficients(y / scale[:, None, None], shapes[channel], omega)
-            x = solvers.group_lasso(over[channel], u, 0.1, 150)
-            on = (np.abs(x).max(2) > 1e-9).sum(1)
-            got = 2 * np.einsum("bnm,bnm->b", x, u) - np.einsum("bnm,bnk,bkm->b", x, over[channel], x)
+            kind, y = of[batch.column(0).to_numpy()], inference.centred(batch.column(1))
+            scale = np.sqrt(np.maximum(np.einsum("bct,bct->b", y, y), 1e-12))
+            on, got = np.zeros(len(y), np.int64), np.zeros(len(y))
+            for g in np.unique(kind):
+                own = np.flatnonzero(kind == g)
+                h = shapes[first[g]]
+                u = np.matmul(h.T, (y[own] / scale[own, None, None]) @ omega.T)
+                x = solvers.group_lasso_shared(h.T @ h, u, 0.1, 150)
+                on[own] = (np.abs(x).max(2) > 1e-9).sum(1)
+                got[own] = 2 * np.einsum("bnm,bnm->b", x, u) - np.einsum("bnm,bnm->b", x, np.matmul(h.T @ h, x))
             yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(got)], ["places", "share"])
 
     g = s.select("channel", "w").mapInArrow(run, "places long, share double").groupBy("places")

@@ -182,6 +182,35 @@ def group_lasso(gram: np.ndarray, rhs: np.ndarray, lam: float, rounds: int = 400
     return accelerated(gram, rhs, lambda z, length: group_shrink(z, lam * length), rounds)
 
 
+def group_lasso_shared(gram: np.ndarray, rhs: np.ndarray, lam: float, rounds: int = 400, block: int = 256) -> np.ndarray:
+    """group_lasso for spikes that share one Gram matrix (N, N): a round is one plain product for a block of spikes, which stays in the cache,
+    and spikes that have come to rest, to the last bit, take no more of them."""
+    if len(rhs) > block:
+        return np.concatenate([group_lasso_shared(gram, rhs[i : i + block], lam, rounds, block) for i in range(0, len(rhs), block)])
+    length = 1 / max(np.sqrt((gram * gram).sum()), 1e-12)
+    b, n, m = rhs.shape
+    rhs, out = np.ascontiguousarray(rhs.transpose(2, 0, 1)) * length, np.zeros((m, b, n))
+    step, going = np.eye(n) - length * gram, np.arange(b)
+    x, y, k = np.zeros_like(rhs), np.zeros_like(rhs), np.ones(b)
+    for r in range(rounds):
+        z = (y.reshape(-1, n) @ step).reshape(y.shape) + rhs
+        norm = np.sqrt(np.einsum("mbn,mbn->bn", z, z))
+        new = z * np.maximum(1 - lam * length / np.maximum(norm, 1e-12), 0)
+        moved = new - x
+        k = np.where(np.einsum("mbn,mbn->b", y - new, moved) > 0, 1.0, k)
+        after = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        still = r % 10 == 9 and ~moved.any((0, 2)) & (np.einsum("mbn,mbn->b", y - x, y - x) == 0)
+        y = new + ((k - 1) / after)[:, None] * moved
+        x, k = new, after
+        if np.any(still):
+            out[:, going[still]] = x[:, still]
+            going, x, y, k, rhs = going[~still], x[:, ~still], y[:, ~still], k[~still], rhs[:, ~still]
+            if not len(going):
+                break
+    out[:, going] = x
+    return np.ascontiguousarray(out.transpose(1, 2, 0))
+
+
 def project_cone(vectors: np.ndarray, axis: np.ndarray, degrees: float) -> np.ndarray:
     """Unit vectors no further than `degrees` from the unit axis. Cones are one-sided: a vector against the axis is turned round first, so
     that atoms keep the axis' polarity; those still outside turn towards it, in the plane of both. A zero vector becomes the axis."""
