@@ -20,7 +20,7 @@ from tidemark.operators.candidates import Candidates
 from tidemark.operators.inference import centred
 from tidemark.sources.recording import SLOTS, geometry
 
-HELD, BLOCK, SLICE = 32_768, 4096, 2048
+HELD, BLOCK, SLICE = 32_768, 1024, 256
 
 
 def triangle(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,8 +55,13 @@ def best(forms: np.ndarray, candidates: Candidates, dx: np.ndarray, dy: np.ndarr
         for s in range(0, len(forms), slice_):
             own = slice(s, s + slice_)
             score = forms[own] @ phi.T
-            here = np.round(score, 9).argmax(1)
+            here = score.argmax(1)
             got = score[np.arange(len(here)), here]
+            # rounding keeps the order, so only where others come within it of the largest can a smaller candidate stand for it
+            near = np.flatnonzero((score >= (got - 2e-9 - 1e-15 * np.abs(got))[:, None]).sum(1) > 1)
+            if len(near):
+                here[near] = np.round(score[near], 9).argmax(1)
+                got[near] = score[near, here[near]]
             better = np.round(got, 9) > np.round(top[own], 9)
             top[own] = np.where(better, got, top[own])
             k[own] = np.where(better, here + lo, k[own])
