@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,25 @@ def broken(df: DataFrame, kind: str) -> DataFrame:
 
 
 def save(df: DataFrame, kind: str, path: str) -> None:
-    """Writes the table if every check holds; raises ValueError with the counts if not."""
-    found = {r["check"]: r["rows"] for r in broken(df, kind).where("rows > 0").collect()}
-    if found:
-        raise ValueError(f"{kind}: {found}")
-    df.write.mode("errorifexists").parquet(path)
+    """Writes the table if every check holds; raises ValueError with the counts if not.
+
+    Rows are made once: they are written beside the path, checked there, and renamed to it only then.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    place, staged = hadoop(path), hadoop(f"{path}.staged-{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        raise FileExistsError(path)
+    try:
+        df.write.parquet(staged.toString())
+        found = {r["check"]: r["rows"] for r in broken(spark.read.schema(df.schema).parquet(staged.toString()), kind).where("rows > 0").collect()}
+        if found:
+            raise ValueError(f"{kind}: {found}")
+        if not fs.rename(staged, place):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(staged, True)
 
 
 def load(spark: SparkSession, kind: str, path: str) -> DataFrame:
