@@ -1,8 +1,11 @@
 """What keeps the heavy queries within their limits: spread work, exact short cuts, one pass in place of several."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import inference, mixtures, solvers
+from tidemark.operators import codebook, inference, mixtures, packed, solvers, state
+from tidemark.operators.candidates import Candidates
 from tidemark.sources import recording as R
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +54,50 @@ def test_channels_of_one_geometry_are_searched_together(spark):
     shapes = inference.shapes_by_channel(spark)
     of, first = inference.by_geometry(shapes)
     assert len(first) == 15 and np.array_equal(shapes[first[of]], shapes)
+
+
+def test_group_lasso_of_one_geometry():
+    rng = np.random.default_rng(5)
+    h = rng.random((8, 9))
+    gram, rhs = h.T @ h, rng.normal(size=(60, 9, 4))
+    rhs[:20] *= 1e-3
+    for rounds in (7, 150, 3000):
+        x = solvers.group_lasso_shared(gram, rhs, 0.4, rounds, block=25)
+        assert np.allclose(x, solvers.group_lasso(np.broadcast_to(gram, (60, 9, 9)), rhs, 0.4, rounds), atol=1e-12) and not x[:20].any()
+
+
+def test_ties_of_candidates_go_to_the_smallest():
+    rng = np.random.default_rng(6)
+    sites = rng.normal(size=(40, 3)) * 30 + (0, 0, 40)
+    wide = Candidates(np.concatenate([sites, sites[::-1], sites + 1e-12]))
+    dx, dy = rng.normal(size=(2, 8)) * 20
+    forms = packed.pack_forms(rng.normal(size=(300, 8, 8)), inference.dct(4))
+    k, top = packed.best(forms, wide, dx, dy, block=50, slice_=70)
+    score = np.round(forms @ packed.products(wide.footprints(dx, dy)).T, 9)
+    assert np.array_equal(k, score.argmax(1)) and np.allclose(top, score.max(1), atol=1e-8)
+
+
+def test_saving_makes_rows_once_and_leaves_nothing_when_a_check_fails(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    good = spark.range(10).selectExpr("cast(0 as int) win", "cast(id as double) t", "0.5D p").mapInArrow(run, "win int, t double, p double")
+    state.save(good, "motion", f"file://{tmp_path}/m")
+    assert made.value == 10 and state.load(spark, "motion", f"file://{tmp_path}/m").count() == 10
+    with pytest.raises(ValueError):
+        state.save(good.withColumn("t", F.lit(1.0)), "motion", f"file://{tmp_path}/bad")
+    with pytest.raises(FileExistsError):
+        state.save(good, "motion", f"file://{tmp_path}/m")
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["m"]
+
+
+def test_the_seed_sorts_hardly_more_than_it_takes(spark):
+    s = spark.range(20_000).select(F.col("id").alias("spike_id"), F.array(F.col("id").cast("double")).alias("w"))
+    got = codebook.smallest_by_hash(s, 300)
+    assert [r.spike_id for r in got.collect()] == [r.spike_id for r in s.orderBy(F.xxhash64("spike_id"), "spike_id").limit(300).collect()]
+    assert "xxhash64(" in got._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].split("\n")[0]
+    assert codebook.smallest_by_hash(s.limit(50), 300).count() == 50
