@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import codebook, inference, mixtures, packed, solvers, state
+from tidemark.operators import codebook, inference, mixtures, motion, packed, solvers, state
 from tidemark.operators.candidates import Candidates
+from tidemark.session import kept
 from tidemark.sources import recording as R
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,12 @@ def test_the_seed_sorts_hardly_more_than_it_takes(spark):
     assert [r.spike_id for r in got.collect()] == [r.spike_id for r in s.orderBy(F.xxhash64("spike_id"), "spike_id").limit(300).collect()]
     assert "xxhash64(" in got._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].split("\n")[0]
     assert codebook.smallest_by_hash(s.limit(50), 300).count() == 50
+
+
+def test_the_ladder_is_the_profiles_of_each_step(spark):
+    s = spark.range(500).selectExpr("cast(id % 7 as double) * 40 t", "cast(id % 90 as double) y", "cast(id % 13 as double) dy", "cast(id % 5 as double) amp")
+    got = kept(motion.ladder(s, 100.0, {k: F.col("y") + k * F.col("dy") for k in (0.0, 0.5)}, 10.0), "test")
+    assert not got.inputFiles() == s.inputFiles()  # read back from files, not made again
+    for k in (0.0, 0.5):
+        want = motion.profiles(s.withColumn("yk", F.col("y") + k * F.col("dy")), 100.0, "yk", 10.0)
+        assert sorted(map(tuple, got.where(F.col("k") == k).drop("k").collect())) == sorted(map(tuple, want.collect()))

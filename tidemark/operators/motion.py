@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIRS = "t long, u long, d double, c double"
@@ -16,6 +16,13 @@ def profiles(spikes: DataFrame, time_bin: float, y: str, y_bin: float, amp: str
     return d.groupBy("bin", "iy").agg(F.sum("w").alias("w"))
 
 
+def ladder(spikes: DataFrame, time_bin: float, depths: dict[float, Column], y_bin: float, amp: str = "amp") -> DataFrame:
+    """k, bin, iy, w: the profiles of several versions of the depth, by their keys, of one pass over the spikes."""
+    pixels = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.floor(y / y_bin).alias("iy")) for k, y in depths.items()])
+    d = spikes.select(F.floor(F.col("t") / time_bin).alias("bin"), F.col(amp).alias("w"), F.explode(pixels).alias("p"))
+    return d.groupBy("p.k", "bin", "p.iy").agg(F.sum("w").alias("w"))
+
+
 def lagged_pairs(prof: DataFrame, most: int, lo: int, hi: int, frame: int | None = None, block: int = 64) -> DataFrame:
     """t, u, lag, r: zero-mean normalised correlation of every two time bins t > u (at most `frame` apart, if given) at each lag.
 

@@ -12,6 +12,7 @@ from tidemark.functions.kernels import KERNELS
 from tidemark.operators import inference, interpolate, learning, motion, rasters, tables, windows
 from tidemark.plans.oracle import GEO, LAT, REC, WAY
 from tidemark.sources import recording as R
+from tidemark.session import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -534,7 +535,8 @@ def rigid_solve(spark, sf_dir):
 def nonrigid_solve(spark, sf_dir):
     """Motion of overlapping depth windows of 160 um over the whole probe, with lags of 80 um, solved apart."""
     s = _mp(R.spikes(spark, sf_dir))
-    prof = s.select(F.floor(F.col("t") / 200).alias("bin"), F.floor(F.col("my") / 10).alias("iy"), "amp").groupBy("bin", "iy").agg(F.sum("amp").alias("w"))
+    # a cell a time bin and depth pixel, read by every window: made once
+    prof = kept(motion.profiles(s, 200.0, "my", 10.0), "profiles")
     out = None
     for win in range(3):  # a fixed number of windows
         pairs = motion.lagged_pairs(prof, 8, 8 * win, 8 * win + 16)
@@ -547,10 +549,11 @@ def nonrigid_solve(spark, sf_dir):
 def control_ladder(spark, sf_dir):
     """Motion and its scores when depths are shrunk towards the channel: 0 is the control without localisation."""
     s = _mp(R.spikes(spark, sf_dir))
-    rows = []
-    for k in (0.0, 0.25, 0.5, 1.0):
-        y = s.withColumn("yk", F.col("y") + k * (F.col("my") - F.col("y")))
-        p = motion.solved(motion.weights(motion.soft_pairs(motion.lagged_pairs(motion.profiles(y, 100.0, "yk", 10.0), 8, 0, 32, 3), 10.0, 0.2), 0.1, 2.0, 3))
+    rows, steps = [], (0.0, 0.25, 0.5, 1.0)
+    # the profiles of all steps of the ladder, of one pass over the spikes
+    prof = kept(motion.ladder(s, 100.0, {k: F.col("y") + k * (F.col("my") - F.col("y")) for k in steps}, 10.0), "ladder")
+    for k in steps:
+        p = motion.solved(motion.weights(motion.soft_pairs(motion.lagged_pairs(prof.where(F.col("k") == k), 8, 0, 32, 3), 10.0, 0.2), 0.1, 2.0, 3))
         trace = interpolate.interpolated(p.select((F.col("t") * 100.0 + 50).alias("t"), "p"), R.waypoints(spark), 100.0, "gt")
         r, gain, left = motion.detrended_score(trace)
         rows.append((k, round(r, 3), round(gain, 3), round(left, 3)))
