@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import motion
+from tidemark.session import kept
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,9 @@ def registered(hist: DataFrame, c: Config, block: int = 64) -> DataFrame:
 
 def estimated(events: DataFrame, c: Config, y: str = "y", amp: str = "amp") -> DataFrame:
     """win, t (s, middle of the bin), p (um, mean 0): rigid motion (window 0) and that of each depth window."""
-    pairs = motion.weights(registered(histogram(events, c, y, amp), c), c.least, c.power, c.frame or 1 << 30)
+    # blocks of bins are met in a join and listed beside it: counted once
+    hist = kept(histogram(events, c, y, amp), "histogram")
+    pairs = motion.weights(registered(hist, c), c.least, c.power, c.frame or 1 << 30)
     return motion.solved(pairs, "win").select("win", ((F.col("t") + 0.5) * c.time_bin).alias("t"), "p")
 
 
