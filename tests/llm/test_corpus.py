@@ -433,6 +433,22 @@ def test_toxicity(spark):
     assert toxicity.scored(docs_like(spark), toxicity.fit(d, lab.limit(0))).columns[-1] == "score"
 
 
+def test_toxicity_learns_from_rows_beyond_its_sample(spark):
+    """Thirty stems, each in few rows: a sample of 300 rows has too few of each."""
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(30)]
+    rows = []
+    for i in range(1800):
+        t = prose(rng, rng.randint(5, 30)).split()
+        if i % 2:
+            t[rng.randrange(len(t))] = stems[i // 2 % 30]
+        rows.append((i, " ".join(t), i % 2))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3, "doc_id")
+    model = toxicity.fit(d.select("doc_id", "text"), d.where("doc_id < 1500").select("doc_id", "toxic"), "true", 300)
+    out = toxicity.scored(d.where("doc_id >= 1500"), model).collect()
+    assert sum((r.score >= 0.5) == (r.toxic == 1) for r in out) / len(out) >= 0.85
+
+
 def test_toxicity_sample_spans_the_table(spark):
     """The word bound goes by the hash of doc_id, not by the order of partitions, and one over-long text doesn't end the sample."""
     texts = [" ".join(["early" if i < 150 else "later"] * (5000 if i % 10 == 0 else 20)) for i in range(300)]
