@@ -266,6 +266,18 @@ def test_token_file_words_equal_the_library():
             assert np.frombuffer(raw, w.dtype).tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_token_words_and_pieces_are_held_once(monkeypatch):
+    """ASCII words are split as all others are, and what falls out of the first generation is found in the second."""
+    rng = random.Random(3)
+    some = ["".join(chr(rng.randrange(128)) if rng.random() < 0.5 else rng.choice("'st0re1vmld.\x1c\x1f") for _ in range(rng.randint(1, 9))).lower() for _ in range(20_000)]
+    assert all(tokenfile._SPLIT_ASCII.findall(x) == tokenfile._SPLIT.findall(x) for x in some)
+    monkeypatch.setattr(tokenfile, "CACHE", 4)
+    w = tokenfile.Words(public_tokenizers.path(tokenfile.VOCABULARY))
+    for x in ("Abc abc. a1 don't", "abc zzq zzr", "Abc. b2 zzq", "abc don't zzr a1", "Abc abc."):
+        assert np.frombuffer(w.documents([x])[0], w.dtype).tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids
+    assert not hasattr(w, "pieces")
+
+
 def test_token_file_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_DOCS", 3)
     rows = [(None, "b"), (None, None), (5, "a a"), (5, "a a"), (5, "one"), (-9, ""), (1 << 61, "two words"), (7, "x " * 400)]

@@ -13,8 +13,10 @@ Null texts are empty: only the end id. A null doc_id sorts first. Repeated doc_i
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +30,14 @@ from tidemark.llm.shared import parted, tune, written
 from tidemark.llm.words import chunks
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 650_000
 BLOCK_DOCS, BLOCK_IDS, STEP = 4096, 1 << 20, 256
 _BAR, _KEPT = "|", "\x1c\x1d\x1e\x1f"
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 # Fixed value: the vocabulary's own split of a normalised text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The same of lower-cased ASCII; `re` is faster, but its \s would also take the four controls that the vocabulary keeps.
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
 # Byte-level alphabet by its rule: visible Latin-1 characters stand for themselves, all other bytes follow from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -85,8 +89,8 @@ class Words:
 
     Words of characters below U+0130 are lower-cased and split here as the vocabulary does; the library's model then encodes
     the pieces, many at a time, with no other step, and pieces are told apart by the end-of-word mark of their last token. Other
-    words go through the whole tokenizer, many at a time, parted by a mark that is a token of its own. Of words and of pieces
-    two generations of at most CACHE each are held."""
+    words go through the whole tokenizer, many at a time, parted by a mark that is a token of its own. A piece is itself a word of
+    one piece, so both are held together, in two generations of about CACHE each."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -94,8 +98,6 @@ class Words:
 
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
@@ -119,7 +121,7 @@ class Words:
             ids = np.array(e.ids, dtype=self.dtype)
             cut, raw, a = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist(), ids.tobytes(), 0
             for x, b in zip(wanted[at : at + 64], cut, strict=True):
-                self.pieces[x] = raw[a:b]
+                self.ids[x] = raw[a:b]
                 a = b
             at += 64
 
@@ -135,46 +137,49 @@ class Words:
             for x, a, b in zip(some, [0, *[c + 1 for c in cut]], [*cut, len(ids)], strict=True):
                 self.ids[x] = raw[size * a : size * b]
 
-    def learn(self, split: list[list[str]]) -> None:
-        if len(self.ids) >= CACHE:
-            self.ids, self.older = {}, self.ids
-        if len(self.pieces) >= CACHE:
-            self.pieces, self.older_pieces = {}, self.pieces
-        new = set()
-        for x in split:
-            new.update(x)
-        ids, older, pieces, before = self.ids, self.older, self.pieces, self.older_pieces
-        whole, single, several, wanted = [], [], [], set()
-        for w in new.difference(ids):
-            if w in older:
-                ids[w] = older[w]
-            elif max(w, default="") >= "\u0130":
-                whole.append(w)
-            else:
-                low = w.lower()
-                if low.isalpha():
-                    single.append((w, low))
-                    wanted.add(low)
-                else:
-                    found = _SPLIT.findall(low)
-                    several.append((w, found))
-                    wanted.update(found)
-        wanted = wanted.difference(pieces)
-        pieces.update((x, before[x]) for x in wanted.intersection(before))
-        self.encode_pieces(list(wanted.difference(before)))
+    def learn(self, new: set[str]) -> None:
+        """Words that aren't among the ids yet."""
+        ids, older = self.ids, self.older
+
+        def lacking(wanted):
+            known = {x: older[x] for x in wanted if x in older} if older else {}
+            ids.update(known)
+            return wanted.difference(known)
+
+        new = lacking(new)
+        whole = [w for w in new if not w.isascii() and max(w) >= "\u0130"]
+        some = list(new.difference(whole))
+        low = list(map(str.lower, some))
+        single = list(map(str.isalpha, low))
+        several = [(w, (_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x)) for w, x, alone in zip(some, low, single, strict=True) if not alone]
+        single = list(compress(zip(some, low, strict=True), single))
+        wanted = {x for _, x in single}.union(chain.from_iterable(found for _, found in several)).difference(ids)
+        self.encode_pieces(list(lacking(wanted)))
         for w, x in single:
-            ids[w] = pieces[x]
+            if w != x:
+                ids[w] = ids[x]
         for w, found in several:
-            ids[w] = b"".join([pieces[x] for x in found])
+            ids[w] = b"".join([ids[x] for x in found])
         self.encode_whole(whole)
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """Of about a MB of texts, or of one longer text."""
+        if len(self.ids) >= CACHE:
+            self.ids, self.older = {}, self.ids
         # str.split() also parts at the four controls that the vocabulary keeps; texts with them are parted at plain spaces
         split = [None if any(s in x for s in self.special) else x.split() if not any(c in x for c in _KEPT) else x.translate(_SPACES).split(" ") for x in texts]
-        self.learn([x for x in split if x is not None])
-        get = self.ids.__getitem__
-        return [self.encode(x) if w is None else b"".join(map(get, w)) for x, w in zip(texts, split, strict=True)]
+        # each word is looked up once; those that weren't there are filled in
+        flat = list(chain.from_iterable(x for x in split if x is not None))
+        got = list(map(self.ids.get, flat))
+        lacking = [i for i, x in enumerate(got) if x is None]
+        self.learn({flat[i] for i in lacking})
+        for i in lacking:
+            got[i] = self.ids[flat[i]]
+        out, at = [], 0
+        for x, w in zip(texts, split, strict=True):
+            out.append(self.encode(x) if w is None else b"".join(got[at : at + len(w)]))
+            at += 0 if w is None else len(w)
+        return out
 
 
 @lru_cache(maxsize=2)
