@@ -423,6 +423,25 @@ def test_secrets_have_no_length_caps():
     assert time.perf_counter() - start < 10
 
 
+def test_bucketed_texts_are_one_file_a_bucket(spark, monkeypatch):
+    """However many tasks deal the texts, and however few ids they are joined with."""
+    from contextlib import contextmanager
+
+    rng, files, real = random.Random(4), [], jaccard.bucketed
+    texts = [prose(rng, 30) for _ in range(60)]
+    d = spark.createDataFrame([(i, texts[i % 60] + f" x{i}") for i in range(240)], "doc_id long, text string").repartition(12)
+
+    @contextmanager
+    def seen(df, name, by, buckets):
+        with real(df, name, by, buckets) as t:
+            files.append((len(t.inputFiles()), buckets))
+            yield t
+
+    monkeypatch.setattr(jaccard, "bucketed", seen)
+    assert jaccard.classes(d).select("component_id").distinct().count() == 60
+    assert files[0][0] <= files[0][1]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []

@@ -452,7 +452,8 @@ def classes(documents: DataFrame) -> DataFrame:
     alive = written(enough(shared), "alive")
     dropped(shared)
     # texts that may link are dealt by doc_id once; the three joins that read them move ids only
-    some = text.join(alive.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # dealt before the join, whose kind then doesn't matter: a bucket is one file, not one of each task
+    some = text.repartition(buckets, "doc_id").join(alive.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     with bucketed(some, "texts", "doc_id", buckets) as text:
         # round one: each set with the most central ones
         near = written(filtered(stars(alive), sets), "near")
