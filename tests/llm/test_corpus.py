@@ -480,6 +480,14 @@ def test_toxicity_learns_from_rows_beyond_its_sample(spark):
     assert sum((r.score >= 0.5) == (r.toxic == 1) for r in out) / len(out) >= 0.85
 
 
+def test_toxicity_joins_small_tables_as_it_joins_large_ones(spark):
+    d = spark.createDataFrame([(i, f"word{i}") for i in range(40)], "doc_id long, text string")
+    rows = toxicity.labelled(d, spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id long, toxic int"), "doc_id < 30")
+    assert sorted((r.text, r.toxic) for r in rows.collect()) == sorted((f"word{i}", i % 2) for i in range(0, 30, 3))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_toxicity_sample_spans_the_table(spark):
     """The word bound goes by the hash of doc_id, not by the order of partitions, and one over-long text doesn't end the sample."""
     texts = [" ".join(["early" if i < 150 else "later"] * (5000 if i % 10 == 0 else 20)) for i in range(300)]

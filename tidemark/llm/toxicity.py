@@ -421,6 +421,13 @@ def counted(rows: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, np.nd
     return (at % wide - TOP * GRID) / GRID, at // wide, counts
 
 
+def labelled(documents: DataFrame, labels: DataFrame, which: str) -> DataFrame:
+    """text, toxic of the labelled documents for which an expression of doc_id holds. What doesn't take part goes before the join, so few
+    texts are shuffled at a time. Tables of any size are joined in the same way: else few labels would be broadcast and only larger tables
+    shuffled, and what a small table needs would say nothing of a large one."""
+    return documents.select("doc_id", "text").where(which).join(marked(labels).where(which).hint("merge"), "doc_id").select("text", "toxic")
+
+
 def fit(documents: DataFrame, labels: DataFrame, usable: str = "true", rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> dict:
     """The classifier of all labelled documents for which `usable`, an expression of doc_id, holds. It starts from at most `rows` of them and
     `words` words (see sampled); then each labelled row takes part once, in the fit or in the thresholds."""
@@ -433,17 +440,13 @@ def fit(documents: DataFrame, labels: DataFrame, usable: str = "true", rows: int
     got = sampled(documents, labels, mine, rows, words).repartition(1).mapInArrow(lean(run), "model binary").collect()
     model = unpacked(got[0]["model"]) if got else fitted(*gathered([]))
 
-    def labelled(which: str) -> DataFrame:
-        # what doesn't take part goes before the join, so few texts are shuffled at a time
-        return documents.select("doc_id", "text").where(which).join(marked(labels).where(which), "doc_id").select("text", "toxic")
-
     n = {r["y"]: r["n"] for r in marked(labels).where(mine).groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = class_weights(n.get(1, 0) / max(sum(n.values()), 1))
     for k in range(ROUNDS if n else 0):
-        model = improved(labelled(f"{mine} and pmod(xxhash64(doc_id, 14), {ROUNDS}) = {k}"), model, weight)
-    found = counted(labelled(f"({usable}) and pmod(xxhash64(doc_id, 13), 4) = 0"), model)
+        model = improved(labelled(documents, labels, f"{mine} and pmod(xxhash64(doc_id, 14), {ROUNDS}) = {k}"), model, weight)
+    found = counted(labelled(documents, labels, f"({usable}) and pmod(xxhash64(doc_id, 13), 4) = 0"), model)
     if found[2].sum() < 60:  # too few for thresholds of their own
-        found = counted(labelled(usable), model)
+        found = counted(labelled(documents, labels, usable), model)
     if len(found[0]):
         calibrate(model, *found)
     return model
