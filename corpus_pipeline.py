@@ -8,21 +8,20 @@ toxicity scores and token ids have none.
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard, mixing, secrets, toxicity
-from tidemark.llm.shared import tune, written
+from tidemark.llm.shared import handed_back, rested, tune, written
 
 
 def begun(spark: SparkSession) -> None:
-    """Settings of a stage, and what the stages before it left on the driver: Spark's cleaner frees the broadcasts and shuffles of ended
-    queries only once the JVM has collected their handles, and the heap shrinks only then."""
+    """Settings of a stage, and what the stages before it left on the driver and the executors: Spark's cleaner frees the broadcasts and
+    shuffles of ended queries only once the JVM has collected their handles, and heaps shrink only then."""
     tune(spark)
-    gc.collect()
+    handed_back(True)
     spark.sparkContext._jvm.java.lang.System.gc()
+    rested(spark)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

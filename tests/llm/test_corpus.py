@@ -480,6 +480,19 @@ def test_toxicity_learns_from_rows_beyond_its_sample(spark):
     assert sum((r.score >= 0.5) == (r.toxic == 1) for r in out) / len(out) >= 0.85
 
 
+def test_stages_leave_no_memory_to_those_after(spark):
+    import public_tokenizers
+    from tidemark.llm import shared
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    assert bpe.codec(path, public_tokenizers.PATTERN) is bpe.codec(path, public_tokenizers.PATTERN)
+    assert list(shared.lean(lambda batches: batches)([1])) == [1] and bpe.codec.cache_info().currsize == 0
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = sum(b.getCollectionCount() for b in beans)
+    n = shared.rested(spark)
+    assert n == 2 * spark.sparkContext.defaultParallelism and sum(b.getCollectionCount() for b in beans) >= before + n // 2
+
+
 def test_toxicity_joins_small_tables_as_it_joins_large_ones(spark):
     d = spark.createDataFrame([(i, f"word{i}") for i in range(40)], "doc_id long, text string")
     rows = toxicity.labelled(d, spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id long, toxic int"), "doc_id < 30")

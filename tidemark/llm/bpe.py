@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import defaultdict
-from functools import lru_cache
 from itertools import accumulate, chain, islice
 
 import public_tokenizers
@@ -25,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import with_field
+from tidemark.llm.shared import kept_in_worker, with_field
 
 CACHE = 100_000
 BATCH = 256
@@ -204,7 +203,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 

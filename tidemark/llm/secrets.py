@@ -23,7 +23,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import with_field
+from tidemark.llm.shared import lean, with_field
 
 KINDS = ("assign", "access", "hex", "named")
 # Fixed values of the contract; the length limits are part of it.
@@ -214,7 +214,7 @@ def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
             got = pa.array([None if x is None else redact(x, mark) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], got, *batch.columns[at + 1 :]], schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

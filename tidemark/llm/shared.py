@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +43,50 @@ def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, more)])
 
 
+_caches: list = []
+
+
+def kept_in_worker(make: Callable) -> Callable:
+    """make, whose last two results a Python worker keeps from task to task, until a task of another operator (see lean) begins there."""
+    _caches.append(cached := lru_cache(maxsize=2)(make))
+    return cached
+
+
+def handed_back(caches: bool = False) -> None:
+    """Gives this process' freed memory back to the system; with `caches`, what kept_in_worker holds as well."""
+    for cached in _caches if caches else ():
+        cached.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def lean(run: Callable) -> Callable:
-    """An Arrow task that hands its freed memory back to the system when it ends: Python workers live on, and would keep it from the
-    stages after."""
+    """An Arrow task that hands its freed memory back to the system when it ends, and first what other operators keep in its Python worker:
+    workers live on, and would keep both from the stages after."""
 
     def task(batches):
+        if holding():
+            handed_back(True)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        handed_back()
 
     return task
 
 
+def holding() -> bool:
+    return any(c.cache_info().currsize for c in _caches)
+
+
+def rested(spark: SparkSession) -> int:
+    """Garbage of ended queries is collected in the executors, whose heaps else keep the largest size they ever had; how many tasks did it."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    return len(spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect())
+
+
 def parted(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

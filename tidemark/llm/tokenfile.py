@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import lru_cache
 from itertools import chain, compress
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parted, tune, written
+from tidemark.llm.shared import kept_in_worker, parted, tune, written
 from tidemark.llm.words import chunks
 
 VOCABULARY = "word_bpe_49k.json"
@@ -182,7 +181,7 @@ class Words:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def words(path: str) -> Words:
     return Words(path)
 
