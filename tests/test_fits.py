@@ -260,3 +260,20 @@ def test_mixture_slopes_and_fit(spark):
     rows = mixtures.solved(s, model).collect()
     assert len(rows) == 150 and abs(sum(r.sse for r in rows) - sums.sse) < 1e-6 * sums.energy and max(r.off for r in rows) < 1e-6
     s.unpersist()
+
+
+def test_settled_spikes_leave_the_entropic_steps(monkeypatch):
+    rng = np.random.default_rng(8)
+    g, a = np.abs(rng.normal(size=(8, 6))), rng.normal(size=(2, 8))
+    space, time, rhs = g.T @ g, a @ a.T, rng.normal(size=(300, 6, 2))
+    rows, einsum = [], np.einsum
+
+    def counted(how, *parts, **more):
+        rows.append(parts[0].shape[1] if how == "qbp,qbp->b" else 0)
+        return einsum(how, *parts, **more)
+
+    monkeypatch.setattr(mixtures.np, "einsum", counted)
+    x = mixtures.entropic_mixture(space, time, rhs, 0.5)
+    assert sum(rows) < 150 * len(rhs)  # 201 a spike if all take every round
+    alone = np.concatenate([mixtures.entropic_mixture(space, time, r[None], 0.5) for r in rhs[:20]])
+    np.testing.assert_allclose(x[:20], alone, atol=1e-8)

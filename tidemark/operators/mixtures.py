@@ -124,7 +124,8 @@ def _cost(x, space, time, rhs, beta):
 
 def entropic_mixture(space: np.ndarray, time: np.ndarray, rhs: np.ndarray, beta: float, rounds: int = 200) -> np.ndarray:
     """grid_mixture, moved on to lower its cost plus beta times the places' entropy. Steps that don't lower it are halved, so the cost never
-    rises; the term isn't convex, so the start matters."""
+    rises; the term isn't convex, so the start matters. A spike that a step leaves exactly where it was stays there in all shorter ones, and
+    goes on no longer."""
     # shapes first: the action is then two plain products for the whole batch, and each is taken once a round
     x = np.ascontiguousarray(grid_mixture(space, time, rhs).transpose(2, 0, 1))
     rhs = np.ascontiguousarray(rhs.transpose(2, 0, 1))
@@ -141,7 +142,8 @@ def entropic_mixture(space: np.ndarray, time: np.ndarray, rhs: np.ndarray, beta:
         return bent, w, total, spread, np.einsum("qbp,qbp->b", x, bent / 2 - rhs) + beta * spread
 
     bent, w, total, spread, now = seen(x)
-    for _ in range(rounds):
+    done, going = np.empty_like(x), np.arange(b)
+    for r in range(rounds):
         floor = np.maximum(total, 1e-12)
         # the entropy's slope in a place's weight, the same for all of its shapes
         pull = -(np.log(np.maximum(w / floor[:, None], 1e-12)) + spread[:, None]) / floor[:, None]
@@ -150,9 +152,19 @@ def entropic_mixture(space: np.ndarray, time: np.ndarray, rhs: np.ndarray, beta:
         # an empty mixture has no entropy, so it could look cheap: steps that empty one are too long
         down = (after[4] < now) & (after[2] > 1e-3 * floor)
         step = np.where(down, step * 1.1, step / 2)
+        left = (new != x).any((0, 2)) if r % 8 == 7 else None
         x, bent, w = (np.where(down[:, None], n, o) for n, o in ((new, x), (after[0], bent), (after[1], w)))
         total, spread, now = (np.where(down, n, o) for n, o in zip(after[2:], (total, spread, now), strict=True))
-    return np.ascontiguousarray(x.transpose(1, 2, 0))
+        if left is not None and not left.all():
+            done[:, going] = x
+            going = going[left]
+            if not len(going):
+                break
+            x, bent, rhs = (np.ascontiguousarray(v[:, left]) for v in (x, bent, rhs))
+            w, total, spread, now, step = (v[left] for v in (w, total, spread, now, step))
+    if len(going):
+        done[:, going] = x
+    return np.ascontiguousarray(done.transpose(1, 2, 0))
 
 
 def residual(x: np.ndarray, space: np.ndarray, time: np.ndarray, rhs: np.ndarray, energy: np.ndarray) -> np.ndarray:
