@@ -227,6 +227,18 @@ def test_bpe_equals_the_library(docs, empty, texts):
     assert bpe.digest(empty).count() == 0
 
 
+def test_pieces_that_come_again_are_not_merged_again(monkeypatch):
+    c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    merged, merge = [], c.pieces.queue.merge
+    monkeypatch.setattr(c.pieces.queue, "merge", lambda raws: merged.extend(raws) or merge(raws))
+    words = [" zq" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "qz" for i in range(250_000)]
+    texts = ["".join(words[i : i + 50_000]) for i in range(0, len(words), 50_000)]
+    ids = [c.encode(x) for x in texts]
+    assert [c.encode(x) for x in texts] == ids and "".join(texts).encode() == c.decode([i for some in ids for i in some])
+    assert len(merged) == len(set(merged))
+    assert c.pieces.queue.merge([]) == [] and c.pieces.queue.merge([b"", b"a", b""]) == [[], [c.pieces.ranks[b"a"]], []]
+
+
 def test_token_file(docs, empty, texts):
     from tokenizers import Tokenizer
 

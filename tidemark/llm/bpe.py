@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
 from itertools import accumulate, chain, islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.shared import kept_in_worker, with_field
 
-CACHE = 100_000
+CACHE = 300_000
 BATCH = 256
 LONG_PIECE = 4096
 LONG_TEXT = 1 << 20
@@ -42,35 +42,50 @@ class RankQueue:
     """A bitmap of two levels over the ranks: top marks the groups of 256 ranks in use, low the ranks of each group."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.byte = [ranks[bytes([i])] for i in range(256)]
-        # rank of each pair of ids whose joined bytes are a token; ids are ranks
-        self.pairs = {x << 20 | y: rank for token, rank in ranks.items() for i in range(1, len(token)) if (x := ranks.get(token[:i])) is not None and (y := ranks.get(token[i:])) is not None}
+        size = max(ranks.values()) + 1
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)])
+        # rank of each pair of ids whose joined bytes are a token, by its left id and by its right one; ids are ranks
+        none: dict[int, int] = {}
+        self.right, self.left = [none] * size, [none] * size
+        #: the same of two bytes, at 256 times the first and the second; -1: none
+        self.first = np.full(1 << 16, -1)
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                x, y = ranks.get(token[:i]), ranks.get(token[i:])
+                if x is not None and y is not None:
+                    for table, a, b in ((self.right, x, y), (self.left, y, x)):
+                        if table[a] is none:
+                            table[a] = {}
+                        table[a][b] = rank
+            if len(token) == 2:
+                self.first[token[0] << 8 | token[1]] = rank
         #: one number object for each id, shared by all pieces that are kept
-        self.number = list(range(max(ranks.values()) + 1))
-        self.low = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.number = list(range(size))
+        self.low = [0] * ((size - 1 >> 8) + 1)
         self.bit = [1 << i for i in range(max(256, len(self.low)))]
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece. Between calls every bitmap word is zero again."""
-        get, low, bit, top, byte = self.pairs.get, self.low, self.bit, 0, self.byte
-        ids: list[int | None] = [byte[x] for x in b"".join(pieces)]
-        n = len(ids)
+        left, right, low, bit, top = self.left, self.right, self.low, self.bit, 0
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        n = len(raw)
+        ids: list[int | None] = self.byte[raw].tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        waiting = [get(x << 20 | y) for x, y in zip(ids, ids[1:])]
-        waiting.append(None)
+        first = np.append(self.first[raw[:-1] << 8 | raw[1:]], -1) if n else raw
         ends = list(accumulate(map(len, pieces)))
         for end in ends:
             # n stands for the end of every piece, -1 for what is before one
             if 0 < end:
                 after[end - 1] = n
-                waiting[end - 1] = None
+                first[end - 1] = -1
             if end < n:
                 before[end] = -1
-        buckets: dict[int, list[int]] = defaultdict(list)
-        for i, rank in enumerate(waiting):
-            if rank is not None:
-                buckets[rank].append(i)
+        waiting: list[int | None] = first.tolist()
+        order = np.argsort(first, kind="stable")[np.count_nonzero(first < 0) :]
+        starts = np.flatnonzero(np.diff(first[order], prepend=-1))
+        ranked, held, cuts = first[order[starts]].tolist(), order.tolist(), [*starts.tolist(), n]
+        buckets = {rank: held[a:b] for rank, a, b in zip(ranked, cuts, cuts[1:])}
         for rank in buckets:
             low[rank >> 8] |= bit[rank & 255]
             top |= bit[rank >> 8]
@@ -82,7 +97,9 @@ class RankQueue:
             if not word:
                 top &= top - 1
             bucket = buckets.pop(rank)
-            bucket.sort()
+            if len(bucket) > 1:
+                bucket.sort()
+            to_right, to_left = right[rank].get, left[rank].get
             for at, i in enumerate(bucket):
                 if waiting[i] != rank:
                     continue
@@ -93,7 +110,7 @@ class RankQueue:
                 ids[i] = rank
                 if stop < n:
                     before[stop] = i
-                    new = get(rank << 20 | ids[stop])
+                    new = to_right(ids[stop])
                     if new is not None:
                         waiting[i] = new
                         lower = new < rank
@@ -105,7 +122,7 @@ class RankQueue:
                             top |= bit[new >> 8]
                 i = before[i]
                 if i >= 0:
-                    waiting[i] = new = get(ids[i] << 20 | rank)
+                    waiting[i] = new = to_left(ids[i])
                     if new is not None:
                         lower = lower or new < rank
                         if new in buckets:
@@ -134,12 +151,12 @@ class Pieces(dict):
         self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, found: set[str]) -> None:
-        """Takes in pieces that are new, all in one queue. Very long ones are encoded when they are asked for, and not kept."""
+        """Takes in pieces that aren't among the recent ones, all in one queue. Very long ones are encoded when they are asked for, and not kept."""
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
         older, ranks, names, raws = self.older, self.ranks, [], []
-        for piece in found.difference(self):
+        for piece in found:
             ids = older.get(piece)
             if ids is None:
                 raw = piece.encode()
@@ -191,10 +208,17 @@ class Codec:
         yield from self._known(held)
 
     def _known(self, held: list[tuple[int, list[str]]]):
-        self.pieces.learn(set(chain.from_iterable(found for _, found in held)))
-        get = self.pieces.__getitem__
+        # each piece is looked up once; those that weren't there are filled in
+        flat = list(chain.from_iterable(found for _, found in held))
+        got = list(map(self.pieces.get, flat))
+        lacking = [i for i, x in enumerate(got) if x is None]
+        self.pieces.learn({flat[i] for i in lacking})
+        for i in lacking:
+            got[i] = self.pieces[flat[i]]
+        at = 0
         for place, found in held:
-            yield place, list(chain.from_iterable(map(get, found)))
+            yield place, list(chain.from_iterable(got[at : at + len(found)]))
+            at += len(found)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for _, ids in self.blocks([text])))
