@@ -358,6 +358,25 @@ def test_passes_follow_the_rows():
     assert neardup.passes_for(1) == neardup.passes_for(2000) == neardup.PASSES < neardup.passes_for(100_000) < neardup.passes_for(70_000_000)
 
 
+def test_each_different_word_of_a_block_is_looked_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return super().get(key, default)
+
+    w = tokenfile.Words(public_tokenizers.path(tokenfile.VOCABULARY))
+    w.ids = Counted()
+    mark = w.special[0] if w.special else "|"
+    some = ["one two  one\t two\n", "", "One\x0btwo \x1cone\x1ftwo\xa0x\x85y\u2003z", f"{mark} one {mark}two", " 中文 é é ", "one " * 1000]
+    got = w.documents(some)
+    assert Counted.looked <= 12
+    assert got == [w.encode(x) for x in some]
+    column = pa.array(["skipped", *some[:3], None, *some[3:]]).slice(1)
+    assert w.documents(column) == [*got[:3], b"", *got[3:]] and w.documents([]) == [] and w.documents([None]) == [b""]
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <|kind|>"), (1, 1, "user", "a<|im_end|>\n<|im_start|>assistant\nno"), (1, 2, "assistant", "back\\slash <\\| <|im_start|>"), (2, 0, "user", None), (2, 1, "assistant", "é\n"), (3, 1, None, "x"), (None, None, "a\nb<|im_start|>\\", "<|im_end|>"), (4, 0, "assistant", "<|im_end|>"), (5, 0, "assistant", "same"), (5, 0, "assistant", "same")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, turns string")

@@ -20,6 +20,7 @@ from itertools import chain, compress
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -31,8 +32,7 @@ from tidemark.llm.words import chunks
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 650_000
 BLOCK_DOCS, BLOCK_IDS, STEP = 4096, 1 << 20, 256
-_BAR, _KEPT = "|", "\x1c\x1d\x1e\x1f"
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+_BAR = "|"
 # Fixed value: the vocabulary's own split of a normalised text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # The same of lower-cased ASCII; `re` is faster, but its \s would also take the four controls that the vocabulary keeps.
@@ -161,24 +161,35 @@ class Words:
             ids[w] = b"".join([ids[x] for x in found])
         self.encode_whole(whole)
 
-    def documents(self, texts: list[str]) -> list[bytes]:
-        """Of about a MB of texts, or of one longer text."""
+    def documents(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Of about a MB of texts, or of one longer text; a null is empty."""
         if len(self.ids) >= CACHE:
             self.ids, self.older = {}, self.ids
-        # str.split() also parts at the four controls that the vocabulary keeps; texts with them are parted at plain spaces
-        split = [None if any(s in x for s in self.special) else x.split() if not any(c in x for c in _KEPT) else x.translate(_SPACES).split(" ") for x in texts]
-        # each word is looked up once; those that weren't there are filled in
-        flat = list(chain.from_iterable(x for x in split if x is not None))
-        got = list(map(self.ids.get, flat))
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = texts.fill_null("")
+        # texts that spell a special token go through the tokenizer as they are
+        special = np.zeros(len(texts), dtype=bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        # parted at the six ASCII spaces alone: str.split() also parts at four controls that the vocabulary keeps
+        found = pc.ascii_split_whitespace(plain)
+        # each different word of the texts is looked up once; those that weren't there are filled in
+        coded = found.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        got = list(map(self.ids.get, names))
         lacking = [i for i, x in enumerate(got) if x is None]
-        self.learn({flat[i] for i in lacking})
+        self.learn({names[i] for i in lacking})
         for i in lacking:
-            got[i] = self.ids[flat[i]]
-        out, at = [], 0
-        for x, w in zip(texts, split, strict=True):
-            out.append(self.encode(x) if w is None else b"".join(got[at : at + len(w)]))
-            at += 0 if w is None else len(w)
-        return out
+            got[i] = self.ids[names[i]]
+        size, pool = self.dtype.itemsize, np.frombuffer(b"".join(got), self.dtype)
+        length = np.fromiter(map(len, got), np.int64, len(got)) // size
+        first, length = (np.cumsum(length) - length)[at], length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(first - ends[:-1], length)].tobytes()
+        words = found.offsets.to_numpy()
+        cuts = (ends[words - words[0]] * size).tolist()
+        return [self.encode(texts[i].as_py()) if alone else ids[x:y] for i, (alone, x, y) in enumerate(zip(special.tolist(), cuts, cuts[1:], strict=False))]
 
 
 @kept_in_worker
@@ -210,7 +221,7 @@ def _blocks(path: str, end_id: int):
         tail = np.array([end_id], dtype=dtype).tobytes()
         shard, block, docs, held, size, inside = TaskContext.get().partitionId(), 0, [], [], 0, 0
         for batch in batches:
-            encoded = (x for a, b, _, _ in chunks(batch.column(1)) for x in w.documents([y or "" for y in batch.column(1)[a:b].to_pylist()]))
+            encoded = (x for a, b, _, _ in chunks(batch.column(1)) for x in w.documents(batch.column(1)[a:b]))
             for d, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if dtype != w.dtype:
                     ids = np.frombuffer(ids, w.dtype).astype(dtype).tobytes()
