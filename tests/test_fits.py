@@ -1,6 +1,7 @@
 """Codebook updates, refined places, non-negative refits and configurations against planted truth and brute force."""
 
 import itertools
+import uuid
 
 import numpy as np
 import pytest
@@ -218,6 +219,21 @@ def test_statistics_hold_all_that_refinement_needs(spark):
     assert refine.start_places(s, 5, "kmeans").shape == (5, 3)
 
 
+def test_start_places_read_the_spikes_once_however_they_are_dealt(spark, tmp_path):
+    s = R.spikes(spark, SF)
+
+    def marked(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    one = refine.start_places(s.repartition(3).mapInArrow(marked, s.schema), 12, "kmeans")
+    assert len(list(tmp_path.iterdir())) == 3
+    assert one.shape == (12, 3) and np.allclose(one, refine.start_places(s.coalesce(1), 12, "kmeans"))
+    at = np.array([inference.LATTICE[r.top[0].n] for r in inference.assigned(s).select("top").collect()])
+    near = ((at[:, None] - one) ** 2).sum(2).argmin(1)
+    assert np.allclose(one, [at[near == c].mean(0) for c in range(12)])
+
+
 # soft mixtures
 
 

@@ -58,8 +58,12 @@ class Learned:
 
 def statistics(spikes: DataFrame, omega: np.ndarray, candidates) -> DataFrame:
     """k, cfg, n, energy, captured, p (array: summed packed form) of the spikes at each candidate and geometry."""
-    at = packed.assigned(packed.forms(spikes, omega), candidates, keep=True)
-    j = at.join(F.broadcast(geometry(spikes.sparkSession).select("channel", "cfg")), "channel")
+    return _summed(packed.forms(spikes, omega), candidates)
+
+
+def _summed(forms: DataFrame, candidates) -> DataFrame:
+    at = packed.assigned(forms, candidates, keep=True)
+    j = at.join(F.broadcast(geometry(forms.sparkSession).select("channel", "cfg")), "channel")
     sums = [F.sum(F.element_at("p", i + 1)).alias(f"p{i}") for i in range(ENTRIES)]
     g = j.groupBy("k", "cfg").agg(F.count(F.lit(1)).alias("n"), F.sum("energy").alias("energy"), F.sum("score").alias("captured"), *sums)
     return g.select("k", "cfg", "n", "energy", "captured", F.array(*[f"p{i}" for i in range(ENTRIES)]).alias("p"))
@@ -127,7 +131,11 @@ def refined(stats: DataFrame, candidates: Learned, steps: int = 120, first: floa
 
 
 def start_places(spikes: DataFrame, k: int, how: str = "lattice", seed: int = 0) -> np.ndarray:
-    """Places to start from: the lattice nearest k cells, its first k places; or k-means of one-source positions around their anchors."""
+    """Places to start from: the lattice nearest k cells, its first k places; or k-means of one-source positions around their anchors.
+
+    Those positions are a few places, so their k-means is that of the places weighted by their spikes. The spikes are read once: KMeans
+    reads its rows twice in a task and pairs both readings, which fails where a join has dealt them out anew.
+    """
     from tidemark.operators.candidates import cells_for, grid
 
     if how == "lattice":
@@ -140,23 +148,25 @@ def start_places(spikes: DataFrame, k: int, how: str = "lattice", seed: int = 0)
 
     from tidemark.operators.inference import LATTICE, assigned
 
-    best = F.element_at("top", 1)["n"] + 1
-    place = [F.element_at(F.array(*[F.lit(c[i]) for c in LATTICE]), best.cast("int")).alias(n) for i, n in enumerate("xyz")]
-    d = VectorAssembler(inputCols=["x", "y", "z"], outputCol="v").transform(assigned(spikes).select(*place))
-    centres = np.array(KMeans(featuresCol="v", k=k, seed=seed).fit(d).clusterCenters())
+    held = assigned(spikes).groupBy(F.element_at("top", 1)["n"].alias("n")).agg(F.count(F.lit(1)).alias("spikes")).collect()
+    rows = [(*LATTICE[r["n"]], float(r["spikes"])) for r in sorted(held)]
+    d = spikes.sparkSession.createDataFrame(rows, "x double, y double, z double, spikes double").coalesce(1)
+    d = VectorAssembler(inputCols=["x", "y", "z"], outputCol="v").transform(d)
+    centres = np.array(KMeans(featuresCol="v", weightCol="spikes", k=k, seed=seed, initSteps=5).fit(d).clusterCenters())
     return centres[np.lexsort(centres.T[::-1])]
 
 
 def fitted(spikes: DataFrame, omega: np.ndarray, start: Learned, rounds: int = 4, least: float = 1e-4, **options) -> tuple[Learned, list[float]]:
     """Alternates assignment and refinement; the captured share of every round. Candidates without spikes stay where they are.
 
-    One row a used candidate comes to the driver each round: the model itself, not the data.
+    One row a used candidate comes to the driver each round: the model itself, not the data. What is kept for the rounds are the packed
+    forms, which are smaller than the waveforms.
     """
-    pool = spikes.select("spike_id", "channel", "w").persist()
+    pool = packed.forms(spikes, omega).persist()
     try:
         now, shares = start, []
         for _ in range(rounds):
-            stats = statistics(pool, omega, now)
+            stats = _summed(pool, now)
             rows = refined(stats, now, **options).collect()
             energy = max(sum(r["energy"] for r in rows), 1e-300)
             shares += [sum(r["before"] for r in rows) / energy, sum(r["after"] for r in rows) / energy]
