@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.operators import codebook, inference, mixtures, packed, refine, solvers
 from tidemark.operators.codebook import Config
 from tidemark.sources import recording as R
@@ -278,6 +279,33 @@ def test_mixture_slopes_and_fit(spark):
     s.unpersist()
 
 
+def test_mixture_fit_goes_on_until_it_has_converged(spark, monkeypatch):
+    s = R.spikes(spark, SF).limit(100).coalesce(1).persist()
+    start = mixtures.Mixture(refine.start_places(None, 4), np.array([20.0, 25.0, 30.0, 15.0]), inference.dct(2))
+    model, errors = mixtures.fitted(s, start)
+    gains = -np.diff(errors)
+    assert (gains > 0).all() and (len(gains) > 4 and gains[:3].max() > 1e-3 and gains[-3:].max() < 1e-5)
+    _, after = mixtures.fitted(s, model, rounds=3)
+    assert errors[-1] - after[-1] < 1e-3
+    s.unpersist()
+    asked = []
+    monkeypatch.setattr(mixtures, "fitted", lambda spikes, start, **options: asked.append(options) or (start, []))
+    queries.QUERIES["mixture_fit"](spark, SF)
+    assert asked == [{}]
+
+
+def test_mixtures_of_several_kinds_equal_those_of_one():
+    rng = np.random.default_rng(31)
+    g, a = rng.random((3, 8, 6)) * np.array([1e-3, 1, 1, 30, 1, 1]), codebook.unit_rows(rng.normal(size=(3, 8)))
+    space, kind = np.matmul(g.transpose(0, 2, 1), g), np.arange(60) % 3
+    rhs = np.einsum("bcp,bct,qt->bpq", g[kind], rng.normal(size=(60, 8, 8)), a)
+    x = mixtures.grid_mixture(space, a @ a.T, rhs, kind=kind)
+    for c in range(3):
+        one = mixtures.grid_mixture(space[c], a @ a.T, rhs[kind == c])
+        assert np.allclose(one * np.linalg.norm(g[c], axis=0)[:, None], x[kind == c] * np.linalg.norm(g[c], axis=0)[:, None], atol=1e-7)
+        assert mixtures.optimality(one, space[c], a @ a.T, rhs[kind == c]).max() < 1e-6
+
+
 def test_settled_spikes_leave_the_entropic_steps(monkeypatch):
     rng = np.random.default_rng(8)
     g, a = np.abs(rng.normal(size=(8, 6))), rng.normal(size=(2, 8))
