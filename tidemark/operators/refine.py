@@ -134,7 +134,7 @@ def start_places(spikes: DataFrame, k: int, how: str = "lattice", seed: int = 0)
     """Places to start from: the lattice nearest k cells, its first k places; or k-means of one-source positions around their anchors.
 
     Those positions are a few places, so their k-means is that of the places weighted by their spikes. The spikes are read once: KMeans
-    reads its rows twice in a task and pairs both readings, which fails where a join has dealt them out anew.
+    reads its rows twice in a task and pairs both readings, and over large tables these were found to differ in length.
     """
     from tidemark.operators.candidates import cells_for, grid
 
